@@ -48,6 +48,24 @@ def test_against_brute_force(spark, size):
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, size, 80)
 
 
+def test_screening_in_blocks(spark, monkeypatch):
+    """Texts that are alike, but mostly not enough, in one large bucket."""
+    from gyre.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base = [r.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(3, 9)):
+            w[r.randrange(60)] = r.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, bands=60, rows=2)
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows, 2, 80)
+
+
 def test_nulls_ties_empty(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (None, None)], "doc_id long, text string")
     got = sorted(map(str, near_duplicates(df, shingle=2).collect()))
