@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -10,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,14 @@ def build(cores: str = "*", app: str = "gyre", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers of this application, once."""
+    """Send the package to the Python workers of this application and bound its Arrow batches, once."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
+    # whole texts travel to Python: small batches bound the memory of both sides
+    for name, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}.items():
+        spark.conf.set(name, value)
     root = Path(__file__).resolve().parent
     to = Path(tempfile.mkdtemp(prefix="gyre-ship-"))
     atexit.register(shutil.rmtree, to, ignore_errors=True)
@@ -45,6 +51,13 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(to / "gyre_code.zip"))
 
 
+def trim() -> None:
+    """In a Python worker at the end of a task: give memory back that it no longer uses, as workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or under a local master a temporary one, else the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
