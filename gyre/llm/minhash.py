@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gyre.llm.components import components
 from gyre.llm.names import mix
-from gyre.llm.words import word_hashes
+from gyre.llm.words import forget, word_hashes
 from gyre.session import materialize, ship, sized
 
 #: 40 bands of 6: two sets of similarity 0.8 share no band once in 190,000 pairs, and of 0.9 never in practice.
@@ -130,6 +130,7 @@ def near_duplicates(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "n_shingles", "class", "keys"],
                 )
+        forget()
 
     sketched = materialize(docs.select(key.cast("long").alias("id"), text.alias("text")).mapInArrow(sketch, "id long, n_shingles long, class binary, keys array<long>"), "sketches")
     named = sketched.where("id is not null and n_shingles > 0")
@@ -244,6 +245,7 @@ def _sets(shingle: int, short: bool = False):
                 sets = [shingle_set(x, shingle) for x in texts]
                 made = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets], pa.binary()) if short else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), made], names=["id", "elements"])
+        forget()
 
     return make
 

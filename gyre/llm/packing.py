@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.llm.tokens import Encoder
-from gyre.session import materialize, ship, sized
+from gyre.session import materialize, ship, sized, trim
 
 Bins = dict[tuple[int, ...], int]
 EOS = 2
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_i
                     yield _piece_batch(batch, rows, schema, with_ids)
                     rows, held = [[], [], [], [], [], []], 0
             yield _piece_batch(batch, rows, schema, with_ids)
+        trim()
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(encode, schema)
 

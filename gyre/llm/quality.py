@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.llm.names import mix
-from gyre.llm.words import word_hashes
+from gyre.llm.words import forget, word_hashes
 from gyre.session import materialize, ship, sized
 
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -84,6 +84,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, *_counts(batch, batch.column(names.index(text_col)))], names=[*names, *COUNTS])
+        forget()
 
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(count, schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gyre.llm.names import byte_names, difference_cover, symbol_names
 from gyre.llm.words import word_hashes
-from gyre.session import ship
+from gyre.session import ship, trim
 
 _LAST = np.iinfo(np.int64).max
 _BLOB = "_bucket long, _home long, _keys binary, _values binary"
@@ -245,12 +245,14 @@ def search(
     def ask_samples(own: pa.Table, replies: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _empty_blobs()
+        trim()
         h = _Home(own, replies, s)
         return h.blobs(own["_home"][0].as_py(), h.keys, None, 0)
 
     def ask_windows(own: pa.Table, replies: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _empty_blobs()
+        trim()
         h = _Home(own, replies, s)
         h.candidates(replies)
         return h.blobs(own["_home"][0].as_py(), h.windows, h.least, 1)
@@ -258,6 +260,7 @@ def search(
     def finished(own: pa.Table, replies: pa.Table) -> pa.Table:
         if not own.num_rows:
             return finish(own, [], [])
+        trim()
         h = _Home(own, replies, s)
         h.candidates(replies)
         return finish(own, h.spans(replies), h.texts)

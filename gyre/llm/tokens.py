@@ -15,7 +15,7 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Stretches that a cache holds at most.
-MOST = 700_000
+MOST = 400_000
 
 # a space that white space or the end follows belongs to a run, which must stay whole
 _RUN = re.compile(f" (?:[{SPACES}]|\\Z)")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from gyre.session import trim
+
 #: Entries after which a worker's cache of word hashes starts anew.
-_MOST = 400_000
+_MOST = 150_000
 
 
 class _Hashes(dict):
@@ -29,3 +31,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word of the text."""
     words = text.split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def forget() -> None:
+    """Empty the cache and give its memory back, at the end of a task."""
+    _hashes.clear()
+    trim()
