@@ -1,33 +1,8 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from gyre.plans import relational, telemetry, text, vectors  # noqa: F401  these register themselves
+from gyre.plans.registry import oracle_sql, queries
 
 FLAGSHIP = "k1_vector_topk"
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function of (spark, sf_dir) as a query, with the SQL that gives its rows."""
-
-    def register(f):
-        assert name not in _queries, name
-        _queries[name] = f
-        if sql:
-            _sql[name] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
