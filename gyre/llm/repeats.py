@@ -16,13 +16,15 @@ exchange of the texts is planned once and reused.
 
 A home sends a name once, however often it has it, so that a passage which a
 third of all documents share adds one entry a home. Exact copies of a text are
-found by digest beforehand; one of them stands for all.
+found by digest beforehand, a row for each text of a home; one of them stands
+for all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from gyre.session import ship, trim
 
 _LAST = np.iinfo(np.int64).max
 _BLOB = "_bucket long, _home long, _keys binary, _values binary"
-_REPLY = "_home long, _round int, _bucket long, _bits binary, _n long, _id long, _first boolean"
+_REPLY = "_home long, _round int, _bucket long, _bits binary, _n long, _id long"
 
 
 @dataclass(frozen=True)
@@ -71,11 +73,11 @@ class _Home:
         ids = docs[s.id_col].cast(pa.int64())
         self.ids = ids.fill_null(_LAST).to_numpy()
         own = replies.filter(pc.equal(replies["_round"], 0))
-        at = {i: f for i, f in zip(own["_id"].fill_null(_LAST).to_pylist(), own["_first"].to_pylist(), strict=True)}
-        # of a class of copies: None for a text that is alone, True for the one that stands for the class
-        first = [at.get(i) for i in self.ids.tolist()]
+        # the smallest id of each text that has copies; the text with that id stands for them
+        least = dict(zip(own["_bits"].to_pylist(), own["_id"].fill_null(_LAST).to_pylist(), strict=True))
+        first = [least.get(md5(t, usedforsecurity=False).digest()) for t in self.texts]
         self.grouped = np.array([f is not None for f in first], bool)
-        self.copy = np.array([f is False for f in first], bool)
+        self.copy = np.array([f is not None and f != i for f, i in zip(first, self.ids.tolist(), strict=True)], bool)
         if s.kind == "byte":
             self.lengths = np.array([len(t) for t in self.texts], np.int64)
         else:
@@ -198,7 +200,6 @@ def _answer(s: Search) -> Callable[[pa.Table], pa.Table]:
             "_bits": pa.array([np.packbits(bit[b - m : b]).tobytes() for m, b in zip(sizes, ends, strict=True)], pa.binary()),
             "_n": pa.array(sizes.astype(np.int64)),
             "_id": pa.nulls(n, pa.int64()),
-            "_first": pa.nulls(n, pa.bool_()),
         })
 
     return answer
@@ -235,11 +236,13 @@ def search(
         return F.pmod(F.xxhash64(key, digest), F.lit(homes)).cast("long")
 
     dealt = docs.withColumn("_home", home(F.xxhash64(text)))
-    digests = docs.where(F.octet_length(text) >= window).select(key.alias("_id"), F.unhex(F.md5(text)).alias("_digest"), home(F.xxhash64(text)).alias("_home"))
-    classes = digests.groupBy("_digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    # a home names a text once, however many copies it has, so that a hot text has a row a home
+    digests = docs.where(F.octet_length(text) >= window).select(key.cast("long").alias("_id"), F.unhex(F.md5(text)).alias("_digest"), home(F.xxhash64(text)).alias("_home"))
+    digests = digests.groupBy("_home", "_digest").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
+    classes = digests.groupBy("_digest").agg(F.min("_id").alias("_least"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
     copies = digests.join(classes, "_digest").select(
-        "_home", F.lit(0).alias("_round"), F.lit(None).cast("long").alias("_bucket"), F.lit(None).cast("binary").alias("_bits"),
-        F.lit(None).cast("long").alias("_n"), F.col("_id"), F.coalesce(F.col("_id") == F.col("_least"), F.col("_least").isNull()).alias("_first"),
+        "_home", F.lit(0).alias("_round"), F.lit(None).cast("long").alias("_bucket"), F.col("_digest").alias("_bits"),
+        F.lit(None).cast("long").alias("_n"), F.col("_least").alias("_id"),
     )
 
     def ask_samples(own: pa.Table, replies: pa.Table) -> pa.Table:
