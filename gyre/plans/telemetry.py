@@ -16,11 +16,11 @@ def _events(spark, sf_dir):
     return e.withColumns({"s": F.unix_micros("ts") / 1e6, "failed": (F.col("event_type") == "error").cast("double")})
 
 
-both("st1_counter_rate", "SELECT event_type, w.start AS start, round(n / 300.0, 6) AS rate FROM (SELECT event_type, window(CAST(ts AS timestamp), '5 minutes') AS w, count(*) AS n FROM {events} GROUP BY 1, 2) x",
+both("st1_counter_rate", "SELECT event_type, w.start AS start, round(n / 300e0, 6) AS rate FROM (SELECT event_type, window(CAST(ts AS timestamp), '5 minutes') AS w, count(*) AS n FROM {events} GROUP BY 1, 2) x",
      "SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS start, round(count(*) / 300.0, 6) AS rate FROM {events} GROUP BY 1, 2")
 both("st2_histogram_quantile", """WITH b AS (SELECT event_type, ceil(value / 10) * 10 AS le, count(*) AS n FROM {events} GROUP BY 1, 2), c AS (SELECT event_type, le, n, sum(n) OVER (PARTITION BY event_type ORDER BY le) AS cum, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
-q AS (SELECT event_type, le, n, cum, total, row_number() OVER (PARTITION BY event_type ORDER BY le) AS k FROM c WHERE cum >= 0.95 * total)
-SELECT event_type, round(le - 10 + 10 * (0.95 * total - (cum - n)) / n, 4) AS p95 FROM q WHERE k = 1""")
+q AS (SELECT event_type, le, n, cum, total, row_number() OVER (PARTITION BY event_type ORDER BY le) AS k FROM c WHERE cum >= 0.95e0 * total)
+SELECT event_type, round(le - 10 + 10 * (0.95e0 * total - (cum - n)) / n, 4) AS p95 FROM q WHERE k = 1""")
 both("st3_hold_down", """WITH m AS (SELECT date_trunc('hour', ts) AS h, avg(value) > 25 AS bad FROM {events} GROUP BY 1), g AS (SELECT h, bad, row_number() OVER (ORDER BY h) - row_number() OVER (PARTITION BY bad ORDER BY h) AS island FROM m)
 SELECT min(h) AS since, count(*) AS hours FROM g WHERE bad GROUP BY island HAVING count(*) >= 3""")
 both("st9_coalesced", """WITH s AS (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before, event_id FROM {events})
@@ -63,7 +63,7 @@ both("m3_adaptive_ttl", "SELECT user_id, least(CAST(floor(300 * (1 + log2(count(
 both("m5_iso_time", "SELECT event_id, date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS iso FROM {events}", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM {events}")
 both("m9_json_path", "SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}", "SELECT event_id, props ->> '$.k' AS k FROM {events}")
 both("m13_queue_forecast", "SELECT event_type, round(count(*) / 86400e0 * avg(value), 6) AS length FROM {events} GROUP BY event_type")
-both("m16_cost_estimate", "SELECT doc_id, ceil(n_chars / 4.0) AS tokens FROM {documents}", "SELECT doc_id, ceil(n_chars / 4.0)::BIGINT AS tokens FROM {documents}")
+both("m16_cost_estimate", "SELECT doc_id, CAST(ceil(n_chars / 4e0) AS BIGINT) AS tokens FROM {documents}", "SELECT doc_id, ceil(n_chars / 4.0)::BIGINT AS tokens FROM {documents}")
 
 
 @query("m14_ab_assignment")

@@ -36,6 +36,23 @@ class TokenBucket:
         return allowed
 
 
+@dataclass
+class MicroBatch:
+    """Batches of at most size items, closed wait seconds after their first. A step says whether its item opens a batch."""
+
+    size: int
+    wait: float
+    held: int = 0
+    since: float = 0.0
+
+    def step(self, now: float, _: float = 0.0) -> bool:
+        opens = self.held in (0, self.size) or now - self.since >= self.wait
+        if opens:
+            self.held, self.since = 0, now
+        self.held += 1
+        return opens
+
+
 @dataclass
 class CircuitBreaker:
     """Opens after failures, lets trial requests through after a timeout, closes after successes. value 1 is a failure."""

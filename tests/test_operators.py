@@ -12,7 +12,8 @@ from gyre.operators.graph import ego_nodes, induced_edges
 from gyre.operators.retrieval import detect_grade, merge_hits, vote_grade
 from gyre.plans import catalog
 from gyre.sources import corpus
-from gyre.streaming.keyed import CircuitBreaker, TokenBucket, token_bucket_stream
+from gyre.plans import reading as P
+from gyre.streaming.keyed import CircuitBreaker, MicroBatch, TokenBucket, token_bucket_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,3 +145,35 @@ def test_queries_against_sql(spark):
         assert sorted(df.columns) == sorted(names), name
         expected = sorted(tuple(plain(r[names.index(c)]) for c in df.columns) for r in found.fetchall())
         assert sorted(tuple(map(plain, r)) for r in df.collect()) == expected, name
+
+
+def test_micro_batches():
+    """A batch opens at the first item, after size items, and wait seconds after the batch's first."""
+    b = MicroBatch(3, 10.0)
+    assert [b.step(t) for t in (0, 1, 2, 3, 4, 13, 14)] == [True, False, False, True, False, True, False]
+
+
+def test_sentences_kept_and_endings(spark):
+    long = "This sentence has well over forty characters in it."
+    assert value(spark, P._long_enough(F.lit(f"Short. {long} No."))) == [long]
+    assert value(spark, P._long_enough(F.lit("Short."))) == ["Short."]
+    assert value(spark, P._ended(F.lit("A whole sentence that is long enough. And"))) == "A whole sentence that is long enough."
+    assert value(spark, P._ended(F.lit("Early. A very long rest without any end of its own"))) == "Early. A very long rest without any end of its own"
+    assert value(spark, P._ended(F.lit("Done!"))) == "Done!"
+
+
+def test_long_sentences_break_at_conjunctions(spark):
+    words = " ".join(["word"] * 13)
+    assert value(spark, P._broken(F.lit(f"{words} and {words}."))) == f"{words.capitalize()}. {words.capitalize()}."
+    assert value(spark, P._broken(F.lit("one and two."))) == "one and two."
+
+
+@pytest.mark.parametrize("word, n", [("make", 1), ("the", 1), ("water", 2), ("yes!", 1), ("...", 0), ("apple", 1)])
+def test_syllables_with_final_e(spark, word, n):
+    assert value(spark, P._syllables_e(F.lit(word))) == n
+
+
+def test_reading_measures_of_null_and_empty_text(spark):
+    df = spark.createDataFrame([(None,), ("",)], "text string")
+    got = df.select(P._ended(F.col("text")).alias("a"), P._long_enough(F.col("text")).alias("b"), P._broken(F.col("text")).alias("c")).collect()
+    assert got[1].a == "" and got[1].b == [""] and got[1].c == "." and got[0].a is None and got[0].c is None
