@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,21 @@ _METRICS = {"cosine": (cosine, True), "l2": (l2, False), "ip": (inner_product_di
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
     """The exact k nearest rows of corpus for each query, ties by id: (query_id, id_col, score, rank).
 
-    Queries are a stated set, at most most_queries of them, so that they can be
-    broadcast; the corpus is read once and each of its partitions keeps k rows
-    a query (WindowGroupLimit) before anything is shuffled.
+    Queries are a stated set, asked in blocks of about most_queries rows, so
+    that each block can be broadcast; for a block the corpus is read once and
+    each of its partitions keeps k rows a query (WindowGroupLimit) before
+    anything is shuffled.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"over {most_queries} queries: ask them in batches")
+    blocks = max(1, -(-queries.count() // most_queries))
     score, larger = _METRICS[metric]
-    pairs = corpus.crossJoin(F.broadcast(queries)).select(query_id, id_col, score(F.col(vec_col), F.col(query_vec)).alias("score"))
     order = F.col("score").desc() if larger else F.col("score").asc()
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col))))
-    return ranked.where(F.col("rank") <= k)
+
+    def ask(block: DataFrame) -> DataFrame:
+        pairs = corpus.crossJoin(F.broadcast(block)).select(query_id, id_col, score(F.col(vec_col), F.col(query_vec)).alias("score"))
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col))))
+        return ranked.where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return ask(queries)
+    place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (ask(queries.where(place == i)) for i in range(blocks)))

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-from gyre.plans import reading, relational, telemetry, text, vectors  # noqa: F401  these register themselves
+from gyre.plans import answers, reading, relational, telemetry, text, vectors  # noqa: F401  these register themselves
 from gyre.plans.registry import oracle_sql, queries
 
 FLAGSHIP = "k1_vector_topk"
