@@ -110,7 +110,7 @@ class _Home:
         short = which == 0
         bucket = keys >> np.uint64(32) if short else (keys >> np.uint64(32)) * np.uint64(self.s.buckets[1]) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.empty(0, np.int64)
-        ends = np.r_[starts[1:], len(keys)]
+        ends = np.r_[starts, len(keys)][1:]
         stored = keys.astype(np.uint32) if short else keys
         cut = lambda x: [x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         # the rounds have buckets of their own
