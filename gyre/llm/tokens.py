@@ -52,6 +52,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.added: dict[str, bytes] = {}
         if path.endswith(".tiktoken"):
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -59,13 +60,25 @@ class Encoder:
             with open(path, encoding="utf-8") as f:
                 model = json.load(f)
             of = byte_alphabet()
-            special = {x["content"] for x in model["added_tokens"]}
-            ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+            for x in model["added_tokens"]:
+                if any(x[k] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+                    raise ValueError(f"added token {x['content']!r}: only plain literals are supported")
+                self.added[x["content"]] = x["id"].to_bytes(4, "little")
+            ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.added}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.plain, self.spaced = _Cache(encode, ""), _Cache(encode, " ")
+        # the longest of those that start at a place
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        if self.cut is None or not self.cut.search(text):
+            return self._between(text)
+        return b"".join(self.added[x] if i % 2 else self._between(x) for i, x in enumerate(self.cut.split(text)))
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if _RUN.search(text):

@@ -95,3 +95,21 @@ def test_quality_edges(spark):
     rows = [(1, None, None), (2, "a b c d e " * 4, "h"), (3, " ".join(f"word{i}" for i in range(20)), None)]
     got = {x.doc_id: x for x in judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not got[1].kept and got[2].n_repeat_words == 20 and not got[2].kept and got[3].kept
+
+
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    from gyre.llm.tokens import Encoder
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    tokenizer, encoder, end = Tokenizer.from_file(path), Encoder(path), "<|endoftext|>"
+    texts = [f"end of doc {end} next", f"{end}next", f"doc {end}", f"a{end}{end} {end}\n\n{end}b  ", f" \n {end} \n x", end, "<|endoftext|", "<|ENDOFTEXT|>", f"<|endof{end}text|>"]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "end of doc <|endoftext|> next")], "doc_id long, text string")
+    row = pack(docs, "/opt/tokenizers/byte_bpe_50k.json", 64, with_ids=True, islands=1, epochs=1).first()
+    assert np.frombuffer(row.ids, np.uint32).tolist() == [437, 286, 2205, 220, 50256, 1306, 2] and row.length == 7
