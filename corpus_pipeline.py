@@ -26,13 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Five-word shingles, similarity 0.8.
+    """One row of each group of near-duplicates: that with the smallest id. Five-word shingles, similarity 0.8.
 
-    A document without an id is kept. Rows that share an id are one document.
+    Each row counts for itself, under a key of its own: of repeated rows and of
+    rows without an id that are alike exactly one stays, and one with an id
+    goes before those without.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = materialize(found.where("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+    found = near_duplicates(keyed.select("_row", "text"), "_row").select("_row", "component_id")
+    found = materialize(found.join(keyed.select("_row", "doc_id"), "_row"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    stays = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    gone = materialize(found.join(stays, "_row", "left_anti").select("_row"), "duplicates")
+    return keyed.join(sized(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,38 @@
+"""Stages of the pipeline in sequence, on small cases."""
+
+import pytest
+
+import corpus_pipeline as P
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def text_of(name, words=120):
+    return " ".join(f"{name}{i}" for i in range(words))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+A, B, C, D, E, F = (text_of(x) for x in "abcdef")
+
+
+@pytest.mark.parametrize(
+    ("rows", "stay"),
+    [
+        ([(1, A), (2, B), (1, A), (1, A)], [(1, A), (2, B)]),  # a repeated row
+        ([(3, C), (None, C)], [(3, C)]),  # a copy without an id
+        ([(None, D), (None, D)], [(None, D)]),  # copies, none with an id
+        ([(9, E), (4, E + " more"), (None, E)], [(4, E + " more")]),  # near copies: the smallest id
+        ([(5, A), (3, A), (5, F)], [(3, A), (5, F)]),  # an id with another text besides
+    ],
+)
+def test_one_of_each_group_stays(spark, rows, stay):
+    once = P.near_dedup(spark, frame(spark, rows), "")
+    assert rows_of(once) == stay
+    assert rows_of(P.passage_dedup(spark, once, "")) == stay
