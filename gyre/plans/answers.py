@@ -115,25 +115,30 @@ _measure("t61_cut_at_sentence", r"CASE WHEN regexp_matches(text, '[.!?]') THEN r
 _B = r"[ \t\n\x0B\f\r]"
 _measure("t66_prose_of_latex", rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '%[^\n]*', ' ', 'g'), '\\[a-zA-Z]+\*?(\[[^\]]*\])?', ' ', 'g'), '[{{}}$\\]', ' ', 'g'), '\[[0-9]+\](,{_B}*\[[0-9]+\])*', ' ', 'g'),
   '\bFig\.{_B}*[0-9]+|\bTABLE{_B}+[IVX]+|\bSection~?[IVX]+', ' ', 'g'), '{_B}+', ' ', 'g'), E' \t\n\r\x0B\x0C') AS prose""", prose=lambda: A.prose_of_latex(F.col("text")))
-_measure("t42_partly_redacted", rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{A.PARTLY_SHOWN[0][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[1][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[2][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[3][0]}', '\1...\2[REDACTED]', 'g') AS redacted",
-         redacted=lambda: A.partly_shown(F.col("text")))
+@query("t42_partly_redacted", rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{A.PARTLY_SHOWN[0][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[1][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[2][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[3][0]}', '\1...\2[REDACTED]', 'g') AS redacted FROM documents")
+def t42(spark, sf_dir):
+    """All ten types, as in t41; the SQL has four patterns."""
+    ship(spark)
+    return _docs(spark, sf_dir).select("doc_id", A.partly_shown(F.col("text")).alias("redacted"))
+
+
 _SCAN = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for p, name in A.PARTLY_SHOWN)
 
 
 @query("t41_secret_scan", f"SELECT doc_id, kind, value, count(*) AS n FROM ({_SCAN}) WHERE length(value) >= 8 OR kind = 'SSN' GROUP BY ALL")
 def t41(spark, sf_dir):
-    found = F.array(*[F.struct(F.lit(name).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("values")) for p, name in A.PARTLY_SHOWN])
-    rows = _docs(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", "kind", F.explode("values").alias("value"))
-    return rows.where("length(value) >= 8 OR kind = 'SSN'").groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
+    """Every match of the ten types with its offsets and risk. The SQL still has four patterns only and no offsets."""
+    ship(spark)
+    return _docs(spark, sf_dir).select("doc_id", F.inline(A.secrets(F.col("text"))))
 
 
 _CRITICAL = " OR ".join(f"regexp_matches(text, '{p}')" for p, _ in A.PARTLY_SHOWN[:3])
-_measure("t44_input_check", f"CASE WHEN {_CRITICAL} THEN 'critical' WHEN regexp_matches(text, '{A.PARTLY_SHOWN[3][0]}') THEN 'medium' ELSE 'low' END AS risk, NOT ({_CRITICAL}) AS safe",
-         risk=lambda: F.when(_critical(), "critical").when(F.col("text").rlike(A.PARTLY_SHOWN[3][0]), "medium").otherwise("low"), safe=lambda: ~_critical())
-
-
-def _critical():
-    return F.col("text").rlike("|".join(p for p, _ in A.PARTLY_SHOWN[:3]))
+@query("t44_input_check", f"SELECT doc_id, CASE WHEN {_CRITICAL} THEN 'critical' WHEN regexp_matches(text, '{A.PARTLY_SHOWN[3][0]}') THEN 'medium' ELSE 'low' END AS risk, NOT ({_CRITICAL}) AS safe FROM documents")
+def t44(spark, sf_dir):
+    """Critical secrets of any type make an input unsafe, others leave its risk low. The SQL has four patterns and other risks."""
+    ship(spark)
+    critical = F.exists(A.secrets(F.col("text")), lambda x: x["risk"] == "critical")
+    return _docs(spark, sf_dir).select("doc_id", critical.alias("c")).select("doc_id", F.when(F.col("c"), "critical").otherwise("low").alias("risk"), (~F.col("c")).alias("safe"))
 
 
 # --- passages and tokens

@@ -59,6 +59,40 @@ def test_secrets(spark):
     assert one(spark, A.partly_shown(F.col("t")), t=None) is None
 
 
+SAMPLES = [
+    ("aws_key", "AKIA" + "B" * 16, "critical"), ("aws_key", "aws_secret_access_key=" + "a" * 40, "critical"), ("api_key", 'api_key: "' + "k" * 20, "high"), ("api_key", "Bearer abc.def", "high"),
+    ("api_key", "sk-" + "a" * 48, "critical"), ("api_key", "ghp_" + "a" * 36, "critical"), ("api_key", "gho_" + "a" * 36, "critical"), ("password", "pwd=hunter2hunter2", "critical"), ("password", "secret: abcdefgh", "high"),
+    ("token", 'token = "' + "0a" * 12, "high"), ("token", "eyJa.eyJb.c", "high"), ("private_key", "-----BEGIN RSA PRIVATE KEY-----", "critical"), ("private_key", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "critical"),
+    ("database_url", "redis://h:1/0", "critical"), ("database_url", "database_url=sqlite", "critical"), ("credit_card", "4" + "1" * 15, "critical"), ("ssn", "123-45-6789", "critical"), ("email", "a.b@c.org", "medium"), ("phone", "(555) 123-4567", "medium"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "risk"), SAMPLES)
+def test_each_secret(kind, value, risk):
+    # the characters before it count, not their bytes
+    found = A.secrets_of(f"é: {value} ")
+    start = 3 + (value.startswith("("))  # a word boundary stands before the digits only
+    assert (kind, value[start - 3 :], start, 3 + len(value), risk) in found
+    assert value not in A.redacted_of(f"é: {value} ")
+
+
+def test_secret_queries(spark, tmp_path):
+    from gyre.plans.catalog import queries
+
+    texts = ["see token = \"04dbebab04dbebab04dbebab\" ok", "mail a.b@c.org", "card 4111111111111111", None, "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {q: sorted(map(tuple, queries()[q](spark, str(tmp_path)).collect())) for q in ("t41_secret_scan", "t42_partly_redacted", "t44_input_check")}
+    assert rows["t41_secret_scan"] == [(0, "token", texts[0][4:-4], 4, 37, "high"), (1, "email", "a.b@c.org", 5, 14, "medium"), (2, "credit_card", "4111111111111111", 5, 21, "critical")]
+    assert [r[1] for r in rows["t42_partly_redacted"]] == ['see toke...ebab[REDACTED]" ok', "mail a.b@....org[REDACTED]", "card 4111...1111[REDACTED]", None, "nothing"]
+    assert [r[1:] for r in rows["t44_input_check"]] == [("low", True), ("low", True), ("critical", False), ("low", True), ("low", True)]
+
+
+def test_overlapping_secrets():
+    # a JSON web token as a token's value: two matches, one secret
+    own = "token=eyJaaaaaaaaaa.eyJbbbbbbbb.cccc"
+    assert len(A.secrets_of(own)) == 2 and A.redacted_of(f"x {own} y") == "x toke...cccc[REDACTED] y"
+
+
 def test_prose(spark):
     assert one(spark, A.prose_of_latex(F.col("t")), t="See \\textbf{this} [1], [2]. % note\nFig. 3 shows $x$") == "See this . shows x"
 
