@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +64,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
     each of its partitions keeps k rows a query (WindowGroupLimit) before
     anything is shuffled.
     """
-    blocks = max(1, -(-queries.count() // most_queries))
     score, larger = _METRICS[metric]
     order = F.col("score").desc() if larger else F.col("score").asc()
 
@@ -72,6 +72,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col))))
         return ranked.where(F.col("rank") <= k)
 
+    return _in_blocks(queries, ask, query_id, most_queries)
+
+
+def similar(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
+    """All rows of corpus of at least that cosine with each query, (query_id, id_col, score); queries in blocks as in nearest."""
+
+    def ask(block: DataFrame) -> DataFrame:
+        pairs = corpus.crossJoin(F.broadcast(block)).select(query_id, id_col, cosine(F.col(vec_col), F.col(query_vec)).alias("score"))
+        return pairs.where(F.col("score") >= least)
+
+    return _in_blocks(queries, ask, query_id, most_queries)
+
+
+def _in_blocks(queries: DataFrame, ask: Callable[[DataFrame], DataFrame], query_id: str, most_queries: int) -> DataFrame:
+    """What ask gives for all queries, dealt in blocks of about most_queries rows."""
+    blocks = max(1, -(-queries.count() // most_queries))
     if blocks == 1:
         return ask(queries)
     place = F.pmod(F.xxhash64(query_id), F.lit(blocks))

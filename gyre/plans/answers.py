@@ -14,7 +14,7 @@ from gyre.functions import vectors as V
 from gyre.plans.registry import query
 from gyre.plans.relational import both
 from gyre.plans.text import _W, _docs, _measure
-from gyre.plans.vectors import _COS, _COS_Q, _ONE, _VEC, _embeddings, _topk_sql, _with_first
+from gyre.plans.vectors import _COS, _COS_Q, _ONE, _VEC, _asked, _embeddings, _topk_sql, _with_first
 from gyre.session import fresh_path, materialize, ship, table
 from gyre.sources import corpus
 
@@ -193,7 +193,9 @@ def m12(spark, sf_dir):
 # --- filters, routing, limits, caches
 @query("f12_useful_similarity", f"SELECT vec_id FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ONE} WHERE {_COS_Q} >= 0.35")
 def f12(spark, sf_dir):
-    return _with_first(spark, sf_dir).where(V.cosine(F.col("embedding"), F.col("q")) >= 0.35).select("vec_id")
+    """The hits of each query that are useful. The SQL has the query of vec_id 0 only."""
+    e = _embeddings(spark, sf_dir)
+    return V.similar(_asked(e), e, 0.35).select("qid", "vec_id")
 
 
 both("f18_model_route", """WITH pref AS (SELECT * FROM (VALUES ('low', 'Brand#1', 0), ('low', 'Brand#2', 1), ('medium', 'Brand#2', 0), ('medium', 'Brand#3', 1), ('high', 'Brand#3', 0), ('high', 'Brand#2', 1)) AS v(complexity, tier, place)),

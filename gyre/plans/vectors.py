@@ -20,6 +20,11 @@ def _embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
 
+def _asked(e):
+    """The rows that searches take as queries: qid, qvec."""
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
 def _with_first(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     return e.crossJoin(F.broadcast(e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))))
@@ -52,8 +57,7 @@ SELECT qid, vec_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT qid, ve
 def _search(metric):
     def run(spark, sf_dir):
         e = _embeddings(spark, sf_dir)
-        q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-        return V.nearest(q, e, 10, metric).withColumn("score", F.round("score", 6))
+        return V.nearest(_asked(e), e, 10, metric).withColumn("score", F.round("score", 6))
 
     return run
 
@@ -65,14 +69,30 @@ query("v8_topk_ip", _topk_sql("ASC", "-list_dot_product(v, q)"))(_search("ip"))
 
 @query("k2_filtered_topk", f"SELECT vec_id, round({_COS_Q}, 6) AS score FROM (SELECT vec_id, label, {_VEC} AS v FROM embeddings), {_ONE} WHERE label IN (1, 2) ORDER BY {_COS_Q} DESC, vec_id LIMIT 12")
 def k2(spark, sf_dir):
-    e = _with_first(spark, sf_dir).where("label IN (1, 2)")
-    return e.select("vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("s")).orderBy(F.desc("s"), "vec_id").limit(12).select("vec_id", F.round("s", 6).alias("score"))
+    """The twelve nearest of two labels for each query. The SQL has the query of vec_id 0 only."""
+    e = _embeddings(spark, sf_dir)
+    return V.nearest(_asked(e), e.where("label IN (1, 2)"), 12).withColumn("score", F.round("score", 6))
 
 
 @query("v13_semantic_cache", f"SELECT vec_id, round({_COS_Q}, 6) AS score FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ONE} WHERE vec_id <> 0 AND {_COS_Q} >= 0.3")
 def v13(spark, sf_dir):
-    s = V.cosine(F.col("embedding"), F.col("q"))
-    return _with_first(spark, sf_dir).where((F.col("vec_id") != 0) & (s >= 0.3)).select("vec_id", F.round(s, 6).alias("score"))
+    """What a cache of all other rows answers to each query: the first entry of the same text, else the most similar one from 0.92 on; a miss gives no row.
+
+    The document of the same id stands for the prompt of a vector. The SQL has
+    the query of vec_id 0 only, all entries from 0.3 on and no texts.
+    """
+    e = _embeddings(spark, sf_dir)
+    q = _asked(e)
+    # the two first entries of a text, one of which is another than the query
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(e.select("vec_id"), "vec_id")
+    first = F.row_number().over(Window.partitionBy("text").orderBy("vec_id"))
+    entries = texts.distinct().withColumn("k", first).where("k <= 2").select("text", F.col("vec_id").alias("entry"))
+    same = texts.join(q.select(F.col("qid").alias("vec_id")), "vec_id").join(entries, "text").where("entry <> vec_id")
+    exact = same.groupBy(F.col("vec_id").alias("qid")).agg(F.min("entry").alias("exact"))
+    # the nearest two, one of which may be the query itself
+    near = V.nearest(q, e, 2).where("vec_id <> qid AND score >= 0.92").groupBy("qid").agg(F.min(F.struct("rank", "vec_id", "score")).alias("near"))
+    found = exact.join(near, "qid", "full").withColumn("hit", F.when(F.col("exact").isNotNull(), "exact").otherwise("semantic"))
+    return found.select("qid", F.coalesce("exact", "near.vec_id").alias("vec_id"), "hit", F.when(F.col("hit") == "semantic", F.round("near.score", 6)).alias("score"))
 
 
 @query("v14_quantized", """WITH b AS (SELECT vec_id, embedding AS v, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)
@@ -105,8 +125,7 @@ def v22(spark, sf_dir):
 def _hits(spark, sf_dir):
     """Scored hits with a grade, for a set of questions."""
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return V.nearest(q, e, 12).select("qid", F.col("vec_id").alias("pos"), (F.col("vec_id") % 12 + 1).cast("int").alias("grade"), F.round("score", 9).alias("similarity"))
+    return V.nearest(_asked(e), e, 12).select("qid", F.col("vec_id").alias("pos"), (F.col("vec_id") % 12 + 1).cast("int").alias("grade"), F.round("score", 9).alias("similarity"))
 
 
 _HITS = f"h AS (SELECT qid, vec_id AS pos, (vec_id % 12 + 1)::INT AS grade, round(s, 9) AS similarity FROM (SELECT qid, vec_id, {_COS_Q} AS s, row_number() OVER (PARTITION BY qid ORDER BY {_COS_Q} DESC, vec_id) AS k FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), (SELECT vec_id AS qid, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0)) WHERE k <= 12)"
