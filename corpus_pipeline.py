@@ -74,7 +74,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL expresses neither the tokens nor the packing; tests/llm compares with a plain version.
+#: SQL expresses neither the tokens nor the packing; tests/test_pipeline.py runs two stages, and no test compares all five with a plain version yet.
 ORACLE_SQL = None
 
 
