@@ -31,7 +31,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gyre.llm.columns import col, others
 from gyre.llm.names import byte_names, difference_cover, symbol_names
 from gyre.llm.words import word_hashes
 from gyre.session import ship, trim
@@ -46,8 +48,6 @@ class Search:
     """What to look for. kind: byte or word. earlier: a window counts only if a
     document with a smaller id has it, else if it starts anywhere else."""
 
-    id_col: str
-    text_col: str
     kind: str
     window: int
     period: int
@@ -64,13 +64,23 @@ def _binary(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def removed(spans: list[np.ndarray]) -> pa.Array:
+    """How many symbols the spans of each row hold."""
+    return pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64())
+
+
+def span_column(spans: list[np.ndarray]) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], kind)
+
+
 class _Home:
     """The symbols of a home's documents and the names asked of them."""
 
     def __init__(self, docs: pa.Table, replies: pa.Table, s: Search):
         self.s = s
-        self.texts = _binary(docs[s.text_col])
-        ids = docs[s.id_col].cast(pa.int64())
+        self.texts = _binary(docs["_text"])
+        ids = docs["_id"].cast(pa.int64())
         self.ids = ids.fill_null(_LAST).to_numpy()
         own = replies.filter(pc.equal(replies["_round"], 0))
         # the smallest id of each text that has copies; the text with that id stands for them
@@ -207,8 +217,8 @@ def _answer(s: Search) -> Callable[[pa.Table], pa.Table]:
 
 def search(
     docs: DataFrame,
-    finish: Callable[[pa.Table, list[np.ndarray], list[bytes]], pa.Table],
-    schema: str,
+    finish: Callable[[list[np.ndarray], list[bytes]], list[pa.Array]],
+    outputs: T.StructType,
     *,
     id_col: str,
     text_col: str,
@@ -219,18 +229,26 @@ def search(
     home_bytes: int = 2 << 20,
     bucket_names: int = 1_500_000,
 ) -> DataFrame:
-    """finish(rows of a home, spans a row, texts as bytes) for every home, as one DataFrame.
+    """docs with the columns that finish(spans a row, texts as bytes) makes for the rows of a home.
 
     A null text is empty. A null id sorts after all others. Ids are integers.
-    Rows alike in id and text share a home.
+    Rows alike in id and text share a home. Columns of docs with the outputs'
+    names (without case) are replaced.
     """
     ship(docs.sparkSession)
-    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    own = others(docs, outputs.names)
+    schema = T.StructType([*own, *outputs.fields])
+    # inside, columns go by number, so that none clashes with the search's own
+    inside = {"_id": id_col, "_text": text_col}
+    carried = [next((k for k, v in inside.items() if v.lower() == f.name.lower()), f"c{i}") for i, f in enumerate(own)]
+    extra = {k: v for k, v in inside.items() if k not in carried}
+    docs = docs.select(*[col(f.name).alias(c) for f, c in zip(own, carried, strict=True)], *[col(v).alias(k) for k, v in extra.items()])
+    text, key = F.col("_text"), F.col("_id")
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     homes = max(1, -(-n_bytes // home_bytes))
     symbols = n_bytes if kind == "byte" else n_bytes // 6
     share = len(difference_cover(period)) / period
-    s = Search(id_col, text_col, kind, window, period, earlier, homes, (max(1, int(symbols * share) // bucket_names), max(1, symbols // 4 // bucket_names)))
+    s = Search(kind, window, period, earlier, homes, (max(1, int(symbols * share) // bucket_names), max(1, symbols // 4 // bucket_names)))
 
     def home(digest: Column) -> Column:
         return F.pmod(F.xxhash64(key, digest), F.lit(homes)).cast("long")
@@ -260,13 +278,15 @@ def search(
         h.candidates(replies)
         return h.blobs(own["_home"][0].as_py(), h.windows, h.least, 1)
 
-    def finished(own: pa.Table, replies: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return finish(own, [], [])
-        trim()
-        h = _Home(own, replies, s)
-        h.candidates(replies)
-        return finish(own, h.spans(replies), h.texts)
+    def finished(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if rows.num_rows:
+            trim()
+            h = _Home(rows, replies, s)
+            h.candidates(replies)
+            added = finish(h.spans(replies), h.texts)
+        else:
+            added = finish([], [])
+        return pa.table([*(rows[c] for c in carried), *added], names=schema.names)
 
     by_home = lambda df: df.groupBy("_home")
     answer = _answer(s)

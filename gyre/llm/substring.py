@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gyre.llm.repeats import search
+from gyre.llm.repeats import removed, search, span_column
 from gyre.llm.words import split
 
 PERIOD = 21
@@ -38,28 +38,21 @@ def remove_earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Windows lie in one document and are judged on the input. Adds n_words,
     n_removed (long), spans (removed runs of words) and kept (string: the words
-    left, joined by one space); columns of docs with these names or with names
-    that begin with an underscore are replaced. A null text has no words; a
-    null id counts as larger than all others; rows that share an id do not
-    remove each other's words; an empty table gives no rows.
+    left, joined by one space); columns of docs with these names (without case)
+    are replaced. Ids are integers. A null text has no words; a null id counts
+    as larger than all others; rows that share an id do not remove each other's
+    words; an empty table gives no rows.
     """
     period = period or min(PERIOD, max(7, window // 2))
-    own = [f for f in docs.schema.fields if f.name not in OUTPUTS and not f.name.startswith("_")]
-    names = [f.name for f in own]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*own, *(T.StructField(n, t) for n, t in zip(OUTPUTS, (T.LongType(), T.LongType(), span, T.StringType()), strict=True))])
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(OUTPUTS, (T.LongType(), T.LongType(), span, T.StringType()), strict=True)])
 
-    def finish(rows: pa.Table, spans: list[np.ndarray], texts: list[bytes]) -> pa.Table:
-        out = rows.select(names)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        added = {
-            "n_words": pa.array([len(split(t)) for t in texts], pa.int64()),
-            "n_removed": pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
-            "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], kind),
-            "kept": pa.array([kept_words(t, s).decode() for t, s in zip(texts, spans, strict=True)], pa.string()),
-        }
-        for name, column in added.items():
-            out = out.append_column(name, column)
-        return out
+    def finish(spans: list[np.ndarray], texts: list[bytes]) -> list[pa.Array]:
+        return [
+            pa.array([len(split(t)) for t in texts], pa.int64()),
+            removed(spans),
+            span_column(spans),
+            pa.array([kept_words(t, s).decode() for t, s in zip(texts, spans, strict=True)], pa.string()),
+        ]
 
-    return search(docs.select(*[f"`{n}`" for n in names]), finish, schema, id_col=id_col, text_col=text_col, kind="word", window=window, period=period, earlier=True)
+    return search(docs, finish, schema, id_col=id_col, text_col=text_col, kind="word", window=window, period=period, earlier=True)
