@@ -16,13 +16,11 @@ from gyre.llm.quality import judge
 from gyre.llm.sql import SQL
 from gyre.llm.substring import remove_earlier_passages
 from gyre.llm.suffix import remove_repeated_bytes
+from gyre.llm.tokens import vocabulary
 from gyre.llm.urls import judge_urls
 from gyre.llm.warc import read_archives, write_archives
 from gyre.session import table
 
-#: Where the public tokenizers' files are unless a path is given.
-TOKENIZERS = "/opt/tokenizers"
-
 # The rules of the URL query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -69,14 +67,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    vocabulary = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-    model = fit(docs.where(~held_out(F.col("doc_id"))), vocabulary)
-    return predict(docs.select("doc_id", "text"), model, vocabulary).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    pieces = vocabulary("byte_bpe_multi_50k.tiktoken")
+    model = fit(docs.where(~held_out(F.col("doc_id"))), pieces)
+    return predict(docs.select("doc_id", "text"), model, pieces).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import re
 from array import array
 
+import public_tokenizers
 import tiktoken
 
 # Unicode white space, as the public pre-tokenizer's pattern has it.
@@ -21,6 +22,11 @@ MOST = 400_000
 _RUN = re.compile(f" (?:[{SPACES}]|\\Z)")
 
 
+def vocabulary(name: str) -> str:
+    """Where the file of a public tokenizer is; the same on all machines."""
+    return public_tokenizers.path(name)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of bytes in vocabulary files: printable Latin-1 characters for themselves, then code points from 256 on for the rest."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

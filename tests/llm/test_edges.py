@@ -6,7 +6,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gyre.llm import queries as Q
 from gyre.llm.chat import preference_pairs
 from gyre.llm.decontaminate import flag
 from gyre.llm.langid import fit, predict
@@ -15,6 +14,7 @@ from gyre.llm.packing import pack
 from gyre.llm.quality import judge
 from gyre.llm.substring import remove_earlier_passages
 from gyre.llm.suffix import remove_repeated_bytes
+from gyre.llm.tokens import vocabulary
 from gyre.llm.urls import judge_urls
 from gyre.llm.warc import read_archives, write_archives
 
@@ -33,8 +33,8 @@ ROWS = [
     (6, LONG, "b", "en"),
     (7, "0123 456", "b", "de"),
 ]
-VOCABULARY = f"{Q.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-BPE = f"{Q.TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = vocabulary("byte_bpe_multi_50k.tiktoken")
+BPE = vocabulary("byte_bpe_50k.json")
 has_vocabulary = pytest.mark.skipif(not os.path.exists(BPE), reason="no vocabulary files")
 
 

@@ -9,6 +9,7 @@ from gyre.llm.decontaminate import flag
 from gyre.llm.langid import fit, held_out, predict
 from gyre.llm.packing import pack
 from gyre.llm.quality import judge
+from gyre.llm.tokens import Encoder, vocabulary
 from gyre.llm.urls import judge_urls
 from gyre.llm.warc import read_archives, write_archives
 
@@ -51,7 +52,7 @@ def test_chat(spark):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    path = "/opt/tokenizers/byte_bpe_50k.json"
+    path = vocabulary("byte_bpe_50k.json")
     docs = spark.read.parquet(DOCS).select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (7, "")], "doc_id long, text string"))
     rows = pack(docs, path, 256, with_ids=True, islands=2, epochs=1).collect()
     tokenizer = Tokenizer.from_file(path)
@@ -72,7 +73,7 @@ def test_packing(spark):
 
 
 def test_language_id(spark):
-    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(DOCS)
     model = fit(docs.where(~held_out(F.col("doc_id"))), path)
     out = predict(docs.where(held_out(F.col("doc_id"))), model, path)
@@ -100,9 +101,7 @@ def test_quality_edges(spark):
 def test_added_tokens():
     from tokenizers import Tokenizer
 
-    from gyre.llm.tokens import Encoder
-
-    path = "/opt/tokenizers/byte_bpe_50k.json"
+    path = vocabulary("byte_bpe_50k.json")
     tokenizer, encoder, end = Tokenizer.from_file(path), Encoder(path), "<|endoftext|>"
     texts = [f"end of doc {end} next", f"{end}next", f"doc {end}", f"a{end}{end} {end}\n\n{end}b  ", f" \n {end} \n x", end, "<|endoftext|", "<|ENDOFTEXT|>", f"<|endof{end}text|>"]
     for text in texts:
@@ -111,5 +110,5 @@ def test_added_tokens():
 
 def test_packing_added_tokens(spark):
     docs = spark.createDataFrame([(1, "end of doc <|endoftext|> next")], "doc_id long, text string")
-    row = pack(docs, "/opt/tokenizers/byte_bpe_50k.json", 64, with_ids=True, islands=1, epochs=1).first()
+    row = pack(docs, vocabulary("byte_bpe_50k.json"), 64, with_ids=True, islands=1, epochs=1).first()
     assert np.frombuffer(row.ids, np.uint32).tolist() == [437, 286, 2205, 220, 50256, 1306, 2] and row.length == 7
