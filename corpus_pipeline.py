@@ -13,15 +13,21 @@ from gyre.llm.decontaminate import contaminated
 from gyre.llm.minhash import near_duplicates
 from gyre.llm.packing import pack
 from gyre.llm.quality import judge
-from gyre.llm.queries import TOKENIZERS
-from gyre.llm.suffix import remove_repeated_bytes
+from gyre.llm.suffix import remove_repeated_passages
+from gyre.llm.tokens import vocabulary
 from gyre.session import materialize, sized, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a run that counts as repeated: passages of over 50 words hold one.
+PASSAGE_WORDS = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and their host's verdict."""
+    """Documents that pass the quality rules and their host's verdict.
+
+    Null, empty and blank texts fail; a null host is judged by the document
+    alone; repeated rows count each and have the same verdict.
+    """
     return judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -42,28 +48,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that strings of 400 bytes cover which start anywhere else.
+    """Documents without the words that runs of PASSAGE_WORDS words cover which start anywhere else too.
 
-    Characters that a removed run cuts through go as a whole; a document of
-    which no word is left goes.
+    Whole words go, with what stands between them, so that no character is
+    cut; a document of which no word is left goes, and so do null and blank
+    texts. Repeated rows and copies under other ids hold each other's runs.
     """
-    found = remove_repeated_bytes(docs.select(*COLUMNS))
-    # a character cut in two leaves bytes that decode to the replacement character only
-    left = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.expr("make_valid_utf8(string(kept))"), "�", ""))
-    left = found.withColumn("text", left).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    found = remove_repeated_passages(docs.select(*COLUMNS), words=PASSAGE_WORDS)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
+    left = found.withColumn("text", text).where("n_words > n_removed")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; equal texts share a verdict, null and blank texts hold none and stay."""
     found = materialize(contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("text_md5").distinct(), "contaminated")
-    own = docs.withColumn("text_md5", F.unhex(F.md5("text")))
+    own = docs.select(*COLUMNS).withColumn("text_md5", F.unhex(F.md5("text")))
     return own.join(sized(found), "text_md5", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
-    return pack(docs.select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    """The pieces of all documents in sequences of 1024 tokens, with their ids (four bytes each, little-endian).
+
+    Null and empty texts are the final id alone; repeated rows are pieces of their own.
+    """
+    return pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
@@ -74,7 +83,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL expresses neither the tokens nor the packing; tests/test_pipeline.py runs two stages, and no test compares all five with a plain version yet.
+#: SQL expresses neither the tokens nor the packing; tests/test_pipeline.py compares all five stages with plain versions.
 ORACLE_SQL = None
 
 
