@@ -1,12 +1,13 @@
-"""Documents that hold a benchmark item: SimHash of item-sized windows, Hamming blocks, exact similarity.
-
-DataFrame functions only. A window that reaches the similarity has a run of
-shingles of the item, which is at least as long as a stride that follows from
-the items' lengths; documents are looked up at every stride-th shingle. In the
-documents found, windows of an item's size are laid where one of its shingles
-aligns them. Their fingerprints meet those of the items through an index of
-blocks, which holds every value within the radius' share of a block, so that
-no pair within the radius is missed; weighted shingles then decide.
+"""Documents that hold a benchmark item: SimHash of windows, Hamming blocks, exact similarity.
+
+DataFrame functions only. Every document is cut into windows on a grid of
+STRIDE words, in the sizes that items have (their size classes), and each
+window gets a fingerprint. Items are indexed by the fingerprints of their own
+windows of the class at all offsets: wherever an item stands in a document,
+the grid meets one of its offsets. Fingerprints are cut into one block more
+than the radius, so that a pair within the radius agrees in a block; blocks are
+long enough to select. Of the pairs found, weighted shingles of item-sized
+windows decide.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.llm.columns import col, packed, unpacked
 from gyre.session import materialize, sized
 
-BITS, BLOCKS = 64, 8
-#: Bits in which fingerprints may differ: at similarity 0.8 sixteen shingles differ in 10 +- 3, longer items in as many with less spread.
-RADIUS = 23
+#: Words between the windows of a document, and window sizes in shingles.
+STRIDE, CLASSES = 4, (4, 8, 16)
+#: Bits in which fingerprints may differ; blocks are one more.
+RADIUS = 2
+_SHIFTS, _WIDTHS = (0, 22, 43), (22, 21, 21)
+#: Rows of the index that are broadcast (32 bytes each); a larger one is joined by a shuffle.
+MOST_INDEX = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -26,37 +32,94 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def shingle_hashes(words: Column, width: int, stride: int = 1) -> Column:
-    """64-bit hashes of the word n-grams that start at every stride-th word; none if there are fewer words than width."""
-    last = F.size(words) - width + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(width), F.slice(words, i, width)))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit fingerprint of a bag of hashes: the majority in each bit, repeated ones with their weight."""
-    def bit(b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + (F.getbit(h, b) * 2 - 1).cast("int"))
-        return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def shingle_hashes(hashes: Column, width: Column | int) -> Column:
+    """64-bit hashes of the word n-grams, from the hashes of the words; none if there are fewer words than width."""
+    width = F.lit(width) if isinstance(width, int) else width
+    last = F.size(hashes) - width + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
+def _added(a: list[str], b: list[str], out: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Bitwise sums of two numbers of which each column holds a binary digit for 64 places."""
+    carry, digits = None, []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = F.col(x), F.col(y)
+        either = x.bitwiseXOR(y)
+        if carry is None:
+            made = {f"{out}{k}": either, f"{out}c{k}": x.bitwiseAND(y)}
+        else:
+            made = {f"{out}{k}": either.bitwiseXOR(F.col(carry)), f"{out}c{k}": x.bitwiseAND(y).bitwiseOR(F.col(carry).bitwiseAND(either))}
+        df = df.withColumns(made)
+        carry, digits = f"{out}c{k}", [*digits, f"{out}{k}"]
+    return df, [*digits, carry]
 
-def blocks(fingerprint: Column) -> Column:
-    """array<struct<block, value>> of the fingerprint's equal parts."""
-    size = BITS // BLOCKS
-    part = lambda i: F.call_function("shiftright", fingerprint, F.lit(i * size)).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
-    return F.array(*[F.struct(F.lit(i).alias("block"), part(i).alias("value")) for i in range(BLOCKS)])
 
+def fingerprints(rows: DataFrame, classes: tuple[int, ...], width: int = 5) -> DataFrame:
+    """rows with f4, f8, f16 (those in classes): 64-bit SimHash of the first 4, 8, 16 shingles of `hashes`, null if there are fewer.
 
-def numbered(hashes: Column) -> Column:
-    """The bag as a set: each hash with the number of its earlier occurrences, so that intersections count weights."""
-    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h)).alias("k")))
+    A bit is set if more than half of the shingles have it, counted with their
+    repetitions. The counts of all 64 bits are added up at once, a digit a column.
+    """
+    own, most = rows.columns, max(classes)
+    n = F.size("hashes")
+    # 0 stands for words behind the end: windows that reach there are left out below
+    rows = rows.select(*own, n.alias("n_hashes"), *[F.coalesce(F.get("hashes", F.lit(i)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(most + width - 1)])
+    rows = rows.select(*own, "n_hashes", *[F.xxhash64(*[f"w{i + k}" for k in range(width)]).alias(f"s{i}") for i in range(most)])
+    numbers = [[f"s{i}"] for i in range(most)]
+    made, size = [], 1
+    while size < most:
+        size *= 2
+        added = []
+        for k in range(0, len(numbers), 2):
+            rows, digits = _added(numbers[k], numbers[k + 1], f"a{size}x{k}x", rows)
+            added.append(digits)
+        numbers = added
+        if size in classes:
+            # over half of 2^k: the highest digit but one and any lower one, or the highest
+            *low, half, top = (F.col(c) for c in numbers[0])
+            some = low[0]
+            for c in low[1:]:
+                some = some.bitwiseOR(c)
+            bits = F.col(numbers[0][-1]).bitwiseOR(half.bitwiseAND(some))
+            rows = rows.withColumn(f"f{size}", F.when(F.col("n_hashes") >= size + width - 1, bits))
+            made.append(f"f{size}")
+    return rows.select(*own, *made)
+
+
+def keys(fingerprint: Column, size: int) -> list[Column]:
+    """The blocks of a fingerprint of a size class, each with its number and the class in one long."""
+    out = []
+    for k, (shift, width) in enumerate(zip(_SHIFTS, _WIDTHS, strict=True)):
+        block = F.call_function("shiftrightunsigned", fingerprint, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        out.append(block.bitwiseOR(F.lit((size << 3 | k) << 32).cast("long")))
+    return out
+
+
+def size_class(m: Column, percent: int, width: int) -> Column:
+    """The size of the windows that an item of m shingles is looked up by, 1 for the shortest items.
+
+    A window that reaches the similarity has need of the item's m shingles. An
+    edit within it costs width - 1 at least, so that the others lie in so many
+    runs; the longest holds a window on the grid if it is a class and the
+    stride less one long.
+    """
+    need = F.ceil(F.lit(2 * percent) * m / F.lit(100 + percent))
+    run = F.ceil(need / (F.floor((m - need) / F.lit(width - 1)) + 1))
+    out = F.lit(1)
+    for size in CLASSES:
+        out = F.when(run >= size + STRIDE - 1, F.lit(size)).otherwise(out)
+    return out
 
 
-def _masks() -> list[int]:
-    """Differences of a block that a pair within RADIUS has in at least one of the blocks."""
-    return [m for m in range(1 << (BITS // BLOCKS)) if bin(m).count("1") <= RADIUS // BLOCKS]
+def numbered(hashes: Column) -> Column:
+    """The bag as a set: each hash with the number of its earlier occurrences, so that intersections count weights."""
+    ordered = F.sort_array(hashes)
+    return F.transform(ordered, lambda h, i: F.struct(h.alias("h"), (i + 1 - F.array_position(ordered, h)).alias("k")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -70,64 +133,94 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     nothing; equal items and texts are found alike; items without an id count
     under null; empty tables give no rows.
 
-    The items' side is broadcast only up to a checked number of rows.
+    Looked up by fingerprints (see candidates), which find every pair of which a
+    run of shingles long enough is unchanged. The items' side is broadcast only
+    up to a checked number of rows.
     """
-    words = words_of(F.col(f"`{item_text_col}`"))
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), words.alias("words")).where(F.size("words") > 0).distinct()
-    w = F.least(F.lit(width), F.size("words"))
-    last = F.size("words") - F.col("w") + 1
-    own = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.col("w"), F.slice("words", i, F.col("w"))))
-    items = items.withColumn("w", w).select(F.xxhash64("item_id", "words").alias("item"), "item_id", F.size("words").alias("n"), "w", own.alias("hashes")).withColumn("m", F.size("hashes"))
-    items = materialize(items.withColumn("fingerprint", simhash(F.col("hashes"))), "items")
-    shingles = materialize(items.select("item", "n", "w", "m", F.posexplode("hashes").alias("o", "h")), "shingles")
-    # a window with m shingles shares need of them; the m - need others cut these into runs, of which the longest is as long as the stride
-    need = F.ceil(F.lit(2 * percent) * F.col("m") / F.lit(100 + percent))
-    runs = items.groupBy("w").agg(F.min(F.ceil(need / (F.col("m") - need + 1))).cast("int").alias("stride")).collect()  # width rows at most
-    text = F.col(f"`{text_col}`")
-    keyed = docs.select(F.unhex(F.md5(text)).alias("text_md5"), text.alias("text")).where("text is not null")
-    if not runs:
-        return _none(items)
-    looked_up = keyed.select("text_md5", words_of(F.col("text")).alias("words"))
-    looked_up = looked_up.select("text_md5", F.explode(F.concat(*[shingle_hashes(F.col("words"), r.w, max(1, r.stride)) for r in runs])).alias("h"))
-    hits = looked_up.join(sized(shingles.select("h").distinct()), "h", "left_semi").select("text_md5").distinct()
-    hits = materialize(hits, "hits")
-    # the documents found, once each, with all their shingles
-    found = keyed.join(sized(hits), "text_md5", "left_semi").dropDuplicates(["text_md5"])
-    found = found.select("text_md5", words_of(F.col("text")).alias("words"))
-    found = materialize(found.select("text_md5", F.size("words").alias("n_words"), F.explode(F.array(*[F.struct(F.lit(r.w).alias("w"), shingle_hashes(F.col("words"), r.w).alias("hashes")) for r in runs])).alias("s")).select("text_md5", "n_words", "s.w", "s.hashes"), "found")
-    places = found.select("text_md5", "n_words", "w", F.posexplode("hashes").alias("p", "h"))
-    aligned = places.join(sized(shingles), ["w", "h"])
+    items, keyed = _items(benchmark, item_col, item_text_col, width), _keyed(docs, text_col)
+    found = materialize(candidates(keyed, items, width, percent), "candidates")
+    # the documents found, once each
+    texts = keyed.join(sized(materialize(found.select("text_md5").distinct(), "hits")), "text_md5", "left_semi").dropDuplicates(["text_md5"])
+    texts = texts.select("text_md5", word_hashes(words_of(F.col("text"))).alias("hashes"))
+    pairs = found.join(items.select("item", "item_id", "n", "w", "bag"), "item").join(texts, "text_md5")
+    pairs = pairs.select("text_md5", "item_id", "item", "n", "w", "bag", F.size("hashes").alias("n_words"), shingle_hashes(F.col("hashes"), F.col("w")).alias("shingles"))
+    pairs = materialize(pairs, "pairs")
+    # a shingle of the text at place p and of the item at place o puts the window at p - o
+    places = pairs.select("text_md5", "item", "n", "n_words", F.posexplode("shingles").alias("p", "h"))
+    offsets = items.select("item", F.posexplode("bag").alias("o", "h"))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("n_words") - F.col("n")))
-    # a window needs percent of the item's shingles at least, whatever its place
-    least = F.ceil(F.lit(percent) * F.col("m") / F.lit(100))
-    enough = aligned.groupBy("text_md5", "item", "m").agg(F.countDistinct("p").alias("c")).where(F.col("c") >= least).select("text_md5", "item")
-    windows = aligned.select("text_md5", "item", "n", "w", start.alias("start")).distinct().join(enough, ["text_md5", "item"], "left_semi")
-    windows = materialize(windows.select("text_md5", "n", "w", "start").distinct(), "windows")
-    cut = windows.join(found, ["text_md5", "w"]).withColumn("bag", F.slice("hashes", F.col("start") + 1, F.greatest(F.lit(1), F.col("n") - F.col("w") + 1)))
-    cut = materialize(cut.select("text_md5", "n", "start", "bag").withColumn("fingerprint", simhash(F.col("bag"))), "fingerprints")
-    near = F.explode(F.transform(blocks(F.col("fingerprint")), lambda b: F.struct(b["block"].alias("block"), F.transform(F.array(*[F.lit(m) for m in _masks()]), lambda m: b["value"].bitwiseXOR(m)).alias("values"))))
-    index = items.select("item", "n", F.col("fingerprint").alias("item_fingerprint"), near.alias("b")).select("item", "n", "item_fingerprint", "b.block", F.explode("b.values").alias("value"))
-    index = materialize(index, "index")
-    asked = cut.select("text_md5", "n", "start", "fingerprint", F.inline(blocks(F.col("fingerprint"))))
-    pairs = asked.join(sized(index), ["n", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS)
-    pairs = pairs.select("text_md5", "n", "start", "item").distinct()
-    exact = pairs.join(cut.select("text_md5", "n", "start", "bag"), ["text_md5", "n", "start"])
-    exact = exact.join(sized(items.select("item", "item_id", F.col("hashes").alias("item_bag"))), "item")
-    both = F.size(F.array_intersect(numbered(F.col("bag")), numbered(F.col("item_bag"))))
-    exact = exact.withColumn("both", both).withColumn("all", F.size("bag") + F.size("item_bag") - F.col("both"))
-    exact = exact.where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all"))
+    starts = places.join(sized(materialize(offsets, "offsets")), ["item", "h"]).select("text_md5", "item", start.alias("start")).groupBy("text_md5", "item").agg(F.collect_set("start").alias("starts"))
+    windows = pairs.join(starts, ["text_md5", "item"]).select("text_md5", "item_id", "n", "w", "bag", "shingles", F.explode("starts").alias("start"))
+    held = F.slice("shingles", F.col("start") + 1, F.greatest(F.lit(1), F.col("n") - F.col("w") + 1))
+    windows = windows.select("text_md5", "item_id", "start", "bag", held.alias("held"))
+    both = F.size(F.array_intersect(numbered(F.col("held")), numbered(F.col("bag"))))
+    exact = windows.select("text_md5", "item_id", "start", both.alias("both"), (F.size("held") + F.size("bag")).alias("sizes"))
+    exact = exact.withColumn("all", F.col("sizes") - F.col("both")).where(F.lit(100) * F.col("both") >= F.lit(percent) * F.col("all"))
     best = exact.groupBy("text_md5", "item_id").agg(F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("start")).alias("s"))).alias("best"))
     return best.select("text_md5", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).cast("long").alias("window_start"))
 
 
-def _none(items: DataFrame) -> DataFrame:
-    return items.where("false").select(F.lit(b"").alias("text_md5"), "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("window_start"))
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, width: int) -> DataFrame:
+    """(item, item_id, n words, w, hashes of its words, bag of its shingles, m of them), each different item once."""
+    own = benchmark.select(col(item_col).alias("item_id"), words_of(col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    own = own.select(F.xxhash64("item_id", "words").alias("item"), "item_id", F.size("words").alias("n"), F.least(F.lit(width), F.size("words")).alias("w"), word_hashes(F.col("words")).alias("hashes"))
+    return materialize(own.withColumn("bag", shingle_hashes(F.col("hashes"), F.col("w"))).withColumn("m", F.size("bag")), "items")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    text = col(text_col)
+    return docs.select(F.unhex(F.md5(text)).alias("text_md5"), text.alias("text")).where("text is not null")
+
+
+def candidates(keyed: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct (text_md5, item) of which a window's fingerprint is within RADIUS of one of the item's.
+
+    Items of class 1 are looked up by every shingle: the fingerprint of one
+    shingle is its hash, of which 64 bits must agree.
+    """
+    size = F.when(F.col("w") == width, size_class(F.col("m"), percent, width)).otherwise(F.lit(1))
+    classed = items.select("item", "w", "hashes", "bag", size.alias("size"))
+    present = classed.select("size", "w").distinct().collect()  # width + len(CLASSES) rows at most
+    classes = tuple(sorted({r.size for r in present} - {1}))
+    texts = keyed.select("text_md5", word_hashes(words_of(F.col("text"))).alias("words"))
+    found = []
+    if classes:
+        # an item's windows of its class at every offset
+        offsets = F.transform(F.sequence(F.lit(1), F.size("bag") - F.col("size") + 1), lambda o: F.slice(F.col("hashes"), o, F.col("size") + width - 1))
+        own = fingerprints(classed.where("size > 1").select("item", "size", F.explode(offsets).alias("hashes")), classes, width)
+        index = F.explode(F.array(*[F.struct(F.lit(c).alias("size"), F.col(f"f{c}").alias("f"), F.array(*keys(F.col(f"f{c}"), c)).alias("keys")) for c in classes]))
+        index = own.select("item", "size", index.alias("i")).where("i.size = size").select("item", F.col("i.f").alias("item_f"), F.explode("i.keys").alias("key"))
+        index = materialize(index.distinct(), "index")
+        # windows that reach behind the end have no fingerprint. explode_outer, as explode makes the optimizer compute the array for a filter too
+        grid = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.lit(min(classes) + width - 2)), F.lit(STRIDE))
+        cut = F.transform(grid, lambda i: F.slice(F.col("words"), i, max(classes) + width - 1))
+        rows = texts.select("text_md5", F.explode_outer(cut).alias("hashes"))
+        rows = fingerprints(rows, classes, width).select("text_md5", *[f"f{c}" for c in classes])
+        asked = rows.select("text_md5", *[f"f{c}" for c in classes], F.explode_outer(F.array(*[k for c in classes for k in keys(F.col(f"f{c}"), c)])).alias("key"))
+        met = asked.where("key is not null").join(sized(index, MOST_INDEX), "key")
+        f = F.coalesce(*[F.when(F.call_function("shiftright", F.col("key"), F.lit(35)) == c, F.col(f"f{c}")) for c in classes])
+        found.append(met.where(F.bit_count(f.bitwiseXOR(F.col("item_f"))) <= RADIUS).select("text_md5", "item"))
+    short = sorted({r.w for r in present if r.size == 1})
+    if short:
+        index = materialize(classed.where("size = 1").select("item", F.explode("bag").alias("key")).distinct(), "index")
+        rows = texts.select("text_md5", F.explode_outer(F.concat(*[shingle_hashes(F.col("words"), w) for w in short])).alias("key"))
+        found.append(rows.join(sized(index, MOST_INDEX), "key").select("text_md5", "item"))
+    if not found:
+        return keyed.where("false").select("text_md5", F.lit(0).cast("long").alias("item"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with contaminated, n_items and similarity (the largest, null if none); columns with these names are replaced."""
+    """docs with contaminated, n_items and similarity (the largest, null if none); columns with these names (without case) are replaced.
+
+    Null and blank texts are not contaminated; repeated rows and equal texts
+    have equal results; an empty table gives no rows.
+    """
     found = contaminated(docs, benchmark, text_col, **options)
     by_text = materialize(found.groupBy("text_md5").agg(F.count("*").alias("n_items"), F.max("similarity").alias("similarity")), "flagged")
-    out = docs.drop("contaminated", "n_items", "similarity").withColumn("text_md5", F.unhex(F.md5(F.col(f"`{text_col}`"))))
-    out = out.join(sized(by_text), "text_md5", "left").drop("text_md5")
-    return out.withColumns({"contaminated": F.col("n_items").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0).cast("long"))})
+    rows, own = packed(docs, ("contaminated", "n_items", "similarity"), text_md5=F.unhex(F.md5(col(text_col))))
+    out = rows.join(sized(by_text), "text_md5", "left")
+    return out.select(*unpacked(own), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "similarity")

@@ -14,23 +14,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gyre.llm.columns import col, packed, unpacked
 from gyre.session import ship
 
-#: Bytes of a piece at most; longer ones of the vocabulary are left out.
-LONGEST = 12
-#: Bytes of a stretch that is scored at once; longer words are cut into such stretches.
-STRETCH = 48
-#: Labelled documents in training, at most about this many in all and a language: the documented bound of the sample.
+#: Labelled texts in training at most, in all and of a language: the documented bound of the sample.
 SAMPLE_ROWS, SAMPLE_ROWS_LANG = 4000, 700
-#: Words in a worker's cache at most.
-MOST = 500_000
+#: Bytes of a word that training learns from at most (scoring takes all), and languages of a model.
+TRAIN_WORD, MOST_LANGUAGES = 200, 500
+#: Words in a worker's cache at most, and bytes of a word that enters it.
+MOST, CACHED_WORD = 500_000, 200
+#: The score is the probability among the languages for so many bytes of the text on average.
+SCORED = 48
 
 _FACTOR = np.uint64(0x100000001B3)
-_LOWEST = 1e-300
+_SEED = np.uint64(0xCBF29CE484222325)
+#: Positions after which forward sums are scaled: no product of as many pieces falls below what a double holds.
+_EVERY = 16
 
 
 def has_letter(text: str) -> bool:
@@ -38,81 +41,134 @@ def has_letter(text: str) -> bool:
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The pieces of a vocabulary file in the tiktoken layout, all single bytes included, up to LONGEST bytes."""
+    """The pieces of a vocabulary file in the tiktoken layout, all single bytes included."""
     with open(path, "rb") as f:
         found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return sorted({p for p in found if 0 < len(p) <= LONGEST} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in found if p} | {bytes([b]) for b in range(256)})
 
 
-def _code(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each row of bytes."""
-    x = np.full(len(data), np.uint64(0xCBF29CE484222325))
-    for k in range(data.shape[1]):
-        x = (x ^ data[:, k]) * _FACTOR
-        x ^= x >> np.uint64(29)
+def _step(x: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hashes of one byte more."""
+    x = (x ^ data) * _FACTOR
+    x ^= x >> np.uint64(29)
     return x
 
 
 class Vocabulary:
-    """Pieces by the hash of their bytes."""
+    """Pieces by the hash of their bytes, and the hashes of their beginnings."""
 
     def __init__(self, pieces: list[bytes]):
-        rows = []
-        for n in range(1, LONGEST + 1):
+        whole, begun = [], []
+        self.longest = max(map(len, pieces))
+        for n in range(1, self.longest + 1):
             own = [p for p in pieces if len(p) == n]
             if own:
-                rows.append(_code(np.frombuffer(b"".join(own), np.uint8).reshape(-1, n).astype(np.uint64)))
-        self.codes = np.sort(np.concatenate(rows))
+                data = np.frombuffer(b"".join(own), np.uint8).reshape(-1, n).astype(np.uint64)
+                x = np.full(len(own), _SEED)
+                for k in range(n):
+                    x = _step(x, data[:, k])
+                    begun.append(x)
+                whole.append(x)
+        self.codes = np.sort(np.concatenate(whole))
+        self.begun = np.unique(np.concatenate(begun))
 
     def __len__(self) -> int:
         return len(self.codes)
 
-    def lattice(self, words: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For words of one length, the pieces in them: (start, end, which words, which pieces)."""
+    def _found(self, table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(table, x)
+        at[at == len(table)] = 0
+        return at, table[at] == x
+
+    def pieces_at(self, data: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For places (row, start) in a matrix of bytes: (length, which places, which pieces) for every piece that stands there."""
+        live, x, width = np.arange(len(starts)), np.full(len(starts), _SEED), data.shape[1]
+        for n in range(1, self.longest + 1):
+            inside = starts[live] + n <= width
+            live, x = live[inside], x[inside]
+            if not len(live):
+                return
+            x = _step(x, data[rows[live], starts[live] + (n - 1)])
+            at, hit = self._found(self.codes, x)
+            if hit.any():
+                yield n, live[hit], at[hit]
+            on = self._found(self.begun, x)[1]
+            live, x = live[on], x[on]
+
+    def lattice(self, words: list[bytes]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For words of one length, by start, the pieces in them: (end, which words, which pieces)."""
         data = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64)
-        out = []
-        for start in range(data.shape[1]):
-            x = np.full(len(words), np.uint64(0xCBF29CE484222325))
-            for end in range(start + 1, min(data.shape[1], start + LONGEST) + 1):
-                x = (x ^ data[:, end - 1]) * _FACTOR
-                x ^= x >> np.uint64(29)
-                at = np.searchsorted(self.codes, x)
-                at[at == len(self.codes)] = 0
-                hit = np.flatnonzero(self.codes[at] == x)
-                if len(hit):
-                    out.append((start, end, hit, at[hit]))
-        return out
+        every = np.arange(len(words))
+        return [[(start + n, hit, piece) for n, hit, piece in self.pieces_at(data, every, np.full(len(words), start))] for start in range(data.shape[1])]
+
+
+def sums(lattice: list[list[tuple[int, np.ndarray, np.ndarray]]], probabilities: np.ndarray, words: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums (positions x words x languages) over all segmentations, and the logarithms that scale them, by position."""
+    n = len(lattice)
+    ahead = np.zeros((n + 1, words, probabilities.shape[1]))
+    logs = np.zeros_like(ahead)
+    ahead[0] = 1.0
+    log = logs[0]
+    for start, pieces in enumerate(lattice):
+        if start and start % _EVERY == 0:
+            open_ = ahead[start : start + longest]
+            most = open_.max(axis=0)
+            open_ /= most
+            log = log + np.log(most)
+        logs[start] = log
+        for end, hit, piece in pieces:
+            ahead[end, hit] += ahead[start, hit] * probabilities[piece]
+    logs[n] = log
+    return ahead, logs
 
 
 def forward(vocabulary: Vocabulary, probabilities: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Log probabilities (words x languages) of words of one length, at most STRETCH bytes: no sum falls below what a double holds."""
-    n = len(words[0])
-    sums = np.zeros((n + 1, len(words), probabilities.shape[1]))
-    sums[0] = 1.0
-    for start, end, hit, piece in vocabulary.lattice(words):
-        sums[end, hit] += sums[start, hit] * probabilities[piece]
-    return np.log(np.maximum(sums[n], _LOWEST))
-
-
-def stretches(text: bytes) -> list[bytes]:
-    """The words of a text, each behind a space; long ones in stretches of STRETCH bytes."""
-    out = []
-    for w in text.split():
-        if len(w) < STRETCH:
-            out.append(b" " + w)
-        else:
-            w = b" " + w
-            out += [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
-    return out
-
-
-def by_length(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Log probabilities (words x languages) of words of one length, of all their segmentations together."""
+    ahead, logs = sums(vocabulary.lattice(words), probabilities, len(words), vocabulary.longest)
+    return np.log(ahead[-1]) + logs[-1]
+
+
+def forward_long(vocabulary: Vocabulary, probabilities: np.ndarray, word: bytes) -> np.ndarray:
+    """The same for a long word by itself, a position at a time; memory is bounded, whatever its length."""
+    data, longest, block = np.frombuffer(word, np.uint8).astype(np.uint64)[None, :], vocabulary.longest, 1 << 14
+    open_ = np.zeros((longest + 1, probabilities.shape[1]))  # the sum of position p is in row p modulo their number
+    size = len(open_)
+    open_[0] = 1.0
+    log = np.zeros(probabilities.shape[1])
+    for lo in range(0, len(word), block):
+        starts = np.arange(lo, min(len(word), lo + block))
+        found = [(np.full(len(at), n), starts[at], piece) for n, at, piece in vocabulary.pieces_at(data, np.zeros(len(starts), np.int64), starts)]
+        n, start, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        rows, weights = (start + n)[order] % size, probabilities[piece[order]]
+        ends = np.searchsorted(start[order], starts, "right")
+        a = 0
+        for p, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            own = open_[p % size]
+            if p % _EVERY == 0:
+                most = open_.max(axis=0)
+                open_ /= most
+                log += np.log(most)
+            open_[rows[a:b]] += own * weights[a:b]  # the ends of pieces from one start differ
+            own[:] = 0.0
+            a = b
+    return np.log(open_[len(word) % size]) + log
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, each behind a space."""
+    return [b" " + w for w in text.split()]
+
+
+def by_length(words: list[bytes], most: int = 400_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Words of one length together, of about most bytes."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    for group in groups.values():
-        for k in range(0, len(group), most):
-            part = group[k : k + most]
+    for n, group in groups.items():
+        step = max(1, most // n)
+        for k in range(0, len(group), step):
+            part = group[k : k + step]
             yield np.array(part), [words[i] for i in part]
 
 
@@ -130,16 +186,16 @@ def train(vocabulary: Vocabulary, counted: dict[str, Counter], rounds: int = 3,
             expected = np.full(len(vocabulary), smoothing)
             for index, group in by_length(own):
                 lattice = vocabulary.lattice(group)
-                n = len(group[0])
-                ahead, behind = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
-                ahead[0] = behind[n] = 1.0
-                for start, end, hit, piece in lattice:
-                    ahead[end, hit] += ahead[start, hit] * p[piece, 0]
-                for start, end, hit, piece in sorted(lattice, key=lambda x: -x[1]):
-                    behind[start, hit] += behind[end, hit] * p[piece, 0]
-                share = weight[index] / np.maximum(ahead[n], _LOWEST)
-                for start, end, hit, piece in lattice:
-                    np.add.at(expected, piece, ahead[start, hit] * p[piece, 0] * behind[end, hit] * share[hit])
+                n = len(lattice)
+                ahead, logs = (x[:, :, 0] for x in sums(lattice, p, len(group), vocabulary.longest))
+                # backward sums scaled by the sum of the word: at the scale of the position that a piece starts from they are what it weighs
+                behind = np.zeros_like(ahead)
+                behind[n] = 1 / ahead[n]
+                for start in range(n - 1, -1, -1):
+                    for end, hit, piece in lattice[start]:
+                        scaled = p[piece, 0] * behind[end, hit] * np.exp(logs[start, hit] - logs[end, hit])
+                        behind[start, hit] += scaled
+                        np.add.at(expected, piece, ahead[start, hit] * scaled * weight[index[hit]])
             p = (expected / expected.sum())[:, None]
         out.append(p)
     return np.concatenate(out, axis=1) if out else np.zeros((len(vocabulary), 0))
@@ -160,64 +216,90 @@ class Scorer(dict):
         return n
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log probability a byte (texts x languages)."""
+        """Log probabilities (texts x languages)."""
         if len(self) > MOST:
             self.clear()
             self.rows = self.rows[:0]
-        numbers = []
-        for t in texts:
-            words = stretches(t)
+        numbers, out = [], np.zeros((len(texts), self.rows.shape[1]))
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            for w in words:
+                if len(w) > CACHED_WORD:
+                    out[i] += forward_long(self.vocabulary, self.probabilities, w)
+            words = [w for w in words if len(w) <= CACHED_WORD]
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         if self.new:
             fresh = np.empty((len(self.new), self.rows.shape[1]))
             for index, group in by_length(self.new):
                 fresh[index] = forward(self.vocabulary, self.probabilities, group)
             self.rows, self.new = np.concatenate([self.rows, fresh]), []
-        return np.array([self.rows[n].sum(axis=0) for n in numbers]).reshape(len(texts), -1)
+        for i, n in enumerate(numbers):
+            out[i] += self.rows[n].sum(axis=0)
+        return out
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def fit(labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 3) -> tuple[list[str], np.ndarray]:
+def sample(labelled: DataFrame, text_col: str, lang_col: str, most_rows: int, most_lang: int) -> DataFrame:
+    """(lang, text) of a bounded sample: different texts of each language, those with the smallest hashes.
+
+    Copies count once, so that a hot text takes one place. The number of
+    different texts of a language is estimated first, so that only about twice
+    the sample is ranked.
+    """
+    rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = rows.where(F.col("text").rlike("\\p{L}")).withColumn("place", F.xxhash64("text"))
+    totals = {x.lang: x.n for x in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    most = max(1, min(most_lang, most_rows // max(1, len(totals))))
+    # twice the share, as hashes scatter and the number is an estimate
+    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * most + 50) / max(1, n))))]) if totals else F.create_map(F.lit(""), F.lit(0.0))
+    chance = F.pmod("place", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.where(chance < share[F.col("lang")]).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 30)), "place"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
+
+
+def fit(
+    labelled: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 3, most_rows: int = SAMPLE_ROWS, most_lang: int = SAMPLE_ROWS_LANG
+) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, learned on the driver from a bounded sample of labelled rows.
 
-    At most about SAMPLE_ROWS rows, spread evenly over the languages, and
-    SAMPLE_ROWS_LANG of each; chosen by a hash of the text, so that equal tables
-    give equal models. Rows without a language or a letter are not used.
+    At most most_rows different texts, spread evenly over the languages, and
+    most_lang of each; chosen by a hash of the text, so that tables of equal
+    rows in any order give the same model, and repeated rows count once. Rows
+    without a language, a text or a letter are not used, nor are words of over
+    TRAIN_WORD bytes. Over MOST_LANGUAGES languages raise ValueError, as the
+    model has a number for each piece and language. An empty table gives a
+    model without languages.
     """
-    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
-    totals = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return [], np.zeros((len(Vocabulary(read_pieces(vocabulary))), 0))
-    most = max(1, min(SAMPLE_ROWS_LANG, SAMPLE_ROWS // len(totals)))
-    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, most / n)))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share[F.col("lang")]).limit(2 * SAMPLE_ROWS + len(totals))
-    counted: dict[str, Counter] = {lang: Counter() for lang in sorted(totals)}
-    for row in sample.toLocalIterator():
-        if has_letter(row.text):
-            counted[row.lang].update(stretches(row.text.encode()))
-    counted = {lang: words for lang, words in counted.items() if words}
+    counted: dict[str, Counter] = {}
+    for row in sample(labelled, text_col, lang_col, most_rows, most_lang).toLocalIterator():
+        counted.setdefault(row.lang, Counter()).update(w for w in words_of(row.text.encode()) if len(w) <= TRAIN_WORD)
+    # in one order, so that sums are the same each time
+    counted = {lang: Counter(dict(sorted(words.items()))) for lang, words in sorted(counted.items()) if words}
     return list(counted), train(Vocabulary(read_pieces(vocabulary)), counted, rounds)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1, the probability among the model's languages a 48-byte stretch on average).
-
-    Whole texts are scored. A null text, or one without a letter, or a model
-    without languages gives `und` and 0. Equal probabilities give the language
-    that comes first by name. Columns of docs with these names are replaced; an
-    empty table gives no rows. The text is the only column read.
+    """docs with lang_pred and score (0 to 1, the probability among the model's languages for 48 bytes of the text on average).
+
+    Whole texts are scored: the sum over all segmentations of each word into
+    pieces of the whole vocabulary. A null text, or one without a letter, or a
+    model without languages gives `und` and 0. Equal probabilities give the
+    language that comes first by name; repeated rows have equal results.
+    Columns of docs with these names (without case) are replaced; an empty
+    table gives no rows. The text is the only column that predictions read.
     """
     ship(docs.sparkSession)
     languages, probabilities = model
     probabilities = probabilities.astype(np.float32)
     key = hash((tuple(languages), probabilities.tobytes()))
-    sent = docs.sparkSession.sparkContext.broadcast((languages, probabilities))  # vocabulary times languages numbers
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in own]
-    schema = T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast((languages, probabilities))  # vocabulary times MOST_LANGUAGES numbers at most
+    rows, own = packed(docs, ("lang_pred", "score"), text=col(text_col))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_, table = sent.value
@@ -226,7 +308,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: st
             _scorers[key] = Scorer(vocabulary, table)
         scorer = _scorers[key]
         for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
+            texts = batch.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if t and names_ and has_letter(t)]
             predicted: list[str] = ["und"] * len(texts)
             certain = np.zeros(len(texts))
@@ -235,17 +317,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: st
                 held += len(texts[i])
                 if held > 2 << 20 or hi == len(known):
                     part = known[lo:hi]
-                    logs = scorer.scores([texts[j].encode() for j in part])
-                    bytes_ = np.array([max(STRETCH, len(texts[j])) for j in part])
+                    coded = [texts[j].encode() for j in part]
+                    logs = scorer.scores(coded)
+                    bytes_ = np.array([max(SCORED, len(t)) for t in coded])
                     best = logs.argmax(axis=1)
-                    scaled = (logs - logs.max(axis=1)[:, None]) * (STRETCH / bytes_)[:, None]
+                    scaled = (logs - logs.max(axis=1)[:, None]) * (SCORED / bytes_)[:, None]
                     for j, b, p in zip(part, best, 1 / np.exp(scaled).sum(axis=1), strict=True):
                         predicted[j], certain[j] = names_[b], p
                     lo, held = hi, 0
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(predicted, pa.string()), pa.array(certain)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predicted, pa.string()), pa.array(certain)], names=["row", "lang_pred", "score"])
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).select(*unpacked(own), "lang_pred", "score")
 
 
 def held_out(id_col: Column) -> Column:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,8 @@ from gyre.session import materialize, ship, sized, trim
 
 Bins = dict[tuple[int, ...], int]
 EOS = 2
-#: Pieces of one length and bucket that are ranked in one task, about.
-BUCKET = 200_000
-
+#: Places that bins made of displaced pieces may leave free.
+SPARE = (0, 0, 1, 2, 4, 8, 16)
 _encoders: dict[str, Encoder] = {}
 
 
@@ -48,39 +48,45 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, four bytes each) of each document's ids and a final EOS. A null text is empty."""
+    """doc_id, piece, start, length, ids_crc32 (and ids, four bytes each) of each document's ids and a final EOS. A null text is empty.
+
+    _task and _place number the pieces of a length: the task that made them and
+    the place among those of its making. They hold once the rows are written.
+    """
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField(id_col, id_type), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")),
-        *([T.StructField("ids", T.BinaryType())] if with_ids else []),
+        *([T.StructField("ids", T.BinaryType())] if with_ids else []), T.StructField("_task", T.LongType()), T.StructField("_place", T.LongType()),
     ])
     end = EOS.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder, task, made = _encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in range(7)]
             held = 0
             for i, text in enumerate(batch.column(1)):
                 ids = encoder.ids(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
-                    for column, x in zip(rows, (i, k, start, length, zlib.crc32(part), part if with_ids else None), strict=True):
+                    for column, x in zip(rows, (i, k, start, length, zlib.crc32(part), part if with_ids else None, made[length]), strict=True):
                         column.append(x)
+                    made[length] += 1
                     held += len(part) if with_ids else 0
                 if held > 8 << 20:
-                    yield _piece_batch(batch, rows, schema, with_ids)
-                    rows, held = [[], [], [], [], [], []], 0
-            yield _piece_batch(batch, rows, schema, with_ids)
+                    yield _piece_batch(batch, rows, schema, with_ids, task)
+                    rows, held = [[] for _ in range(7)], 0
+            yield _piece_batch(batch, rows, schema, with_ids, task)
         trim()
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(encode, schema)
 
 
-def _piece_batch(batch: pa.RecordBatch, rows: list[list], schema: T.StructType, with_ids: bool) -> pa.RecordBatch:
+def _piece_batch(batch: pa.RecordBatch, rows: list[list], schema: T.StructType, with_ids: bool, task: int) -> pa.RecordBatch:
     columns = [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:5])]
-    return pa.RecordBatch.from_arrays([*columns, *([pa.array(rows[5], pa.binary())] if with_ids else [])], names=schema.names)
+    ids = [pa.array(rows[5], pa.binary())] if with_ids else []
+    return pa.RecordBatch.from_arrays([*columns, *ids, pa.array([task] * len(rows[0]), pa.int64()), pa.array(rows[6], pa.int64())], names=schema.names)
 
 
 # --- the genetic algorithm, on counts by length
@@ -143,6 +149,67 @@ def best_fit(bins: Bins, counts: Counter, capacity: int) -> Bins:
     return out
 
 
+def filled(counts: Counter, capacity: int, spare: int = 0) -> Bins:
+    """Bins for the pieces of counts, each begun with the largest piece left and
+    filled as far as any choice of the others allows, up to spare places less if
+    larger pieces make that, so that short ones last longer.
+
+    A choice is taken as often as its pieces last, which uses a length up: the
+    work depends on the number of lengths alone.
+    """
+    left, out = {x: n for x, n in sorted(counts.items()) if n > 0}, {}
+    mask = (1 << (capacity + 1)) - 1
+    while left:
+        lengths = list(left)
+        first = lengths[-1]
+        # the sums, as bits, that the pieces of the i shortest lengths can make
+        sums = [1]
+        for x in lengths:
+            bits, n, step = sums[-1], min(left[x] - (x == first), capacity // x), 1
+            while n > 0:
+                k = min(step, n)
+                bits |= bits << (k * x) & mask
+                n, step = n - k, step * 2
+            sums.append(bits)
+        high = (sums[-1] & ((1 << (capacity - first + 1)) - 1)).bit_length() - 1
+        low = max(0, high - spare)
+        content = [first]
+        for i in range(len(lengths) - 1, -1, -1):
+            if not low:
+                break
+            x = lengths[i]
+            k = min(left[x] - (x == first), high // x)
+            # the others must reach a sum from low to high
+            while not sums[i] >> max(0, low - k * x) & ((1 << (high - k * x - max(0, low - k * x) + 1)) - 1):
+                k -= 1
+            content += [x] * k
+            low, high = max(0, low - k * x), high - k * x
+        need = Counter(content)
+        times = min(left[x] // k for x, k in need.items())
+        out[tuple(content)] = out.get(tuple(content), 0) + times
+        for x, k in need.items():
+            left[x] -= k * times
+            if not left[x]:
+                del left[x]
+    return out
+
+
+def least_bins(counts: Counter, capacity: int) -> int:
+    """A number of bins that no packing goes below (Martello and Toth): pieces of over half a bin need one each, and what smaller ones don't find beside them needs others."""
+    n, tokens = np.zeros(capacity + 2, np.int64), np.arange(capacity + 2)
+    for x, k in counts.items():
+        n[x] = k
+    many, long = np.cumsum(n), np.cumsum(n * tokens)
+    half, best = capacity // 2, 0
+    for k in range(half + 1):
+        # alone: over capacity - k; beside smaller ones: the others of over half
+        alone, beside = many[capacity] - many[capacity - k], many[capacity - k] - many[half]
+        room = beside * capacity - (long[capacity - k] - long[half])
+        small = long[half] - (long[k - 1] if k else 0)
+        best = max(best, int(alone + beside + max(0, -(-(small - room) // capacity))))
+    return best
+
+
 def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     """Fewer bins are better, then a less even fill: the smaller the better."""
     return sum(bins.values()), -sum(n * (sum(c) / capacity) ** 2 for c, n in bins.items())
@@ -167,29 +234,44 @@ def crossover(a: Bins, b: Bins, counts: Counter, capacity: int, r: random.Random
             child[content] = child.get(content, 0) + n
             for length, k in need.items():
                 left[length] -= k * n
-    return best_fit(mutated(child, left, capacity, r), left, capacity)
+    return refitted(mutated(child, left, capacity, r), left, capacity, r)
 
 
 def mutated(bins: Bins, left: Counter, capacity: int, r: random.Random) -> Bins:
-    """bins without the emptiest and a few others, whose pieces go to left."""
+    """bins without the worst filled and a share of the others, whose pieces go to left: these can be combined anew."""
     out = dict(bins)
-    order = sorted(out, key=sum)
-    for content in {*order[: r.randint(1, 4)], *r.sample(order, min(len(order), r.randint(0, 6)))}:
-        n = min(out[content], r.randint(1, 3))
-        out[content] -= n
-        if not out[content]:
-            del out[content]
+    order = sorted(out, key=lambda c: (sum(c), r.random()))
+    opened = {*order[: r.randint(1, 8)], *(c for c in order if sum(c) < capacity and r.random() < 0.8), *r.sample(order, int(len(order) * r.uniform(0.02, 0.3)))}
+    for content in sorted(opened):
+        n = out.pop(content)
         for length, k in Counter(content).items():
             left[length] += k * n
     return out
 
 
-def evolve(counts: Counter, capacity: int, elite: list[Bins], seed: int, population: int = 8, generations: int = 30) -> list[Bins]:
-    """The two best solutions of an island after some generations; it stops early at the bound that the number of tokens sets."""
+def refitted(bins: Bins, left: Counter, capacity: int, r: random.Random) -> Bins:
+    """bins and the displaced pieces: these make well-filled bins among themselves, and of what is over each goes where it fits best."""
+    spare = r.choice(SPARE)
+    whole, over = {}, Counter()
+    for content, n in filled(left, capacity, spare).items():
+        if sum(content) >= capacity - spare:
+            whole[content] = n
+        else:
+            for length, k in Counter(content).items():
+                over[length] += k * n
+    for content, n in bins.items():
+        whole[content] = whole.get(content, 0) + n
+    return best_fit(whole, over, capacity)
+
+
+def evolve(counts: Counter, capacity: int, elite: list[Bins], seed: int, population: int = 6, generations: int = 8) -> list[Bins]:
+    """The two best solutions of an island after some generations; it stops early where no packing can be better."""
     r = random.Random(seed)
-    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    least = least_bins(counts, capacity)
     rank = lambda bins: fitness(bins, capacity)
     group = list(elite) or [best_fit({}, counts, capacity)]
+    while len(group) < population // 2:
+        group.append(refitted({}, Counter(counts), capacity, r))
     while len(group) < population:
         # other starts: some pieces fitted first
         some = Counter({k: r.randint(0, n) for k, n in counts.items()})
@@ -206,7 +288,7 @@ def evolve(counts: Counter, capacity: int, elite: list[Bins], seed: int, populat
 def solve(spark: SparkSession, counts: Counter, capacity: int, islands: int = 4, epochs: int = 2) -> Bins:
     """The best solution of all islands. What travels is bounded by the number of lengths, not of pieces."""
     ship(spark)
-    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    least = least_bins(counts, capacity)
     elite: list[Bins] = []
     for epoch in range(epochs):
         sent = pickle.dumps((counts, elite))
@@ -248,21 +330,19 @@ def pack(
     cut, with the shorter piece first. Pieces in a sequence follow each other
     without gaps from 0. A null or empty text is the EOS alone; repeated rows
     and rows without an id are pieces of their own; an empty table gives no rows.
+    docs' other columns are not carried along.
     """
     spark = docs.sparkSession
     made = materialize(pieces(docs, vocabulary, capacity, id_col, text_col, with_ids), "pieces")
     counts = Counter({x.length: x.n for x in made.groupBy("length").agg(F.count("*").alias("n")).collect()})  # capacity rows at most
     bins = solve(spark, counts, capacity, islands, epochs)
-    buckets = max(1, sum(counts.values()) // BUCKET)
-    ranked = made.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = ranked.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = materialize(sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")), "sizes")
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(F.col(f"`{id_col}`"), "piece", "ids_crc32"))
-    ranked = ranked.withColumn("_rank", within - 1).join(sized(sizes), ["length", "_bucket"])
-    ranked = ranked.select(*[f"`{c}`" for c in made.columns], (F.col("_rank") + F.col("_before")).alias("_rank"))
+    # a piece's rank within its length: those of earlier tasks, and its place in its own
+    sizes = made.groupBy("length", "_task").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = materialize(sizes.select("length", "_task", F.coalesce(before, F.lit(0)).alias("_before")), "sizes")
+    names = [c for c in made.columns if c not in ("_task", "_place")]
+    ranked = made.join(sized(sizes), ["length", "_task"]).select(*[f"`{c}`" for c in names], (F.col("_place") + F.col("_before")).alias("_rank"))
     key, sequence, offset = places(bins)
-    names = made.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,5 +351,5 @@ def pack(
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + wanted - key[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(f for f in made.schema.fields if f.name in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)

@@ -9,15 +9,16 @@ elsewhere the base rules alone decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gyre.llm.columns import col, others, packed, unpacked
 from gyre.llm.names import mix
 from gyre.llm.words import forget, word_hashes
 from gyre.session import materialize, ship, sized
@@ -57,7 +58,7 @@ def repeated_words(text: bytes) -> tuple[int, int]:
     return len(h), int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _counts(batch: pa.RecordBatch, column: pa.Array) -> list[pa.Array]:
+def _counts(column: pa.Array) -> list[pa.Array]:
     chars = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
     out = np.zeros((len(COUNTS), len(column)), np.int64)
     for i, text in enumerate(column.cast(pa.large_binary()).to_pylist()):
@@ -70,23 +71,36 @@ def _counts(batch: pa.RecordBatch, column: pa.Array) -> list[pa.Array]:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts in COUNTS (long), all 0 for a null text; columns of docs with these names are replaced.
+    """docs with the counts in COUNTS (long), all 0 for a null text; columns of docs with these names (without case) are replaced.
 
     Words are runs of bytes other than ASCII white space; n_lines counts lines
     (between line feeds) with a word, n_dup_lines those equal to an earlier one.
     """
-    ship(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name not in COUNTS]
-    names = [f.name for f in own]
-    schema = T.StructType([*own, *(T.StructField(n, T.LongType()) for n in COUNTS)])
+    rows, own = _with_text(docs, COUNTS, text_col)
+    return counted(rows, text_col).select(*unpacked(own), *COUNTS)
+
+
+def _with_text(docs: DataFrame, outputs: Sequence[str], text_col: str, **inputs: Column) -> tuple[DataFrame, list[T.StructField]]:
+    """docs packed, with the text beside only where the packed row doesn't hold it."""
+    held = any(f.name == text_col for f in others(docs, outputs))
+    return packed(docs, outputs, **inputs, **({} if held else {"text": col(text_col)}))
+
+
+def counted(rows: DataFrame, text_col: str) -> DataFrame:
+    """Packed rows with the counts of their text."""
+    ship(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
+    beside = "text" in rows.columns
+    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *_counts(batch, batch.column(names.index(text_col)))], names=[*names, *COUNTS])
+            text = batch.column("text") if beside else pc.struct_field(batch.column("row"), text_col)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *_counts(text)], names=[*names, *COUNTS])
         forget()
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema)
 
 
 def _rules() -> tuple:
@@ -99,6 +113,7 @@ def _rules() -> tuple:
 def host_rates(counted: DataFrame, host_col: str) -> DataFrame:
     """Per host the number of documents, of failures, and the shrunk rate of failures.
 
+    The prior weighs LEAST_PRIOR documents at least and MOST_PRIOR at most.
     Rates enter the moments in whole millionths and are summed exactly, so that
     the result doesn't depend on the order of rows.
     """
@@ -114,19 +129,25 @@ def host_rates(counted: DataFrame, host_col: str) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failures") + F.lit(m * k)) / (F.col("n") + F.lit(k)))
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, carried: Sequence[str] | None = None) -> DataFrame:
     """docs with the counts, base_failed, rule_failed, host_rate (null without a host), host_strict and kept.
 
     kept is false for a document that fails a base rule (under 10 words, or over
     20 % of them in repeated windows), and for one of a strict host (shrunk rate
     of failures of host_limit or more) that fails any rule. A null host is
     judged by the document alone. A null text fails; equal rows have equal
-    results; an empty table gives no rows; columns with the outputs' names are
-    replaced.
+    results; an empty table gives no rows; columns with the outputs' names
+    (without case) are replaced. carried names the columns of docs that the
+    result keeps, all unless it is given: what is carried is written once with
+    the counts.
     """
-    counted = measured(docs.drop(*VERDICTS), text_col)
+    left_out = [] if carried is None else [f.name for f in others(docs, carried)]
+    rows, own = _with_text(docs, (*COUNTS, *VERDICTS, *left_out), text_col, host=col(host_col))
+    # written, so that texts are measured once for the rates and the verdicts
+    rows = materialize(counted(rows, text_col), "counts")
     base, any_rule = _rules()
-    strict = materialize(host_rates(counted.select(F.col(f"`{host_col}`"), *COUNTS), host_col).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")), "rates")
-    out = counted.withColumns({"base_failed": base, "rule_failed": any_rule}).join(sized(strict), F.col(f"`{host_col}`") == F.col("_host"), "left").drop("_host")
+    strict = materialize(host_rates(rows, "host").select("host", F.col("rate").alias("host_rate")), "rates")
+    out = rows.withColumns({"base_failed": base, "rule_failed": any_rule}).join(sized(strict), "host", "left")
     out = out.withColumn("host_strict", F.coalesce(F.col("host_rate") >= host_limit, F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_strict") & F.col("rule_failed")))
+    kept = ~F.col("base_failed") & ~(F.col("host_strict") & F.col("rule_failed"))
+    return out.select(*unpacked(own), *COUNTS, "base_failed", "rule_failed", "host_rate", "host_strict", kept.alias("kept"))

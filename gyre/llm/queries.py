@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm.chat import preference_pairs
+from gyre.llm.chat import other_answers, preference_pairs, span_text
 from gyre.llm.decontaminate import flag
 from gyre.llm.langid import fit, held_out, predict
 from gyre.llm.minhash import near_duplicates
@@ -19,7 +19,7 @@ from gyre.llm.suffix import remove_repeated_bytes
 from gyre.llm.tokens import vocabulary
 from gyre.llm.urls import judge_urls
 from gyre.llm.warc import read_archives, write_archives
-from gyre.session import table
+from gyre.session import materialize, table
 
 # The rules of the URL query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -32,17 +32,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host_strict")
+    return judge(docs, carried=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_failed", "host_strict")
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs conversation 2k (chosen) with 2k + 1 (rejected)."""
-    turns = table(spark, sf_dir, "conversations")
-    own = turns.where("conv_id is not null").select("conv_id").distinct()
-    pairs = own.where("conv_id % 2 = 0").select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
-    made = preference_pairs(turns, pairs)
-    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return made.select("chosen_id", "rejected_id", "n_shared", "prompt", "chosen", "rejected", trained("chosen_spans").alias("chosen_trained"), trained("rejected_spans").alias("rejected_trained"))
+    """Each conversation (chosen) against itself with its last answer from a neighbour (rejected): what goes before is shared."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    # a table of its own: the variants are read for the pairs and for their turns
+    variants = materialize(other_answers(turns), "variants")
+    pairs = variants.select((-1 - F.col("conv_id")).alias("chosen_id"), F.col("conv_id").alias("rejected_id"), "donor").distinct()
+    made = preference_pairs(turns.unionByName(variants.drop("donor")), pairs)
+    return made.select("chosen_id", "donor", "n_shared", "prompt", "chosen", "rejected", span_text(F.col("chosen_spans")).alias("chosen_spans"), span_text(F.col("rejected_spans")).alias("rejected_spans"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

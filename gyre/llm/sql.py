@@ -45,19 +45,21 @@ FROM judged LEFT JOIN rate USING (source)
 """
 
 OP3 = """
-WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
-pair AS (SELECT a.conv_id AS x, b.conv_id AS y, least(a.n, b.n) AS most FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
-diff AS (SELECT p.x, min(a.k) AS first FROM pair p JOIN t a ON a.conv_id = p.x JOIN t b ON b.conv_id = p.y AND a.k = b.k WHERE a.role <> b.role OR a.text <> b.text GROUP BY p.x),
-cut AS (SELECT p.x, p.y, coalesce(d.first - 1, p.most)::INT AS s FROM pair p LEFT JOIN diff d USING (x)),
-r AS (SELECT conv_id, k, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line, length(text) + 10 AS size FROM t)
-SELECT x AS chosen_id, y AS rejected_id, s AS n_shared,
-  (SELECT coalesce(string_agg(line, '' ORDER BY k), '') FROM r WHERE conv_id = x AND k <= s) AS prompt,
-  (SELECT coalesce(string_agg(line, '' ORDER BY k), '') FROM r WHERE conv_id = x AND k > s) AS chosen,
-  (SELECT coalesce(string_agg(line, '' ORDER BY k), '') FROM r WHERE conv_id = y AND k > s) AS rejected,
-  (SELECT coalesce(sum(size), 0)::BIGINT FROM r WHERE conv_id = x AND k > s AND role = 'assistant') AS chosen_trained,
-  (SELECT coalesce(sum(size), 0)::BIGINT FROM r WHERE conv_id = y AND k > s AND role = 'assistant') AS rejected_trained
-FROM cut
+WITH own AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ans AS (SELECT conv_id, turn AS last_turn, coalesce(text, '') AS answer FROM own WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) = 1),
+pair AS (SELECT a.conv_id, a.last_turn, coalesce(n.conv_id, p.conv_id) AS donor, coalesce(n.answer, p.answer) AS answer FROM ans a LEFT JOIN ans n ON n.conv_id = a.conv_id + 1 LEFT JOIN ans p ON p.conv_id = a.conv_id - 1),
+sides AS (SELECT conv_id, 'a' AS side, turn, role, text FROM own SEMI JOIN (FROM pair WHERE donor IS NOT NULL) q USING (conv_id)
+  UNION ALL SELECT o.conv_id, 'b', o.turn, o.role, o.text FROM own o JOIN pair q ON q.conv_id = o.conv_id AND donor IS NOT NULL AND (o.turn IS NULL OR o.turn < q.last_turn)
+  UNION ALL SELECT conv_id, 'b', last_turn, 'assistant', answer FROM pair WHERE donor IS NOT NULL),
+t AS (SELECT conv_id, side, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
+most AS (SELECT conv_id, least(max(k) FILTER (side = 'a'), max(k) FILTER (side = 'b')) AS n FROM t GROUP BY conv_id),
+diff AS (SELECT a.conv_id, min(a.k) AS first FROM t a JOIN t b ON a.side = 'a' AND b.side = 'b' AND a.conv_id = b.conv_id AND a.k = b.k WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.conv_id),
+cut AS (SELECT conv_id, coalesce(first - 1, n)::INT AS s FROM most LEFT JOIN diff USING (conv_id)),
+r AS (SELECT t.*, k <= s AS shared, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line, 13 + length(role) AS head FROM t JOIN cut USING (conv_id)),
+x AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, side, shared ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + head AS start FROM r),
+out AS (SELECT conv_id, side, shared, string_agg(line, '' ORDER BY k) AS lines, string_agg(start || ':' || (start + length(text) + 10), ' ' ORDER BY k) FILTER (role = 'assistant') AS spans FROM x GROUP BY ALL)
+SELECT c.conv_id AS chosen_id, p.donor, c.s AS n_shared, coalesce(m.lines, '') AS prompt, coalesce(a.lines, '') AS chosen, coalesce(b.lines, '') AS rejected, coalesce(a.spans, '') AS chosen_spans, coalesce(b.spans, '') AS rejected_spans
+FROM cut c JOIN pair p USING (conv_id) LEFT JOIN out m ON m.conv_id = c.conv_id AND m.side = 'a' AND m.shared LEFT JOIN out a ON a.conv_id = c.conv_id AND a.side = 'a' AND NOT a.shared LEFT JOIN out b ON b.conv_id = c.conv_id AND b.side = 'b' AND NOT b.shared
 """
 
 OP4 = """

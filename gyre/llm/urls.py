@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.llm.columns import col, packed, unpacked
 from gyre.session import materialize, sized
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +48,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwi
     the longest rule (host and path together) wins, of equally long ones the one
     that blocks, then the last by text. Null urls and urls without `://` have an
     empty host and path, which no rule fits; equal rows have equal results;
-    columns of pages with the outputs' names are replaced.
+    columns of pages with the outputs' names (without case) are replaced.
 
     Distinct (host, path) pairs are expanded, so that a hot one costs one row.
     """
@@ -55,8 +56,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwi
     # the shapes that rules have: at most as many as label counts and path lengths occur
     shapes = table.agg(F.collect_set("labels").alias("labels"), F.collect_set("path_length").alias("lengths")).first()
     labels, lengths = (F.array(*[F.lit(int(x)) for x in sorted(v)]) if v else F.array().cast("array<int>") for v in shapes)
-    host, path = host_and_path(F.col(f"`{url_col}`"))
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    host, path = host_and_path(col(url_col))
+    named, own = packed(pages, ("host", "path", "rule", "verdict"), host=host, path=path)
     pairs = named.where("host <> ''").select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.filter(labels, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
@@ -66,6 +67,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwi
     expressions = expressions.select("host", "path", digest.alias("full")).withColumn("short", F.substring("full", 1, SHORT))
     hits = expressions.join(sized(table.withColumn("short", F.substring("digest", 1, SHORT))), "short").where("full = digest")
     best = F.max_by(F.struct("rule", "verdict"), F.struct("rank", "verdict", "rule"))
-    found = hits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", F.col("b.verdict").alias("by_rule"))
+    found = hits.groupBy("host", "path").agg(best.alias("b"))
     out = named.join(found, ["host", "path"], "left")
-    return out.withColumn("verdict", F.coalesce("by_rule", F.lit(otherwise))).drop("by_rule")
+    return out.select(*unpacked(own), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(otherwise)).alias("verdict"))

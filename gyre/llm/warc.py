@@ -25,8 +25,8 @@ from gyre.session import fresh_path, materialize, ship, sized
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 32 << 10
-#: Records, and bytes of them, that a file's dictionary is built from at most; a bounded sample of the file.
-SAMPLE_RECORDS, SAMPLE_BYTES = 400, 1 << 20
+#: Records, bytes of them, and bytes of one that a file's dictionary is built from at most; a bounded sample of the file.
+SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_RECORD = 400, 1 << 20, 65_536
 FILE_BYTES = 64 << 20
 _ZERO_DATE = "1970-01-01T00:00:00Z"
 
@@ -63,26 +63,30 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
-    """A Zstandard dictionary of the samples; empty if they are too few or too short to build one."""
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 8:
-        return b""
+    """A Zstandard dictionary of the samples, or if they are too few or too short to train one, of their bytes as they are."""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 4)
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8, f=18, accel=2, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(samples) >= 8 and size >= 2048:
+        try:
+            return zstandard.train_dictionary(size, samples, k=512, d=8, f=18, accel=2, level=3).as_bytes()
+        except zstandard.ZstdError:
+            pass  # too alike: their bytes serve
+    return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 class Writer:
-    """Writes records to a stream, the first ones when the dictionary is built or at close."""
+    """Writes records to a stream, the first ones when the dictionary is built or at close.
+
+    The dictionary is built from the beginnings (SAMPLE_RECORD bytes) of the
+    first records; records themselves are written whole.
+    """
 
     def __init__(self, sink, level: int = 3):
         self.sink, self.level, self.early, self.held, self.compress, self.written = sink, level, [], 0, None, 0
 
     def _begin(self) -> None:
-        d = _dictionary([x[:65536] for x in self.early])
+        d = _dictionary([x[:SAMPLE_RECORD] for x in self.early])
         self.sink.write(struct.pack("<II", MAGIC, len(d)) + d)
-        self.compress = zstandard.ZstdCompressor(level=self.level, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}))
+        self.compress = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d))
         self.written += len(d)
         for x in self.early:
             self._put(x)
@@ -98,7 +102,7 @@ class Writer:
             self._put(raw)
             return
         self.early.append(raw)
-        self.held += min(len(raw), 65536)
+        self.held += min(len(raw), SAMPLE_RECORD)
         if len(self.early) >= SAMPLE_RECORDS or self.held >= SAMPLE_BYTES:
             self._begin()
 
@@ -113,7 +117,7 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     if magic != MAGIC:
         raise ValueError("no dictionary frame at the start")
     d = source.read(n)
-    decompress = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}))
+    decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d))
     rest = b""
     while True:
         frame = decompress.decompressobj()
@@ -137,6 +141,9 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def _open_folder(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI; s3a and s3n are the names that Hadoop gives s3."""
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
