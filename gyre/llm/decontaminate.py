@@ -44,21 +44,6 @@ def shingle_hashes(hashes: Column, width: Column | int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
 
 
-def _added(a: list[str], b: list[str], out: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Bitwise sums of two numbers of which each column holds a binary digit for 64 places."""
-    carry, digits = None, []
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = F.col(x), F.col(y)
-        either = x.bitwiseXOR(y)
-        if carry is None:
-            made = {f"{out}{k}": either, f"{out}c{k}": x.bitwiseAND(y)}
-        else:
-            made = {f"{out}{k}": either.bitwiseXOR(F.col(carry)), f"{out}c{k}": x.bitwiseAND(y).bitwiseOR(F.col(carry).bitwiseAND(either))}
-        df = df.withColumns(made)
-        carry, digits = f"{out}c{k}", [*digits, f"{out}{k}"]
-    return df, [*digits, carry]
-
-
 def fingerprints(rows: DataFrame, classes: tuple[int, ...], width: int = 5) -> DataFrame:
     """rows with f4, f8, f16 (those in classes): 64-bit SimHash of the first 4, 8, 16 shingles of `hashes`, null if there are fewer.
 
@@ -70,23 +55,33 @@ def fingerprints(rows: DataFrame, classes: tuple[int, ...], width: int = 5) -> D
     # 0 stands for words behind the end: windows that reach there are left out below
     rows = rows.select(*own, n.alias("n_hashes"), *[F.coalesce(F.get("hashes", F.lit(i)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(most + width - 1)])
     rows = rows.select(*own, "n_hashes", *[F.xxhash64(*[f"w{i + k}" for k in range(width)]).alias(f"s{i}") for i in range(most)])
-    numbers = [[f"s{i}"] for i in range(most)]
-    made, size = [], 1
+    numbers, size = [[f"s{i}"] for i in range(most)], 1
+    made = []
     while size < most:
         size *= 2
-        added = []
-        for k in range(0, len(numbers), 2):
-            rows, digits = _added(numbers[k], numbers[k + 1], f"a{size}x{k}x", rows)
-            added.append(digits)
-        numbers = added
+        pairs = [(numbers[k], numbers[k + 1]) for k in range(0, len(numbers), 2)]
+        names = [[f"a{size}x{k}x{digit}" for digit in range(len(pairs[0][0]) + 1)] for k in range(len(pairs))]
+        carries: list[Column | None] = [None] * len(pairs)
+        # a digit of all sums of this size at once: a sum's digit, and what it carries into the next
+        for digit in range(len(pairs[0][0])):
+            columns = {}
+            for k, (left, right) in enumerate(pairs):
+                x, y, carry = F.col(left[digit]), F.col(right[digit]), carries[k]
+                either = x.bitwiseXOR(y)
+                columns[names[k][digit]] = either if carry is None else either.bitwiseXOR(carry)
+                columns[f"{names[k][digit]}c"] = x.bitwiseAND(y) if carry is None else x.bitwiseAND(y).bitwiseOR(carry.bitwiseAND(either))
+                carries[k] = F.col(f"{names[k][digit]}c")
+            rows = rows.withColumns(columns)
+        for k, name in enumerate(names):
+            name[-1] = f"{names[k][-2]}c"
+        numbers = names
         if size in classes:
-            # over half of 2^k: the highest digit but one and any lower one, or the highest
+            # over half of 2^k: the highest digit, or the next and any lower one
             *low, half, top = (F.col(c) for c in numbers[0])
             some = low[0]
             for c in low[1:]:
                 some = some.bitwiseOR(c)
-            bits = F.col(numbers[0][-1]).bitwiseOR(half.bitwiseAND(some))
-            rows = rows.withColumn(f"f{size}", F.when(F.col("n_hashes") >= size + width - 1, bits))
+            rows = rows.withColumn(f"f{size}", F.when(F.col("n_hashes") >= size + width - 1, top.bitwiseOR(half.bitwiseAND(some))))
             made.append(f"f{size}")
     return rows.select(*own, *made)
 
