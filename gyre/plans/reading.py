@@ -16,7 +16,6 @@ CONJUNCTIONS = ("and", "but", "or", "because", "so", "while", "when")
 WORDS_PER_SENTENCE, UNITS_PER_WORD = 14, 2
 # The gates of page text.
 OCR_MIN_CHARS, OCR_IMAGES_PER_1000 = 200, 15
-LEGACY_MIN_LETTERS, LEGACY_MAX_SHARE = 200, 0.5
 
 _TRIM = r"E' \t\n\r\x0B\x0C'"
 
@@ -26,8 +25,6 @@ def _trim(c):
 
 
 # --- gates of page text
-_measure("f8_legacy_font", f"lang = 'fr' AND len(regexp_extract_all(text, '[A-Za-zऀ-ॿ]')) >= {LEGACY_MIN_LETTERS} AND len(regexp_extract_all(text, '[ऀ-ॿ]'))::DOUBLE / len(regexp_extract_all(text, '[A-Za-zऀ-ॿ]')) < {LEGACY_MAX_SHARE} AS legacy",
-         legacy=lambda: (F.col("lang") == "fr") & (F.regexp_count("text", F.lit("[A-Za-zऀ-ॿ]")) >= LEGACY_MIN_LETTERS) & (F.try_divide(F.regexp_count("text", F.lit("[ऀ-ॿ]")), F.regexp_count("text", F.lit("[A-Za-zऀ-ॿ]"))) < LEGACY_MAX_SHARE))
 both("f9_needs_ocr", f"""WITH p AS (SELECT page_id, length(trim(regexp_replace(html, '<[^>]*>', ''))) AS chars, length(html) - length(replace(html, '<img', 'img')) AS images, instr(html, '<svg') > 0 AS drawn FROM {{pages}})
 SELECT page_id, CASE WHEN chars < {OCR_MIN_CHARS} THEN images > 0 OR drawn ELSE images * 1e3 / chars > {OCR_IMAGES_PER_1000} END AS needs_ocr FROM p""",
      f"""WITH p AS (SELECT page_id, length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) AS chars, length(html) - length(replace(html, '<img', 'img')) AS images, instr(html, '<svg') > 0 AS drawn FROM {{pages}})
@@ -125,7 +122,6 @@ def k11(spark, sf_dir):
 
 # --- prompts, prefixes, reports
 both("t64_prompt", "SELECT conv_id, turn, concat('Question: ', text, ' | Role: ', role) AS prompt FROM {conversations}")
-both("t67_combined_text", "SELECT doc_id, concat_ws(' | ', concat('Grade ', CAST(grade AS STRING)), concat('Subject: ', subject), concat('Topic: ', medium), concat('Keywords: ', left(text, 20))) AS combined FROM {content} c")
 both("a15_mean_alignment", "SELECT d.source, round(avg(l.quality), 6) AS alignment, count(*) AS n FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source")
 both("a37_ensemble_mean", "SELECT doc_id, (quality + 1e0 - toxic) / 2e0 AS score FROM {labels}")
 both("m15_wilson", """WITH g AS (SELECT d.lang, count(*) AS n, sum(l.quality) * 1e0 / count(*) AS p FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL GROUP BY d.lang),

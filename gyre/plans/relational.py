@@ -84,7 +84,7 @@ both("a12_counts_by_status", "SELECT o_orderstatus, count(*) AS n FROM {orders}
 both("a13_weighted_mean", "SELECT l_returnflag, round(coalesce(sum(l_extendedprice * l_quantity * (1 - l_discount)) / nullif(sum(l_quantity * (1 - l_discount)), 0), 7.0), 4) AS score FROM {lineitem} GROUP BY l_returnflag")
 both("a14_top3_weighted", """WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM {orders})
 SELECT o_custkey, round(sum(o_totalprice * o_totalprice) / sum(o_totalprice), 4) AS alignment FROM r WHERE k <= 3 GROUP BY o_custkey""")
-both("a16_linear_confidence", "SELECT l_orderkey, l_linenumber, round(0.3 * l_discount + 0.3 * l_tax + 0.2 * l_quantity + 0.2, 6) AS overall FROM {lineitem} WHERE l_linenumber = 1")
+both("a16_linear_confidence", "SELECT l_orderkey, l_linenumber, round(0.3 * l_discount + 0.3 * l_tax + 0.2 * l_quantity + 0.2, 6) AS overall FROM {lineitem}")
 both("a17_retrieval_confidence", "SELECT user_id, round(least(1.0, coalesce(avg(CASE WHEN value >= 20 THEN value / 100 END), 0.5) + least(0.1 * count(CASE WHEN value >= 20 THEN 1 END), 0.2)), 6) AS confidence FROM {events} GROUP BY user_id")
 both("a18_latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events})
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.99), 6) AS p99 FROM r WHERE k <= 1000 GROUP BY event_type""",

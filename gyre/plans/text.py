@@ -46,30 +46,20 @@ def _sent():
     return F.greatest(F.lit(1), F.size(X.sentences(F.col("text"))))
 
 
-
-
 def _n():
     return F.greatest(F.lit(1), F.size(X.words(F.col("text"))))
 
 
 _measure("t17_readability", f"round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (w::DOUBLE / s) - 84.6::DOUBLE * (y::DOUBLE / w))), 5) AS ease, round(greatest(0.0::DOUBLE, 0.39::DOUBLE * (w::DOUBLE / s) + 11.8::DOUBLE * (y::DOUBLE / w) - 15.59::DOUBLE), 5) AS grade FROM (SELECT doc_id, greatest(1, len({_W})) AS w, {_SENT} AS s, coalesce({_SYL}, 0) AS y FROM documents) --",
          ease=lambda: F.round(X.flesch(_n(), _sent(), _syl()), 5), grade=lambda: F.round(X.kincaid(_n(), _sent(), _syl()), 5))
-_measure("f20_ease_bucket", "CASE WHEN n_chars < 100 THEN 'very_easy' WHEN n_chars < 500 THEN 'easy' WHEN n_chars < 2000 THEN 'moderate' ELSE 'hard' END AS bucket",
-         bucket=lambda: F.when(F.col("n_chars") < 100, "very_easy").when(F.col("n_chars") < 500, "easy").when(F.col("n_chars") < 2000, "moderate").otherwise("hard"))
 _measure("t22_complex_words", f"len(list_distinct(list_filter({_W}, lambda w: length(w) > 10)))::INT AS n", n=lambda: F.size(F.array_distinct(F.filter(X.words(F.col("text")), lambda w: F.length(w) > 10))))
 _measure("t27_script_share", r"round(len(regexp_extract_all(text, '[A-Za-z]'))::DOUBLE / greatest(1, len(regexp_extract_all(text, '\p{L}'))), 6) AS share", share=lambda: F.round(F.regexp_count(F.col("text"), F.lit("[A-Za-z]")) / F.greatest(F.lit(1), F.regexp_count(F.col("text"), F.lit(r"\p{L}"))), 6))
-_measure("t33_keyword_overlap", f"round(len(list_intersect(list_distinct(list_transform({_W}, lambda w: lower(w))), ['the', 'and', 'der', 'les']))::DOUBLE / 4, 6) AS overlap",
-         overlap=lambda: F.round(F.size(F.array_intersect(F.transform(X.words(F.col("text")), F.lower), F.array(*[F.lit(k) for k in ("the", "and", "der", "les")]))) / 4.0, 6))
 _measure("t40_redacted", r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[REDACTED_AWS_KEY]', 'g'), 'sk-[A-Za-z0-9]{48}', '[REDACTED_OPENAI_KEY]', 'g'), 'ghp_[A-Za-z0-9]{36}', '[REDACTED_GITHUB_TOKEN]', 'g'),
   '(?i)(password|passwd|pwd)["'']?\s*[:=]\s*["'']?([^\s"'']{8,})', '[REDACTED_PASSWORD]', 'g'), 'eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*', '[REDACTED_JWT]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED_EMAIL]', 'g') AS redacted""",
          redacted=lambda: X.redacted(F.col("text")))
-_measure("t38_pii_flag", r"regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') OR regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') AS pii", pii=lambda: F.col("text").rlike(X.REDACTIONS[5][0]) | F.col("text").rlike(X.REDACTIONS[6][0]))
 _measure("t28_malformed_maths", r"regexp_matches(text, '\$[^$]*$') AND (length(text) - length(replace(text, '$', ''))) % 2 = 1 AS malformed", malformed=lambda: F.col("text").rlike(r"\$[^$]*\z") & ((F.length("text") - F.length(F.replace("text", F.lit("$"), F.lit("")))) % 2 == 1))
-_measure("t54_query_complexity", "round(least(0.5, length(text) / 500.0) + (CASE WHEN contains(lower(text), 'the') THEN 0.1 ELSE 0.0 END), 6)::DOUBLE AS score", score=lambda: F.round(F.least(F.lit(0.5), F.length("text") / 500.0) + F.when(F.lower("text").contains("the"), 0.1).otherwise(0.0), 6))
-_measure("t68_query_prefix", "'query: ' || left(text, 40) AS prompt", prompt=lambda: F.concat(F.lit("query: "), F.left(F.col("text"), F.lit(40))))
 _measure("t70_extractive_answer", r"array_to_string(list_filter(list_transform(string_split(text, '.'), lambda s: trim(s, E' \t\n\r\x0B\x0C')), lambda s: s <> '')[1:3], '. ') AS answer",
          answer=lambda: F.array_join(F.slice(F.filter(F.transform(F.split(F.col("text"), r"\."), lambda s: F.btrim(s, F.lit(X.BLANKS))), lambda s: s != ""), 1, 3), ". "))
-_measure("t47_quote", "left(text, 150) AS quote", quote=lambda: F.left(F.col("text"), F.lit(150)))
 _measure("f23_prose", rf"len({_W}) >= 8 AND len(regexp_extract_all(text, '[0-9]'))::DOUBLE / greatest(1, length(text)) < 0.25 AS prose", prose=lambda: (F.size(X.words(F.col("text"))) >= 8) & (F.regexp_count(F.col("text"), F.lit("[0-9]")) / F.greatest(F.lit(1), F.length("text")) < 0.25))
 _measure("m11_hashes", "md5(text) AS md5, sha256(text) AS sha256", md5=lambda: F.md5("text"), sha256=lambda: F.sha2("text", 256))
 _measure("m17_url_build", "'https://books.example/' || source || lpad((doc_id % 20)::VARCHAR, 2, '0') || '.pdf' AS url", url=lambda: F.format_string("https://books.example/%s%02d.pdf", "source", F.col("doc_id") % 20))
@@ -91,14 +81,6 @@ def t34(spark, sf_dir):
     return c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.covered(F.col("w"), F.col("context")), 6).alias("grounding"))
 
 
-@query("t29_length_ratio", """WITH p AS (SELECT a.doc_id, least(a.n_chars, b.n_chars)::DOUBLE / greatest(1, greatest(a.n_chars, b.n_chars)) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, CASE WHEN r >= 0.7 THEN 0.85 WHEN r >= 0.4 THEN 0.70 ELSE 0.50 END::DOUBLE AS equivalence FROM p""")
-def t29(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", "n_chars")
-    r = F.least("n_chars", "m") / F.greatest(F.lit(1), F.greatest("n_chars", "m"))
-    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n_chars").alias("m")), "doc_id").select("doc_id", F.when(r >= 0.7, 0.85).when(r >= 0.4, 0.70).otherwise(0.50).alias("equivalence"))
-
-
 @query("t58_keyword_rank", rf"""WITH t AS (SELECT doc_id, lower(unnest({_W})) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL), df AS (SELECT w, count(*) AS d FROM tf GROUP BY w), q AS (SELECT w FROM df WHERE d BETWEEN 5 AND 9),
 s AS (SELECT tf.doc_id, sum(tf.n * ln((SELECT count(*) FROM documents)::DOUBLE / df.d)) AS score FROM tf JOIN q USING (w) JOIN df USING (w) GROUP BY tf.doc_id)
 SELECT doc_id, round(score, 4) AS score FROM s""")
