@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,7 +100,7 @@ def kincaid(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column
 
 def complexity(text: Column) -> Column:
     """0 to 1 from mean sentence length, word length and syllables; 0 without words."""
-    own = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    own = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"), F.lit(0))
     n, s = F.size(own), F.size(sentences(text))
     clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     mean = lambda f: total(F.transform(own, lambda w: f(w).cast("long"))) / n
@@ -133,29 +134,36 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-# Sentence ends that a chunk may stop at.
-_ENDS = (". ", "? ", "! ", "। ")
+# Where a chunk may stop: before a blank line, or behind the stop of a sentence (fixed values: . ? ! and danda).
+_PARAGRAPH, _END = re.compile(r"(?=\n\n)"), re.compile(r"(?<=[.?!।])(?= )")
 
 
 def chunks_of(text: str, size: int = 1200, overlap: int = 200, least: int = 120) -> Iterator[str]:
-    """Overlapping windows that stop at a paragraph, else a sentence end, in their last quarter; shorter ones than least are left out."""
+    """Overlapping windows that stop at a paragraph, else a sentence end, in their last quarter; shorter ones than least are left out.
+
+    The places where a chunk may stop are found once; each chunk looks its own up.
+    """
     if size <= overlap:
         raise ValueError("size must exceed overlap")
-    text, at = text.strip(), 0
-    while at < len(text):
-        stop = min(at + size, len(text))
-        if stop < len(text):
-            floor = at + size * 3 // 4
-            cut = text.rfind("\n\n", floor, stop)
-            if cut < 0:
-                cut = max(i + len(e) - 1 if (i := text.rfind(e, floor, stop)) >= 0 else -1 for e in _ENDS)
-            stop = cut if cut > floor else stop
-        piece = text[at:stop].strip()
-        if len(piece) >= least:
-            yield piece
-        if stop >= len(text):
-            return
-        at = max(at + 1, stop - overlap)
+    text = text.strip()
+    paragraphs, ends = ([m.start() for m in p.finditer(text)] for p in (_PARAGRAPH, _END))
+
+    def stop_of(at: int) -> int:
+        hard, quarter = at + size, at + size * 3 // 4
+        if hard >= len(text):
+            return len(text)
+        for places, last in ((paragraphs, hard - 2), (ends, hard - 1)):
+            i = bisect_right(places, last)
+            if i and places[i - 1] >= quarter:
+                # a stop just at the last quarter's start counts for nothing
+                return places[i - 1] if places[i - 1] > quarter else hard
+        return hard
+
+    spans = [(0, stop_of(0))] if text else []
+    while spans and spans[-1][1] < len(text):
+        start = max(spans[-1][0] + 1, spans[-1][1] - overlap)
+        spans.append((start, stop_of(start)))
+    yield from (piece for a, b in spans if len(piece := text[a:b].strip()) >= least)
 
 
 def chunker(size: int = 1200, overlap: int = 200, least: int = 120):

@@ -1,12 +1,18 @@
-"""Vector arithmetic on array columns, in double precision and inside the JVM."""
+"""Vector arithmetic on array columns in double precision, and searches by blocks of queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type as from_spark
+
+from gyre.session import ship
 
 #: Norms below this count as zero.
 TINY = 1e-8
@@ -26,8 +32,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 if either norm is tiny."""
-    n = norm(a) * norm(b)
-    return F.when((norm(a) < TINY) | (norm(b) < TINY), F.lit(0.0)).otherwise(dot(a, b) / n)
+    return F.when((norm(a) < TINY) | (norm(b) < TINY), F.lit(0.0)).otherwise(dot(a, b) / (norm(a) * norm(b)))
 
 
 def normalized(a: Column) -> Column:
@@ -53,42 +58,119 @@ def quantized(a: Column) -> Column:
     return F.struct(F.transform(a, lambda x: F.round((x.cast("double") - lo) / scale).cast("int")).alias("codes"), scale.alias("scale"), lo.alias("zero"))
 
 
-_METRICS = {"cosine": (cosine, True), "l2": (l2, False), "ip": (inner_product_distance, False)}
+#: Queries that one pass over the corpus answers, and of these those that a batch is multiplied with at once.
+BLOCK, PART = 10_000, 512
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """The exact k nearest rows of corpus for each query, ties by id: (query_id, id_col, score, rank).
+def _exact(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The measure of each row with the query beside it, in one order of summation for all."""
+    if metric == "l2":
+        d = rows - queries
+        return np.sqrt(np.einsum("ij,ij->i", d, d))
+    dots = np.einsum("ij,ij->i", rows, queries)
+    if metric == "ip":
+        return -dots
+    norms = [np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (rows, queries)]
+    tiny = (norms[0] < TINY) | (norms[1] < TINY)
+    return np.where(tiny, 0.0, dots / np.where(tiny, 1.0, norms[0] * norms[1]))
+
+
+def _near(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The measures of all rows with all queries by one product of matrices, the nearer the larger; exact but for the last digits."""
+    dots = rows @ queries.T
+    if metric == "ip":
+        return dots
+    squares = [np.einsum("ij,ij->i", x, x) for x in (rows, queries)]
+    if metric == "l2":
+        return 2 * dots - squares[0][:, None] - squares[1][None, :]
+    norms = [np.where((n := np.sqrt(x)) < TINY, np.inf, n) for x in squares]
+    return dots / norms[0][:, None] / norms[1][None, :]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, -1) if n else np.empty((0, 0))
+
 
-    Queries are a stated set, asked in blocks of about most_queries rows, so
-    that each block can be broadcast; for a block the corpus is read once and
-    each of its partitions keeps k rows a query (WindowGroupLimit) before
-    anything is shuffled.
+def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, query_vec: str, id_col: str, vec_col: str, most_queries: int, *, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, id_col, score): of each task the k best rows of a query, or all (of least at least).
+
+    Queries are a stated set, asked in blocks of most_queries; the corpus is
+    read once a block, in Arrow batches, and each batch meets a part of the
+    block in a product of matrices. Rows and queries without a vector, or with
+    another number of elements than the first query, take no part.
     """
-    score, larger = _METRICS[metric]
-    order = F.col("score").desc() if larger else F.col("score").asc()
+    ship(corpus.sparkSession)
+    spark = corpus.sparkSession
+    first = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).first()
+    size = first[0] if first else 0
+    asked = queries.where(F.size(query_vec) == size).select(query_id, F.transform(query_vec, lambda x: x.cast("double")).alias(query_vec))
+    rows = corpus.where(F.size(vec_col) == size).select(F.col(id_col).cast("long").alias(id_col), vec_col)
+    kind = queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField(query_id, kind), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())])
 
     def ask(block: DataFrame) -> DataFrame:
-        pairs = corpus.crossJoin(F.broadcast(block)).select(query_id, id_col, score(F.col(vec_col), F.col(query_vec)).alias("score"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col))))
-        return ranked.where(F.col("rank") <= k)
+        held = block.collect()  # most_queries rows at most, about
+        sent = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float).reshape(len(held), size)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, vectors = sent.value
+            arrow = pa.array(names, from_spark(kind))
+            best: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for lo in range(0, len(names), PART):
+                    part = vectors[lo : lo + PART]
+                    near = _near(metric, matrix, part)
+                    if k is None:
+                        row, q = np.nonzero(near >= (-np.inf if least is None else least - 1e-9))
+                        exact = _exact(metric, matrix[row], part[q])
+                        if least is not None:
+                            row, q, exact = row[exact >= least], q[exact >= least], exact[exact >= least]
+                        yield pa.RecordBatch.from_arrays([arrow.take(pa.array(q + lo)), pa.array(ids[row]), pa.array(exact)], names=schema.names)
+                        continue
+                    # a few more than k, as the product differs from the measure in the last digits
+                    wide = min(len(ids), k + 8)
+                    top = np.argpartition(-near, wide - 1, axis=0)[:wide]
+                    for q in range(len(part)):
+                        row = top[:, q]
+                        exact = _exact(metric, matrix[row], np.broadcast_to(part[q], (wide, size)))
+                        old = best.get(lo + q)
+                        found = (exact, ids[row]) if old is None else (np.r_[old[0], exact], np.r_[old[1], ids[row]])
+                        order = np.lexsort((found[1], -found[0] if metric == "cosine" else found[0]))[:k]
+                        best[lo + q] = [found[0][order], found[1][order]]
+            if best:
+                n = [len(v[0]) for v in best.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [arrow.take(pa.array(np.repeat(list(best), n))), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))],
+                    names=schema.names,
+                )
+
+        return rows.mapInArrow(score, schema)
+
+    blocks = max(1, -(-asked.count() // most_queries))
+    place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (ask(asked.where(place == i) if blocks > 1 else asked) for i in range(blocks)))
 
-    return _in_blocks(queries, ask, query_id, most_queries)
 
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
+    """The exact k nearest rows of corpus for each query, ties by id: (query_id, id_col, score, rank).
 
-def similar(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """All rows of corpus of at least that cosine with each query, (query_id, id_col, score); queries in blocks as in nearest."""
+    metric: cosine, l2 or ip (negated inner product). Ids of the corpus are
+    integers. Each task keeps k rows a query, so that what is shuffled and
+    ranked doesn't grow with the rows.
+    """
+    found = _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries, k=k)
+    order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col)))).where(F.col("rank") <= k)
 
-    def ask(block: DataFrame) -> DataFrame:
-        pairs = corpus.crossJoin(F.broadcast(block)).select(query_id, id_col, cosine(F.col(vec_col), F.col(query_vec)).alias("score"))
-        return pairs.where(F.col("score") >= least)
 
-    return _in_blocks(queries, ask, query_id, most_queries)
+def similar(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
+    """All rows of corpus of at least that cosine with each query, (query_id, id_col, score)."""
+    return _scored(queries, corpus, "cosine", query_id, query_vec, id_col, vec_col, most_queries, least=least)
 
 
-def _in_blocks(queries: DataFrame, ask: Callable[[DataFrame], DataFrame], query_id: str, most_queries: int) -> DataFrame:
-    """What ask gives for all queries, dealt in blocks of about most_queries rows."""
-    blocks = max(1, -(-queries.count() // most_queries))
-    if blocks == 1:
-        return ask(queries)
-    place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (ask(queries.where(place == i)) for i in range(blocks)))
+def scores(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
+    """The measure of every row of corpus with each of a stated set of queries, (query_id, id_col, score)."""
+    return _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries)

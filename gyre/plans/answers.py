@@ -14,8 +14,8 @@ from gyre.functions import vectors as V
 from gyre.plans.registry import query
 from gyre.plans.relational import both
 from gyre.plans.text import _W, _docs, _measure
-from gyre.plans.vectors import _COS, _COS_Q, _ONE, _VEC, _asked, _embeddings, _topk_sql, _with_first
-from gyre.session import fresh_path, materialize, ship, table
+from gyre.plans.vectors import _COS, _COS_Q, _VEC, _asked, _embeddings, _topk_sql
+from gyre.session import fresh_path, materialize, ship, sized, spread, table
 from gyre.sources import corpus
 
 _PAIR = "pair AS (SELECT a.doc_id, a.text, b.text AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
@@ -115,34 +115,53 @@ _measure("t61_cut_at_sentence", r"CASE WHEN regexp_matches(text, '[.!?]') THEN r
 _B = r"[ \t\n\x0B\f\r]"
 _measure("t66_prose_of_latex", rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '%[^\n]*', ' ', 'g'), '\\[a-zA-Z]+\*?(\[[^\]]*\])?', ' ', 'g'), '[{{}}$\\]', ' ', 'g'), '\[[0-9]+\](,{_B}*\[[0-9]+\])*', ' ', 'g'),
   '\bFig\.{_B}*[0-9]+|\bTABLE{_B}+[IVX]+|\bSection~?[IVX]+', ' ', 'g'), '{_B}+', ' ', 'g'), E' \t\n\r\x0B\x0C') AS prose""", prose=lambda: A.prose_of_latex(F.col("text")))
-@query("t42_partly_redacted", rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{A.PARTLY_SHOWN[0][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[1][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[2][0]}', '\1...\2[REDACTED]', 'g'), '{A.PARTLY_SHOWN[3][0]}', '\1...\2[REDACTED]', 'g') AS redacted FROM documents")
-def t42(spark, sf_dir):
-    """All ten types, as in t41; the SQL has four patterns."""
-    ship(spark)
-    return _docs(spark, sf_dir).select("doc_id", A.partly_shown(F.col("text")).alias("redacted"))
+def _matches(kind, pattern, risk):
+    """Every match with its offsets: what stands between matches, and the matches, add up to them."""
+    p = pattern.replace("'", "''")
+    parts = f"(SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS b FROM documents WHERE regexp_matches(text, '{p}'))"
+    return f"""SELECT doc_id, '{kind}' AS kind, m[i] AS value, (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start, '{risk}' AS risk FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {parts})"""
+
 
+_SECRETS = "found AS (SELECT *, (start + length(value))::INT AS \"end\" FROM (" + " UNION ALL ".join(_matches(kind, p, risk) for kind, patterns in A.SECRETS.items() for p, risk in patterns) + ") WHERE length(value) >= 8 OR kind = 'ssn')"
 
-_SCAN = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for p, name in A.PARTLY_SHOWN)
 
+@query("t42_partly_redacted", f"""WITH {_SECRETS}, o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found),
+g AS (SELECT *, sum((before IS NULL OR start >= before)::INT) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT doc_id, run, min(start) AS a, max("end") AS b, arg_min(kind, (start, -"end", kind)) AS kind FROM g GROUP BY doc_id, run),
+p AS (SELECT r.doc_id, run, a, b, kind, text, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY run), 0) AS begin_, lead(run) OVER (PARTITION BY r.doc_id ORDER BY run) IS NULL AS last FROM r JOIN documents d ON d.doc_id = r.doc_id),
+s AS (SELECT doc_id, string_agg(substr(text, begin_ + 1, a - begin_) || CASE WHEN b - a > 8 THEN substr(text, a + 1, 4) || '...' || substr(text, b - 3, 4) || '[REDACTED]' ELSE '[REDACTED_' || upper(kind) || ']' END || CASE WHEN last THEN substr(text, b + 1) ELSE '' END, '' ORDER BY run) AS redacted FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.redacted, d.text) AS redacted FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""")
+def t42(spark, sf_dir):
+    """All ten types, as in t41; matches that overlap are redacted as one."""
+    ship(spark)
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", A.partly_shown(F.col("text")).alias("redacted"))
 
-@query("t41_secret_scan", f"SELECT doc_id, kind, value, count(*) AS n FROM ({_SCAN}) WHERE length(value) >= 8 OR kind = 'SSN' GROUP BY ALL")
+
+@query("t41_secret_scan", f'WITH {_SECRETS} SELECT doc_id, kind, value, start, "end", risk FROM found')
 def t41(spark, sf_dir):
-    """Every match of the ten types with its offsets and risk. The SQL still has four patterns only and no offsets."""
+    """Every match of the ten types with its offsets and risk."""
     ship(spark)
-    return _docs(spark, sf_dir).select("doc_id", F.inline(A.secrets(F.col("text"))))
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.inline(A.secrets(F.col("text"))))
 
 
-_CRITICAL = " OR ".join(f"regexp_matches(text, '{p}')" for p, _ in A.PARTLY_SHOWN[:3])
-@query("t44_input_check", f"SELECT doc_id, CASE WHEN {_CRITICAL} THEN 'critical' WHEN regexp_matches(text, '{A.PARTLY_SHOWN[3][0]}') THEN 'medium' ELSE 'low' END AS risk, NOT ({_CRITICAL}) AS safe FROM documents")
+@query("t44_input_check", f"""WITH {_SECRETS}, c AS (SELECT DISTINCT doc_id FROM found WHERE risk = 'critical')
+SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN 'low' ELSE 'critical' END AS risk, c.doc_id IS NULL AS safe FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""")
 def t44(spark, sf_dir):
-    """Critical secrets of any type make an input unsafe, others leave its risk low. The SQL has four patterns and other risks."""
+    """Critical secrets of any type make an input unsafe, others leave its risk low."""
     ship(spark)
     critical = F.exists(A.secrets(F.col("text")), lambda x: x["risk"] == "critical")
-    return _docs(spark, sf_dir).select("doc_id", critical.alias("c")).select("doc_id", F.when(F.col("c"), "critical").otherwise("low").alias("risk"), (~F.col("c")).alias("safe"))
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", critical.alias("c")).select("doc_id", F.when(F.col("c"), "critical").otherwise("low").alias("risk"), (~F.col("c")).alias("safe"))
 
 
 # --- passages and tokens
-@query("t4_passage_windows")
+_STOP_SQL = " ".join(f"WHEN contains(part, {w}) THEN begin_ + length(part) - instr(reverse(part), reverse({w})) + 1" for w in ("'. '", "'! '", "'? '", "chr(10) || chr(10)", "chr(10)"))
+
+
+@query("t4_passage_windows", f"""WITH RECURSIVE w AS (SELECT doc_id, 0::BIGINT AS begin_, 0::BIGINT AS stop, 0 AS k FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, begin_, stop, k FROM (SELECT doc_id, begin_, CASE WHEN begin_ + 512 >= n THEN n {_STOP_SQL} ELSE begin_ + 512 END AS stop, k FROM
+  (SELECT w.doc_id, length(d.text) AS n, w.k + 1 AS k, CASE WHEN w.k = 0 THEN 0 ELSE greatest(w.begin_ + 1, w.stop - 50) END AS begin_, substr(d.text, CASE WHEN w.k = 0 THEN 0 ELSE greatest(w.begin_ + 1, w.stop - 50) END + 1, 512) AS part FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE w.k = 0 OR w.stop < length(d.text)))),
+p AS (SELECT w.doc_id, w.k, trim(substr(d.text, begin_ + 1, stop - begin_), E' \t\n\r\x0B\x0C') AS passage FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE w.k > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS place, passage FROM p WHERE passage <> ''""")
 def t4(spark, sf_dir):
     ship(spark)
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(A.passage_windows()("text")).alias("place", "passage"))
@@ -170,15 +189,20 @@ both("t50_source_summary", f"SELECT kind, count(*) AS n, min(page_id) AS first F
 # --- arithmetic
 @query("m7_expression", "SELECT l_orderkey, l_linenumber, (l_quantity * l_linenumber - 1) / 4 AS x FROM lineitem")
 def m7(spark, sf_dir):
+    """Expressions given as text; each different one is parsed once and joined back."""
     ship(spark)
-    l = table(spark, sf_dir, "lineitem")
-    return l.select("l_orderkey", "l_linenumber", A.calculated(F.format_string("(%d * %d - 1) / 4", F.col("l_quantity").cast("int"), "l_linenumber")).alias("x"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("(%d * %d - 1) / 4", F.col("l_quantity").cast("int"), "l_linenumber").alias("e"))
+    values = materialize(rows.select("e").distinct().select("e", A.calculated(F.col("e")).alias("x")), "values")
+    return rows.join(sized(values), "e").select("l_orderkey", "l_linenumber", "x")
 
 
 @query("m8_arithmetic", "SELECT p_partkey, '**What is ' || p_partkey || ' plus ' || p_size || '?** = **' || (p_partkey + p_size) || '**' AS answer FROM part")
 def m8(spark, sf_dir):
+    """Questions of two numbers are answered by expressions, others by a parser."""
     ship(spark)
-    return table(spark, sf_dir, "part").select("p_partkey", A.arithmetic_answer(F.format_string("What is %d plus %d?", "p_partkey", "p_size")).alias("answer"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.format_string("What is %d plus %d?", "p_partkey", "p_size").alias("q"))
+    plain, simple = A.two_number_answer(F.col("q")), F.col("q").rlike(A.TWO_NUMBERS)
+    return asked.where(simple).select("p_partkey", plain.alias("answer")).unionByName(asked.where(~simple).select("p_partkey", A.arithmetic_answer(F.col("q")).alias("answer")))
 
 
 @query("m12_merged", "SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN 'english' END, lang) AS lang, source FROM documents")
@@ -191,9 +215,9 @@ def m12(spark, sf_dir):
 
 
 # --- filters, routing, limits, caches
-@query("f12_useful_similarity", f"SELECT vec_id FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ONE} WHERE {_COS_Q} >= 0.35")
+@query("f12_useful_similarity", f"SELECT qid, vec_id FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), (SELECT vec_id AS qid, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0) WHERE {_COS_Q} >= 0.35")
 def f12(spark, sf_dir):
-    """The hits of each query that are useful. The SQL has the query of vec_id 0 only."""
+    """The hits of each query that are useful."""
     e = _embeddings(spark, sf_dir)
     return V.similar(_asked(e), e, 0.35).select("qid", "vec_id")
 
@@ -238,9 +262,7 @@ SELECT qid, vec_id, round(list_dot_product(v, q) / (greatest(1e-8, sqrt(list_dot
 def v2(spark, sf_dir):
     """A stated set of queries (ids divisible by 100) against all rows; norms of at least 1e-8."""
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    low = lambda c: F.greatest(F.lit(1e-8), V.norm(F.col(c)))
-    return e.crossJoin(q).select("qid", "vec_id", (F.round(V.dot(F.col("embedding"), F.col("q")) / (low("embedding") * low("q")), 6) + 0.0).alias("score"))
+    return V.scores(_asked(e), e).select("qid", "vec_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("j11_matched_pairs", f"""WITH x AS (SELECT vec_id, label, unnest({_VEC}) AS x, unnest(range(64)) AS i FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM x GROUP BY label, i) GROUP BY label),
@@ -251,7 +273,7 @@ def j11(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centroids = means.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    scored = e.crossJoin(centroids).select((F.col("label") == F.col("other")).alias("matched"), V.cosine(F.col("embedding"), F.col("c")).alias("s"))
+    scored = e.crossJoin(sized(materialize(centroids, "centroids"), 1000)).select((F.col("label") == F.col("other")).alias("matched"), V.cosine(F.col("embedding"), F.col("c")).alias("s"))
     return scored.groupBy("matched").agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("mean"))
 
 
@@ -263,9 +285,6 @@ def j12(spark, sf_dir):
     return e.join(rounded, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("r")), 5).alias("fidelity"))
 
 
-def _asked(e):
-    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-
 
 @query("k6_wide_candidates", _topk_sql("DESC", _COS_Q, 30))
 def k6(spark, sf_dir):

@@ -8,7 +8,7 @@ from gyre.functions import text as X
 from gyre.plans.registry import query
 from gyre.plans.relational import both
 from gyre.plans.text import _SENT, _SYL, _W, _measure, _n, _sent, _syl
-from gyre.plans.telemetry import _events
+from gyre.plans.telemetry import _events, _folded
 from gyre.streaming.keyed import MicroBatch, fold
 
 # The conjunctions at which long sentences break, and the targets of a sentence and a word.
@@ -156,6 +156,6 @@ def m10(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object(found, "$.k").cast("int").alias("k"))
 
 
-@query("st8_micro_batches")
+@query("st8_micro_batches", _folded("event_type", "1 AS held, s AS since, true AS ok", "CASE WHEN r.held = 32 OR e.s - r.since >= 21600 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held = 32 OR e.s - r.since >= 21600 THEN e.s ELSE r.since END, r.held = 32 OR e.s - r.since >= 21600", "ok"))
 def st8(spark, sf_dir):
     return fold(_events(spark, sf_dir), lambda: MicroBatch(32, 21600.0), "event_type", "s", "event_id", "failed")

@@ -37,22 +37,50 @@ SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions FROM s GROUP BY user_id""",
 SELECT user_id, sum(new)::BIGINT AS sessions FROM s GROUP BY user_id""")
 
 
-@query("st4_token_bucket")
+def _folded(key, start, step, allowed, where="true", names="tokens, last"):
+    """A machine as SQL: its state goes from an event of a key to the next. start and step give the state's columns for the event in e; r is the state before."""
+    return f"""WITH RECURSIVE e AS (SELECT {key}, event_id, epoch_us(ts) / 1e6::DOUBLE AS s, event_type = 'error' AS failed, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM events WHERE {where}),
+r AS (SELECT e.{key}, e.event_id, e.k, {start} FROM e WHERE k = 1 UNION ALL SELECT e.{key}, e.event_id, e.k, {step} FROM r JOIN e ON e.{key} = r.{key} AND e.k = r.k + 1)
+SELECT {key}, event_id, {allowed} AS allowed FROM r"""
+
+
+# tokens is what is there before the event takes one
+_REFILL = "least(15.0::DOUBLE, (r.tokens - (r.tokens >= 1)::INT) + (e.s - r.last) * 10 / 86400.0::DOUBLE)"
+
+
+@query("st4_token_bucket", _folded("user_id", "15.0::DOUBLE AS tokens, s AS last", f"{_REFILL}, e.s", "tokens >= 1"))
 def st4(spark, sf_dir):
     return fold(_events(spark, sf_dir), lambda: TokenBucket(10, 86400.0), "user_id", "s", "event_id", "failed")
 
 
-@query("st6_sliding_log")
+_LIVE = "list_filter(r.granted, lambda t: t > e.s - 86400.0::DOUBLE)"
+
+
+@query("st6_sliding_log", _folded("user_id", "[s] AS granted, true AS ok", f"CASE WHEN len({_LIVE}) >= 3 THEN {_LIVE} ELSE list_append({_LIVE}, e.s) END, len({_LIVE}) < 3", "ok"))
 def st6(spark, sf_dir):
     return fold(_events(spark, sf_dir), lambda: SlidingLog(3, 86400.0), "user_id", "s", "event_id", "failed")
 
 
-@query("st7_circuit_breaker")
+def _breaker():
+    """The circuit breaker's state after an event, from that before (st, f, n, since, tried)."""
+    entered = "CASE WHEN r.st = 'open' AND e.s - r.since >= 86400 THEN 'half' ELSE r.st END"
+    turned = "r.st = 'open' AND e.s - r.since >= 86400"
+    denied = "((r.st = 'open' AND e.s - r.since < 86400) OR (r.st = 'half' AND r.tried >= 3))"
+    tried = f"CASE WHEN {turned} THEN 0 WHEN r.st = 'half' AND r.tried < 3 THEN r.tried + 1 ELSE r.tried END"
+    opens = f"NOT {denied} AND e.failed AND ({entered} = 'half' OR r.f + 1 >= 5)"
+    closes = f"NOT {denied} AND NOT e.failed AND {entered} = 'half' AND r.n + 1 >= 2"
+    st = f"CASE WHEN {denied} THEN r.st WHEN {opens} THEN 'open' WHEN {closes} THEN 'closed' ELSE {entered} END"
+    f = f"CASE WHEN {denied} THEN r.f WHEN e.failed THEN r.f + 1 WHEN {closes} THEN 0 ELSE r.f END"
+    n = f"CASE WHEN {denied} THEN r.n WHEN {opens} THEN 0 WHEN e.failed THEN r.n ELSE r.n + 1 END"
+    return f"{st}, {f}, {n}, CASE WHEN {opens} THEN e.s ELSE r.since END, {tried}, NOT {denied}"
+
+
+@query("st7_circuit_breaker", _folded("user_id", "'closed' AS st, failed::INT AS f, (NOT failed)::INT AS n, 0.0::DOUBLE AS since, 0 AS tried, true AS ok", _breaker(), "ok"))
 def st7(spark, sf_dir):
     return fold(_events(spark, sf_dir), lambda: CircuitBreaker(timeout=86400.0), "user_id", "s", "event_id", "failed")
 
 
-@query("st21_alert_cooldown")
+@query("st21_alert_cooldown", _folded("event_type", "s AS last, true AS ok", "CASE WHEN e.s - r.last < 86400 THEN r.last ELSE e.s END, e.s - r.last >= 86400", "ok", "value > 40"))
 def st21(spark, sf_dir):
     return fold(_events(spark, sf_dir).where("value > 40"), lambda: Cooldown(86400.0), "event_type", "s", "event_id", "failed")
 
@@ -66,9 +94,11 @@ both("m13_queue_forecast", "SELECT event_type, round(count(*) / 86400e0 * avg(va
 both("m16_cost_estimate", "SELECT doc_id, CAST(ceil(n_chars / 4e0) AS BIGINT) AS tokens FROM {documents}", "SELECT doc_id, ceil(n_chars / 4.0)::BIGINT AS tokens FROM {documents}")
 
 
-@query("m14_ab_assignment")
+@query("m14_ab_assignment", """WITH p AS (SELECT c_custkey, ('0x' || substr(md5('experiment:' || c_custkey), 1, 8))::BIGINT % 10000 / 10000.0::DOUBLE AS place FROM customer) SELECT c_custkey, CASE WHEN place < 0.3 THEN 'a' WHEN place < 0.6 THEN 'b' ELSE 'control' END AS version FROM p""")
 def m14(spark, sf_dir):
-    place = F.pmod(F.xxhash64(F.lit("experiment"), "c_custkey"), F.lit(10000)) / 10000
+    """The same customer gets the same version in every run and system: a place by a digest of its key."""
+    digest = F.md5(F.concat(F.lit("experiment:"), F.col("c_custkey").cast("string")))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000 / 10000
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(place < 0.3, "a").when(place < 0.6, "b").otherwise("control").alias("version"))
 
 

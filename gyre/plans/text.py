@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions import text as X
 from gyre.plans.registry import query
-from gyre.session import materialize, ship, sized, table
+from gyre.session import materialize, ship, sized, spread, table
 
 _W = r"list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
@@ -81,49 +81,80 @@ def t34(spark, sf_dir):
     return c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.covered(F.col("w"), F.col("context")), 6).alias("grounding"))
 
 
-@query("t58_keyword_rank", rf"""WITH t AS (SELECT doc_id, lower(unnest({_W})) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL), df AS (SELECT w, count(*) AS d FROM tf GROUP BY w), q AS (SELECT w FROM df WHERE d BETWEEN 5 AND 9),
-s AS (SELECT tf.doc_id, sum(tf.n * ln((SELECT count(*) FROM documents)::DOUBLE / df.d)) AS score FROM tf JOIN q USING (w) JOIN df USING (w) GROUP BY tf.doc_id)
-SELECT doc_id, round(score, 4) AS score FROM s""")
+@query("t58_keyword_rank", rf"""WITH q AS (SELECT DISTINCT unnest({_W.replace('(text', '(lower(text)')}) AS w FROM benchmark), t AS (SELECT doc_id, lower(unnest({_W})) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS n FROM t SEMI JOIN q USING (w) GROUP BY ALL), df AS (SELECT w, count(*) AS d FROM tf GROUP BY w),
+s AS (SELECT tf.doc_id, sum(tf.n * ln((SELECT count(*) FROM documents)::DOUBLE / df.d)) AS score FROM tf JOIN df USING (w) GROUP BY tf.doc_id)
+SELECT doc_id, round(coalesce(score, 0), 4) + 0.0 AS score FROM documents LEFT JOIN s USING (doc_id)""")
 def t58(spark, sf_dir):
     """The words of the benchmark items as the question, whatever number of documents has them; tf-idf by an inverted index.
 
-    Every document has a row, with 0 if it has none of the words. The SQL asks
-    the words of five to nine documents instead.
+    Texts are split once: their counts of the asked words, and the number of
+    documents, come from one written table. Every document has a row, with 0 if
+    it has none of the words.
     """
-    docs = _docs(spark, sf_dir)
-    n = docs.count()
-    asked = table(spark, sf_dir, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("w")).distinct()
-    asked = materialize(asked, "asked")
-    tf = docs.select("doc_id", F.explode(X.words(F.col("text"))).alias("w")).select("doc_id", F.lower("w").alias("w")).join(sized(asked), "w", "left_semi")
-    tf = materialize(tf.groupBy("doc_id", "w").agg(F.count("*").alias("n")), "postings")
-    df = materialize(tf.groupBy("w").agg(F.count("*").alias("d")), "frequencies")
-    scored = tf.join(sized(df), "w").select("doc_id", (F.col("n") * F.log(F.lit(float(n)) / F.col("d"))).alias("x"))
-    every = scored.unionByName(docs.select("doc_id", F.lit(0.0).alias("x")))
-    return every.groupBy("doc_id").agg((F.round(F.sum("x"), 4) + 0.0).alias("score"))
-
-
-@query("t3_chunks")
+    asked = materialize(table(spark, sf_dir, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("w")).distinct(), "asked")
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode_outer(X.words(F.lower("text"))).alias("w"))
+    # each document's row without a word stays, with a count of 0
+    hits = docs.join(sized(asked.withColumn("asked", F.lit(1))), "w", "left")
+    tf = hits.groupBy("doc_id", F.when(F.col("asked") == 1, F.col("w")).alias("w")).agg(F.count("asked").alias("n"))
+    tf = materialize(tf, "postings")
+    n = tf.select("doc_id").distinct().count()
+    df = materialize(tf.where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("d")), "frequencies")
+    scored = tf.join(sized(df), "w", "left").select("doc_id", F.coalesce(F.col("n") * F.log(F.lit(float(n)) / F.col("d")), F.lit(0.0)).alias("x"))
+    return scored.groupBy("doc_id").agg((F.round(F.sum("x"), 4) + 0.0).alias("score"))
+
+
+_RFIND = "length(part) - instr(reverse(part), {}) "
+_CUT = rf"""CASE WHEN begin_ + 1200 >= n THEN n WHEN contains(part, chr(10) || chr(10)) THEN CASE WHEN floor + {_RFIND.format("chr(10) || chr(10)")} - 1 > floor THEN floor + {_RFIND.format("chr(10) || chr(10)")} - 1 ELSE begin_ + 1200 END
+  ELSE greatest({", ".join(f"CASE WHEN contains(part, '{e}') THEN floor + " + _RFIND.format(f"'{e[::-1]}'") + f" ELSE begin_ + 1200 - 100000000 END" for e in (". ", "? ", "! ", "। "))}) END"""
+_NEXT = "CASE WHEN c.k = 0 THEN 0 ELSE greatest(c.begin_ + 1, c.stop - 200) END"
+
+
+@query("t3_chunks", f"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, E' \t\n\r\x0B\x0C') AS t FROM documents),
+c AS (SELECT doc_id, 0::BIGINT AS begin_, 0::BIGINT AS stop, 0 AS k FROM d WHERE length(t) > 0
+UNION ALL SELECT doc_id, begin_, CASE WHEN cut < 0 THEN begin_ + 1200 ELSE cut END AS stop, k FROM (SELECT doc_id, begin_, {_CUT} AS cut, k FROM (SELECT c.doc_id, length(d.t) AS n, c.k + 1 AS k, {_NEXT} AS begin_, {_NEXT} + 900 AS floor, substr(d.t, {_NEXT} + 901, 300) AS part FROM c JOIN d ON d.doc_id = c.doc_id WHERE c.k = 0 OR c.stop < length(d.t)))),
+p AS (SELECT c.doc_id, c.k, trim(substr(d.t, begin_ + 1, stop - begin_), E' \t\n\r\x0B\x0C') AS chunk FROM c JOIN d ON d.doc_id = c.doc_id WHERE c.k > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, chunk FROM p WHERE length(chunk) >= 120""")
 def t3(spark, sf_dir):
     ship(spark)
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.chunker()("text")).alias("chunk_index", "chunk"))
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(X.chunker()("text")).alias("chunk_index", "chunk"))
 
 
-@query("t1_cleaned")
+_ONE_BREAK = r"'([^\n])\n([^\n])', '\1 \2', 'g'"
+
+
+@query("t1_cleaned", rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), {_ONE_BREAK}), {_ONE_BREAK}), '^\n([^\n])|([^\n])\n$', '\2 \1'), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS clean FROM documents""")
 def t1(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.cleaned(F.col("text")).alias("clean"))
 
 
-@query("t14_measure")
+_LETTERS = "regexp_replace(lower(w), '[^a-z]', '', 'g')"
+_LATIN_UNITS = rf"""list_transform({_W}, lambda w: CASE WHEN {_LETTERS} = '' THEN 0 ELSE greatest(1, len(regexp_extract_all({_LETTERS}, '[aeiouy]+')) - (regexp_matches({_LETTERS}, 'e$') AND NOT regexp_matches({_LETTERS}, '(le|ee)$') AND len(regexp_extract_all({_LETTERS}, '[aeiouy]+')) > 1)::INT) END)"""
+
+
+@query("t14_measure", rf"""WITH m AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'Latin' ELSE 'Unknown' END AS script, greatest(1, len(list_filter(string_split_regex(text, '[.!?।॥]+[ \t\n\x0B\f\r]|[.!?।॥]+$'), lambda s: trim(s) <> '')))::INT AS sentences, len({_W})::INT AS words, {_LATIN_UNITS} AS u FROM documents),
+c AS (SELECT doc_id, script, sentences, words, coalesce(list_sum(u), 0)::BIGINT AS units, len(list_filter(u, lambda n: n >= 4))::INT AS long_words FROM m)
+SELECT *, words::DOUBLE / sentences AS words_per_sentence, CASE WHEN words > 0 THEN units::DOUBLE / words END AS units_per_word, CASE WHEN words > 0 THEN long_words::DOUBLE / words END AS long_word_ratio FROM c""")
 def t14(spark, sf_dir):
-    w = X.words(F.col("text"))
-    units = F.transform(w, lambda x: X.latin_syllables(x).cast("long"))
-    d = _docs(spark, sf_dir).select("doc_id", X.script(F.col("text")).alias("script"), X.sentence_count(F.col("text")).alias("sentences"), F.size(w).alias("words"), X.total(units).alias("units"), F.size(F.filter(units, lambda n: n >= 4)).alias("long_words"))
+    """In steps, so that nothing is computed twice: letters of each word, its vowel groups, its units, then their counts."""
+    d = spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    letters = F.transform(X.words(F.col("text")), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    d = d.select("doc_id", X.script(F.col("text")).alias("script"), X.sentence_count(F.col("text")).alias("sentences"), letters.alias("letters"))
+    d = d.select("doc_id", "script", "sentences", "letters", F.transform("letters", lambda w: F.regexp_count(w, F.lit("[aeiouy]+"))).alias("groups"))
+    units = F.zip_with("letters", "groups", lambda w, n: F.when(w == "", 0).otherwise(F.greatest(F.lit(1), n - (w.endswith("e") & ~w.endswith("le") & ~w.endswith("ee") & (n > 1)).cast("int"))))
+    d = d.select("doc_id", "script", "sentences", units.alias("u"))
+    d = d.select("doc_id", "script", "sentences", F.size("u").alias("words"), X.total(F.transform("u", lambda n: n.cast("long"))).alias("units"), F.size(F.filter("u", lambda n: n >= 4)).alias("long_words"))
     return d.withColumns({"words_per_sentence": F.col("words") / F.col("sentences"), "units_per_word": F.expr("try_divide(units, words)"), "long_word_ratio": F.expr("try_divide(long_words, words)")})
 
 
-@query("t21_complexity")
+_PLAIN = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))"
+_CLAMP = "least(greatest({}, 0.0::DOUBLE), 1.0::DOUBLE)"
+
+
+@query("t21_complexity", rf"""WITH m AS (SELECT doc_id, {_PLAIN} AS o, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s, E' \t\n\r\x0B\x0C')), lambda s: s <> '')) AS s FROM documents),
+c AS (SELECT doc_id, len(o) AS n, s, list_sum(list_transform(o, lambda w: length(w))) AS chars, list_sum(list_transform(o, lambda w: CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(w, '[aeiou]+')) - ends_with(w, 'e')::INT) END)) AS units FROM m)
+SELECT doc_id, CASE WHEN n > 0 AND s > 0 THEN round(0.4::DOUBLE * {_CLAMP.format('(n::DOUBLE / s - 5) / 25')} + 0.3::DOUBLE * {_CLAMP.format('(chars::DOUBLE / n - 3) / 7')} + 0.3::DOUBLE * {_CLAMP.format('(units::DOUBLE / n - 1) / 3')}, 6) ELSE 0.0 END::DOUBLE AS complexity FROM c""")
 def t21(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(X.complexity(F.col("text")), 6).alias("complexity"))
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.round(X.complexity(F.col("text")), 6).alias("complexity"))
 
 
 @query("t46_direct_quote", f"""WITH b AS (SELECT list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM (SELECT {_W} AS w FROM benchmark) WHERE len(w) >= 5), g AS (SELECT DISTINCT unnest(g) AS g FROM b),

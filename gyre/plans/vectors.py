@@ -67,19 +67,23 @@ query("k4_topk_l2", _topk_sql("ASC", "list_distance(v, q)"))(_search("l2"))
 query("v8_topk_ip", _topk_sql("ASC", "-list_dot_product(v, q)"))(_search("ip"))
 
 
-@query("k2_filtered_topk", f"SELECT vec_id, round({_COS_Q}, 6) AS score FROM (SELECT vec_id, label, {_VEC} AS v FROM embeddings), {_ONE} WHERE label IN (1, 2) ORDER BY {_COS_Q} DESC, vec_id LIMIT 12")
+_ASKED = f"(SELECT vec_id AS qid, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query("k2_filtered_topk", f"""SELECT qid, vec_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT qid, vec_id, {_COS_Q} AS s, row_number() OVER (PARTITION BY qid ORDER BY {_COS_Q} DESC, vec_id) AS rank FROM (SELECT vec_id, {_VEC} AS v FROM embeddings WHERE label IN (1, 2)), {_ASKED}) WHERE rank <= 12""")
 def k2(spark, sf_dir):
-    """The twelve nearest of two labels for each query. The SQL has the query of vec_id 0 only."""
+    """The twelve nearest of two labels for each query."""
     e = _embeddings(spark, sf_dir)
     return V.nearest(_asked(e), e.where("label IN (1, 2)"), 12).withColumn("score", F.round("score", 6))
 
 
-@query("v13_semantic_cache", f"SELECT vec_id, round({_COS_Q}, 6) AS score FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ONE} WHERE vec_id <> 0 AND {_COS_Q} >= 0.3")
+@query("v13_semantic_cache", f"""WITH e AS (SELECT vec_id, text, {_VEC} AS v FROM embeddings LEFT JOIN documents ON doc_id = vec_id), q AS (SELECT vec_id AS qid, text, v AS q FROM e WHERE vec_id % 100 = 0),
+same AS (SELECT qid, min(vec_id) AS exact FROM q JOIN e ON e.text = q.text AND vec_id <> qid GROUP BY qid), near AS (SELECT qid, vec_id, {_COS_Q} AS s FROM q, e WHERE vec_id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_COS_Q} DESC, vec_id) = 1)
+SELECT qid, coalesce(exact, vec_id) AS vec_id, CASE WHEN exact IS NULL THEN 'semantic' ELSE 'exact' END AS hit, CASE WHEN exact IS NULL THEN round(s, 6) END AS score FROM near LEFT JOIN same USING (qid) WHERE exact IS NOT NULL OR s >= 0.92""")
 def v13(spark, sf_dir):
     """What a cache of all other rows answers to each query: the first entry of the same text, else the most similar one from 0.92 on; a miss gives no row.
 
-    The document of the same id stands for the prompt of a vector. The SQL has
-    the query of vec_id 0 only, all entries from 0.3 on and no texts.
+    The document of the same id stands for the prompt of a vector.
     """
     e = _embeddings(spark, sf_dir)
     q = _asked(e)
@@ -142,7 +146,8 @@ def a6(spark, sf_dir):
     return detect_grade(_hits(spark, sf_dir), floor=0.1)
 
 
-@query("a7_vote_grade")
+@query("a7_vote_grade", f"""WITH {_SCORES}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS k, lead(score, 1, 0) OVER (PARTITION BY qid ORDER BY score DESC, first) AS next FROM g),
+p AS (SELECT grade, count(*) AS n, max(score - next) AS authority, min(qid) AS first FROM o WHERE k = 1 GROUP BY grade) SELECT 1::INT AS question, grade FROM p ORDER BY n DESC, authority DESC, first LIMIT 1""")
 def a7(spark, sf_dir):
     return vote_grade(_hits(spark, sf_dir).withColumn("question", F.lit(1)), floor=0.1)
 

@@ -92,5 +92,11 @@ def sized(small: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: for work that costs more than moving the rows of a small input. A larger one stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
