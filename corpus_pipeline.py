@@ -83,7 +83,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL expresses neither the tokens nor the packing; tests/test_pipeline.py compares all five stages with plain versions.
+#: SQL expresses neither the tokens nor the packing; tests/llm/test_pipeline.py compares all five stages with plain versions.
 ORACLE_SQL = None
 
 
