@@ -24,8 +24,6 @@ from gyre.session import materialize, ship, sized
 
 #: 40 bands of 6: two sets of similarity 0.8 share no band once in 190,000 pairs, and of 0.9 never in practice.
 BANDS, ROWS = 40, 6
-#: Members of a bucket that are compared at once.
-BLOCK = 2048
 
 _ROUND = np.uint64(54)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -99,10 +97,10 @@ def near_duplicates(
 
     Equal sets form a class at once; a class is sketched for its smallest id.
     Candidates are first each bucket's members with its smallest. When these
-    links are contracted, buckets that still hold different components are
-    screened in blocks of members, which yield only pairs that pass, so that no
-    pair of a bucket goes unchecked unless both are linked already. All links
-    are confirmed on the full sets.
+    links are contracted, the members of buckets that still hold different
+    components are joined by their rare elements, which no similar pair escapes,
+    so that no pair of a bucket goes unchecked unless both are linked already.
+    All links are confirmed on the full sets. Ids are integers.
     """
     ship(docs.sparkSession)
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
@@ -160,8 +158,8 @@ def near_duplicates(
     left = materialize(labelled.join(mixed, "key"), "mixed")
     concerned = materialize(left.select(F.col("node").alias("id")).distinct(), "concerned")
     members = docs.select(key.cast("long").alias("id"), text.alias("text")).join(sized(concerned), "id", "left_semi")
-    held = members.mapInArrow(_sets(shingle, short=True), "id long, elements binary").dropDuplicates(["id", "elements"])
-    rest = _screened(left, materialize(held, "held"), percent)
+    held = materialize(members.mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "held")
+    rest = _by_rare_elements(held.join(left.select(F.col("node").alias("id"), "part").distinct(), "id"), percent)
     more = materialize(confirmed(rest), "more")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
@@ -171,79 +169,33 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 
-def _screened(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket (key) in different parts that pass on 32-bit elements, which can only add to an overlap.
+def _by_rare_elements(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets (id, part, elements) in different parts, among them all that are similar enough.
 
-    A bucket of over BLOCK members is dealt in blocks, each pair of blocks to a
-    group of its own.
+    Prefix filter: with elements in one order, rare ones first, two sets that
+    are similar enough share one of the first n - least overlap + 1 of each. The
+    smaller set's share can be shorter, as the overlap is at least
+    2 percent / (100 + percent) of it. Sets that are alike but not similar
+    enough differ in rare elements, so that these meet few others.
     """
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    rows = materialize(rows.select("key", "node", "part", "block", F.explode(others).alias("pair")).select("key", "node", "part", "block", "pair.i", "pair.j"), "blocks")
-    rows = rows.join(sets.select(F.col("id").alias("node"), "elements"), "node")
-    groups = max(1, left.count() // 2000)
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
-
-    def screen(table: pa.Table) -> pa.Table:
-        key = np.array([table[c].to_numpy() for c in ("key", "i", "j")])
-        order = np.lexsort(key[::-1])
-        cut = np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1
-        node, part, block = (table[c].to_numpy() for c in ("node", "part", "block"))
-        elements = table["elements"].to_pylist()
-        pairs = set()
-        for rows_ in np.split(order, cut):
-            own = [np.frombuffer(elements[r], np.uint32) for r in rows_]
-            crossed = block[rows_] if key[1, rows_[0]] != key[2, rows_[0]] else None
-            for p, q in _passing(own, part[rows_], crossed, percent):
-                a, b = node[rows_[p]], node[rows_[q]]
-                if a != b:
-                    pairs.add((min(a, b), max(a, b)))
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("group").applyInArrow(screen, "a long, b long").distinct()
-
-
-def _passing(sets: list[np.ndarray], part: np.ndarray, crossed: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of sets in different parts (and blocks, if crossed gives them) that are similar enough."""
-    n = np.array([len(x) for x in sets])
-    if len(sets) <= 24:
-        for p in range(len(sets)):
-            for q in range(p + 1, len(sets)):
-                if part[p] != part[q] and (crossed is None or crossed[p] != crossed[q]) and 100 * min(n[p], n[q]) >= percent * max(n[p], n[q]):
-                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    if 100 * both >= percent * (n[p] + n[q] - both):
-                        yield p, q
-        return
-    # overlaps of all as a product of membership matrices, a range of elements at a time
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    number = np.cumsum(np.r_[False, every[1:] != every[:-1]])
-    often = np.bincount(number)[number] > 1
-    number, owner = np.unique(number[often], return_inverse=True)[1], owner[often]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
-        a, b = np.searchsorted(number, (lo, lo + 2048))
-        inside = np.zeros((len(sets), 2048), np.float32)
-        inside[owner[a:b], number[a:b] - lo] = 1
-        both += inside @ inside.T
-    passed = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    passed &= part[:, None] != part[None, :]
-    if crossed is not None:
-        passed &= crossed[:, None] != crossed[None, :]
-    for p, q in np.argwhere(np.triu(passed, 1)):
-        yield int(p), int(q)
-
-
-def _sets(shingle: int, short: bool = False):
+    rows = materialize(sets.select("id", "part", F.size("elements").alias("n"), F.explode("elements").alias("e")), "elements")
+    often = materialize(rows.groupBy("e").agg(F.count("*").alias("f")), "frequencies")
+    ordered = rows.join(often, "e").groupBy("id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("own"))
+    # n less the least overlap (rounded up), and one more
+    least = lambda a, b: (F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b) + 1).cast("int")
+    first = ordered.select("id", "part", "n", least(2 * percent, 100 + percent).alias("shorter"), F.posexplode(F.slice("own", F.lit(1), least(percent, 100))).alias("at", "x"))
+    first = materialize(first.where("x.f > 1").select("id", "part", "n", (F.col("at") < F.col("shorter")).alias("short"), "x.e"), "prefixes")
+    small = first.where("short").select("e", F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("m"))
+    large = first.select("e", F.col("id").alias("a"), "part", "n")
+    met = large.join(small, "e").where((F.col("part") != F.col("part_b")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))) & (100 * F.col("m") >= percent * F.col("n")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sets(shingle: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in _batches(batch, 1, 1 << 20):
-                sets = [shingle_set(x, shingle) for x in texts]
-                made = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets], pa.binary()) if short else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                made = pa.array([shingle_set(x, shingle).view(np.int64) for x in texts], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), made], names=["id", "elements"])
         forget()
 

@@ -48,11 +48,8 @@ def test_against_brute_force(spark, size):
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, size, 80)
 
 
-def test_screening_in_blocks(spark, monkeypatch):
+def test_texts_that_are_alike(spark):
     """Texts that are alike, but mostly not enough, in one large bucket."""
-    from gyre.llm import minhash
-
-    monkeypatch.setattr(minhash, "BLOCK", 20)
     r = random.Random(8)
     vocabulary = [f"v{i}" for i in range(400)]
     base = [r.choice(vocabulary) for _ in range(60)]
@@ -97,3 +94,19 @@ def test_components(spark):
             p, q = sorted((find(a), find(b)))
             parent[q] = p
     assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rare_elements_find_every_similar_pair(spark, seed):
+    """The prefix join alone: no similar pair of different parts escapes, and few others come along."""
+    from gyre.llm.minhash import _by_rare_elements
+
+    r = random.Random(seed)
+    base = r.sample(range(10_000), 60)
+    sets = []
+    for i in range(120):
+        own = r.sample(base, r.randint(20, 60)) if r.random() < 0.5 else base[: r.randint(40, 60)]
+        sets.append((i, i % 3, sorted({*own, *r.sample(range(20_000, 30_000), r.randint(0, 12))})))
+    pairs = {tuple(x) for x in _by_rare_elements(spark.createDataFrame(sets, "id long, part long, elements array<long>"), 80).collect()}
+    wanted = {(a, b) for a, p, x in sets for b, q, y in sets if a < b and p != q and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})}
+    assert wanted and wanted <= pairs and all(a < b and a % 3 != b % 3 for a, b in pairs)
