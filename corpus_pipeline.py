@@ -15,7 +15,7 @@ from gyre.llm.packing import pack
 from gyre.llm.quality import judge
 from gyre.llm.suffix import remove_repeated_passages
 from gyre.llm.tokens import vocabulary
-from gyre.session import materialize, sized, table
+from gyre.session import materialize, settled, sized, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a run that counts as repeated: passages of over 50 words hold one.
@@ -88,8 +88,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; a stage's scratch tables go when it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -134,6 +134,16 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def word_grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Character n-grams within words, a blank before and behind each; a word has none of a size that it is too short for."""
+    def of(word: Column, n: int) -> Column:
+        last = F.length(word) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    padded = F.transform(words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda w: F.concat(*[of(w, n) for n in sizes])))
+
+
 # Where a chunk may stop: before a blank line, or behind the stop of a sentence (fixed values: . ? ! and danda).
 _PARAGRAPH, _END = re.compile(r"(?=\n\n)"), re.compile(r"(?<=[.?!।])(?= )")
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) < TINY) | (norm(b) < TINY), F.lit(0.0)).otherwise(dot(a, b) / (norm(a) * norm(b)))
 
 
+def cosine_of(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """cosine() of vectors whose norms are known."""
+    return F.when((norm_a < TINY) | (norm_b < TINY), F.lit(0.0)).otherwise(dot(a, b) / (norm_a * norm_b))
+
+
+def list_cosine(a: Column, b: Column) -> Column:
+    """Cosine that is 0 only for a norm of zero; vectors of different length raise an error."""
+    n = norm(a) * norm(b)
+    value = F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors must have the same length")).cast("double"))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(_d(a), F.lit(0.0), lambda s, x: s + x)
+
+
+def to_bytes(vec_col: str, half: bool) -> Column:
+    """A vector as little-endian floats of half or single precision."""
+    kind = "<f2" if half else "<f4"
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(kind).tobytes())
+
+    return pack(vec_col)
+
+
+def from_bytes(bytes_col: str, half: bool) -> Column:
+    """The vector that to_bytes wrote, in single precision."""
+    kind = "<f2" if half else "<f4"
+
+    @F.pandas_udf("array<float>")
+    def unpack(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else np.frombuffer(b, kind).astype(np.float32))
+
+    return unpack(bytes_col)
+
+
 def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(TINY)))
 

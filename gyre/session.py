@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Scratch tables by application, in the order of their making.
+_scratch: dict[str, list[str]] = {}
 
 
 def build(cores: str = "*", app: str = "gyre", **conf: str) -> SparkSession:
@@ -80,10 +83,24 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts lineage, and lost executors cost no rerun of it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, plan: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What plan gives, written and read back; the scratch tables that were made for it are deleted then."""
+    own = _scratch.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    out = materialize(plan(), name)
+    made, own[before:] = own[before:-1], own[-1:]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return out
+
+
 def sized(small: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """small (of narrow rows), hinted for a broadcast only if it has at most most_rows rows; beyond that the join shuffles.
 

@@ -37,6 +37,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema="code string, title string, grade int, medium string", mode="FAILFAST")
 
 
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """The books of catalogs that are one JSON document each, with a list of books."""
+    book = "struct<code:string,title:string,grade:int,medium:string>"
+    return spark.read.json(path, schema=f"books array<{book}>", multiLine=True, mode="FAILFAST").select(F.inline("books"))
+
+
 def write_catalog(books: DataFrame, path: str) -> None:
     """One sorted file, for readable differences: a catalog has hundreds of rows."""
     books.orderBy("grade", "medium", "code").coalesce(1).write.mode("overwrite").json(path)
@@ -46,12 +52,26 @@ def read_standards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STANDARDS).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def archive_members(spark: SparkSession, path: str, pattern: str = r"([a-l][ehu][a-z]{2}\d)(\d{2})\.pdf$", most_bytes: int = 256 << 20) -> DataFrame:
-    """(archive, code, chapter, content) of the members of ZIP files whose names match; larger archives than most_bytes are left out."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(F.col("length") <= most_bytes).select("path", "content")
+#: Names of the members that are chapters: a book's code and a number of two digits.
+CHAPTER = r"([a-l][ehu][a-z]{2}\d)(\d{2})\.pdf$"
+
+
+def archive_members(spark: SparkSession, path: str, pattern: str = CHAPTER, most_bytes: int = 256 << 20) -> DataFrame:
+    """(archive, code, chapter, content) of the members of ZIP files under path whose names match.
+
+    An archive is read whole by one task: one of over most_bytes raises an
+    error that names it, so that none is left out unseen.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    fits = F.when(F.col("length") <= most_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit(f"over {most_bytes} bytes: "), "path")).cast("binary"))
+    return members(files.select("path", fits.alias("content")), pattern)
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def members(archives: DataFrame, pattern: str = CHAPTER) -> DataFrame:
+    """(archive, code, chapter, content) of the members of ZIP archives (path, content) whose names match; others, such as front matter, are left out."""
+    ship(archives.sparkSession)
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -59,11 +79,59 @@ def archive_members(spark: SparkSession, path: str, pattern: str = r"([a-l][ehu]
                         if m := re.search(pattern, member):
                             yield pd.DataFrame({"archive": [name], "code": [m[1]], "chapter": [int(m[2])], "content": [z.read(member)]})
 
-    return files.mapInPandas(members, "archive string, code string, chapter int, content binary")
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, code string, chapter int, content binary")
+
+
+def zipped(rows: DataFrame, group: str, name: str, content: str) -> DataFrame:
+    """(path, content): a ZIP archive for each group, of its members (name, content), in the order of their names."""
+    ship(rows.sparkSession)
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in sorted(zip(frame[name], frame[content], strict=True)):
+                z.writestr(n, c)
+        return pd.DataFrame({"path": [str(key[0])], "content": [out.getvalue()]})
+
+    return rows.select(F.col(group).cast("string").alias(group), name, content).groupBy(group).applyInPandas(pack, "path string, content binary")
+
+
+def docx_of(rows: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, content): each text as a DOCX file with a paragraph a line."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("binary")
+    def write(texts: pd.Series) -> pd.Series:
+        from xml.sax.saxutils import escape
+
+        def one(value: str) -> bytes:
+            lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape("".join(c for c in x if c >= " " or c == chr(9)))}</w:t></w:r></w:p>' for x in value.split("\n"))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+            return out.getvalue()
+
+        return texts.map(one)
+
+    return rows.select(F.col(path).cast("string").alias("path"), write(text).alias("content"))
+
+
+# Endings of documents and pictures that are taken, and the most bytes.
+UPLOADS = (".pdf", ".docx", ".txt", ".md", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".gif", ".heic")
+MOST_UPLOAD = 100 << 20
+
+
+def allowed_uploads(files: DataFrame, suffixes: tuple[str, ...] = UPLOADS, most_bytes: int = MOST_UPLOAD) -> DataFrame:
+    """The files (path, length) with an allowed ending, by path, without case, and not over most_bytes; content is never read for the others."""
+    name = F.lower("path")
+    ending = F.lit(False)
+    for s in suffixes:
+        ending = ending | name.endswith(s)
+    return files.where(ending & (F.col("length") <= most_bytes))
 
 
 def docx_text(files: DataFrame) -> DataFrame:
-    """(path, text) of DOCX files (path, content): paragraphs that aren't blank, by lines."""
+    """(path, text) of DOCX files (path, content): paragraphs that aren't blank, with a blank line between."""
     ship(files.sparkSession)
 
     @F.pandas_udf("string")
@@ -76,7 +144,7 @@ def docx_text(files: DataFrame) -> DataFrame:
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
                 root = ElementTree.fromstring(z.read("word/document.xml"))
             lines = ("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
-            return "\n".join(x for x in lines if x.strip())
+            return "\n\n".join(x for x in lines if x.strip())
 
         return content.map(read)
 
@@ -105,9 +173,13 @@ def as_markdown(responses: DataFrame, title: str, text: str) -> DataFrame:
 
 
 def markdown_html(text):
-    """Headings, bold, italics, code and paragraphs of Markdown as HTML."""
-    out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    for n in (3, 2, 1):
-        out = F.regexp_replace(out, rf"(?m)^#{{{n}}} (.*)$", f"<h{n}>$1</h{n}>")
-    out = F.regexp_replace(F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"\*(.+?)\*", "<em>$1</em>")
-    return F.regexp_replace(F.regexp_replace(out, "`([^`]+)`", "<code>$1</code>"), r"\n\n+", "</p><p>")
+    """Code, headings, bold, italics, items, paragraphs and links of Markdown as HTML, by rules in this order."""
+    rules = [
+        (r"(?s)```(\w*)\n(.*?)```", r'<pre><code class="language-$1">$2</code></pre>'), ("`([^`]+)`", "<code>$1</code>"),
+        *((rf"(?m)^{'#' * n} (.+)$", f"<h{n}>$1</h{n}>") for n in (3, 2, 1)), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>"), (r"(?m)^- (.+)$", "<li>$1</li>"), (r"(?m)^\d+\. (.+)$", "<li>$1</li>"),
+    ]
+    for pattern, out in rules:
+        text = F.regexp_replace(text, pattern, out)
+    parts = F.filter(F.split(text, "\n\n"), lambda p: F.btrim(p, F.lit(" \t\n\r\x0b\x0c")) != "")
+    html = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(F.concat(F.lit("<p>"), p, F.lit("</p>")))), "")
+    return F.regexp_replace(html, r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>')
