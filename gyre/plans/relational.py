@@ -90,7 +90,13 @@ both("a18_latency_percentiles", """WITH r AS (SELECT event_type, value, row_numb
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.99), 6) AS p99 FROM r WHERE k <= 1000 GROUP BY event_type""",
      """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events})
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM r WHERE k <= 1000 GROUP BY event_type""")
-both("a19_nearest_rank_p95", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events})
+# counts of whole values say where the rank lies, so that the rows of one whole value are ranked
+both("a19_nearest_rank_p95", """WITH b AS (SELECT event_type, floor(value) AS whole, count(*) AS n FROM {events} GROUP BY 1, 2),
+c AS (SELECT event_type, whole, n, sum(n) OVER (PARTITION BY event_type ORDER BY whole) - n AS before, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
+t AS (SELECT event_type, whole, CAST(floor(0.95 * total) AS BIGINT) + 1 - before AS k FROM c WHERE before < floor(0.95 * total) + 1 AND floor(0.95 * total) + 1 <= before + n),
+r AS (SELECT e.event_type, e.value, t.k, row_number() OVER (PARTITION BY e.event_type ORDER BY e.value, e.event_id) AS place FROM {events} e JOIN t ON t.event_type = e.event_type AND floor(e.value) = t.whole)
+SELECT event_type, value AS p95 FROM r WHERE place = k""",
+     """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events})
 SELECT event_type, value AS p95 FROM r WHERE k = CAST(floor(0.95 * n) AS BIGINT) + 1""")
 both("a20_benchmark_stats", "SELECT event_type, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi, round(stddev_samp(value), 6) AS sd FROM {events} GROUP BY event_type")
 both("a21_population_sd", "SELECT label, round(avg(vec_id), 6) AS mean, round(stddev_pop(vec_id), 4) AS sd FROM {embeddings} GROUP BY label")
@@ -130,7 +136,10 @@ both("w5_last_n", "SELECT user_id, round(avg(value), 6) AS mean FROM (SELECT use
 both("w6_moving_average", """WITH s AS (SELECT user_id, array_sort(collect_list(struct(ts, event_id, value))) AS v FROM {events} GROUP BY user_id)
 SELECT user_id, round(aggregate(slice(v, 2, greatest(1, size(v))), v[0].value, (acc, x) -> 0.2D * x.value + 0.8D * acc), 6) AS ema FROM s""",
      """WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM {events} GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda acc, x: 0.2::DOUBLE * x + 0.8::DOUBLE * acc), 6) AS ema FROM s""")
-both("w7_trailing_rate", """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY unix_timestamp(CAST(ts AS timestamp)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM {events}""",
+# an event counts in its own hour and in the next one, so that an hour is a unit of work
+both("w7_trailing_rate", """WITH e AS (SELECT event_id, event_type, unix_timestamp(CAST(ts AS timestamp)) AS s FROM {events}), h AS (SELECT event_id, event_type, s, explode(array(0, 1)) AS later FROM e),
+w AS (SELECT event_id, later, count(*) OVER (PARTITION BY event_type, floor(s / 3600) + later ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM h)
+SELECT event_id, n FROM w WHERE later = 0""",
      "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM {events}")
 both("w8_recency", "SELECT conv_id, turn, round(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY conv_id), 6) AS recency FROM {conversations}")
 both("w9_token_budget", """WITH s AS (SELECT conv_id, turn, sum(length(text)) OVER w AS used, row_number() OVER w AS k FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

@@ -122,8 +122,14 @@ def v20(spark, sf_dir):
 
 @query("v22_batches", "SELECT vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS batch FROM embeddings")
 def v22(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return _embeddings(spark, sf_dir).select("vec_id", F.floor((n - 1) / 16).alias("batch"))
+    """Places within a label by runs of a thousand ids: the rows before a run are counted, those in it ranked."""
+    run = F.floor(F.col("vec_id") / 1000)
+    e = _embeddings(spark, sf_dir).select("vec_id", "label", run.alias("run"))
+    sizes = e.groupBy("label", "run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("label", "run", F.coalesce(before, F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("label", "run").orderBy("vec_id"))
+    return e.withColumn("n", n).join(sizes, ["label", "run"]).select("vec_id", F.floor((F.col("before") + F.col("n") - 1) / 16).alias("batch"))
 
 
 def _hits(spark, sf_dir):

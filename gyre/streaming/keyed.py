@@ -118,6 +118,48 @@ class Cooldown:
         return True
 
 
+@dataclass
+class FifoCache:
+    """A bounded cache: what was put in first goes first, and nothing lives longer than seconds. A step says whether its key was a hit; a miss is put in."""
+
+    size: int
+    seconds: float
+    held: dict = field(default_factory=dict)
+
+    def step(self, now: float, key: float) -> bool:
+        if key in self.held and now - self.held[key] < self.seconds:
+            return True
+        self.held.pop(key, None)
+        while len(self.held) >= self.size:
+            del self.held[next(iter(self.held))]
+        self.held[key] = now
+        return False
+
+
+@dataclass
+class TieredCache:
+    """Two tiers that each forget what was used longest ago. A hit in the second is promoted to the first; a miss is put into both. A step says whether the first had it."""
+
+    first: int
+    second: int
+    upper: dict = field(default_factory=dict)
+    lower: dict = field(default_factory=dict)
+
+    @staticmethod
+    def _use(tier: dict, key: float, size: int) -> None:
+        tier.pop(key, None)
+        tier[key] = True
+        if len(tier) > size:
+            del tier[next(iter(tier))]
+
+    def step(self, _: float, key: float) -> bool:
+        hit = key in self.upper
+        if not hit:
+            self._use(self.lower, key, self.second)
+        self._use(self.upper, key, self.first)
+        return hit
+
+
 def fold(events: DataFrame, machine: Callable[[], object], key: str, seconds: str, order: str, value: str) -> DataFrame:
     """(key, order, allowed) of events in the order of their time and id in each key.
 
