@@ -50,9 +50,12 @@ def sentence_count(text: Column) -> Column:
 
 
 def script(text: Column) -> Column:
-    """The script of most characters; the first in SCRIPTS of equals; Unknown without any."""
-    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("script")) for i, (name, r) in enumerate(SCRIPTS.items())])
-    best = F.array_max(counts)
+    """The script of most characters; of equals the one that comes first in the text; Unknown without any."""
+    def counted(name: str, r: str) -> Column:
+        n = F.regexp_count(text, F.lit(f"[{r}]"))
+        return F.struct(n.alias("n"), F.when(n > 0, -F.regexp_instr(text, F.lit(f"[{r}]"))).alias("place"), F.lit(name).alias("script"))
+
+    best = F.array_max(F.array(*[counted(name, r) for name, r in SCRIPTS.items()]))
     return F.when(best["n"] > 0, best["script"]).otherwise(F.lit("Unknown"))
 
 
@@ -108,8 +111,9 @@ def complexity(text: Column) -> Column:
     return F.when((n > 0) & (s > 0), score).otherwise(F.lit(0.0))
 
 
-def redacted(text: Column) -> Column:
-    for pattern, name in REDACTIONS:
+def redacted(text: Column, first: int | None = None) -> Column:
+    """text with placeholders for what the patterns find, one pattern after the other; for the first ones only, if first says how many."""
+    for pattern, name in REDACTIONS[:first]:
         text = F.regexp_replace(text, pattern, f"[REDACTED_{name}]")
     return text
 

@@ -183,7 +183,9 @@ c AS (SELECT l_orderkey, l_partkey, l_linenumber, confidence, row_number() OVER
 SELECT l_orderkey, l_partkey, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(confidence, 6) DESC, k) AS place FROM c WHERE k <= 5""")
 _TYPE = """CASE WHEN lower(url) LIKE '%.py%' OR lower(url) LIKE '%.js%' OR lower(url) LIKE '%.ts%' OR lower(url) LIKE '%.java%' OR lower(url) LIKE '%.cpp%' THEN 'code'
 WHEN lower(url) LIKE '%.pdf%' OR lower(url) LIKE '%.docx%' OR lower(url) LIKE '%.txt%' THEN 'document' WHEN lower(url) LIKE '%curriculum%' THEN 'curriculum' WHEN lower(url) LIKE '%http%' THEN 'web' ELSE 'document' END"""
-both("t49_source_type", f"SELECT page_id, {_TYPE} AS kind FROM {{pages}}")
+_FILE = "CASE WHEN page_id % 5 > 0 THEN concat('file', page_id, '.pdf') END"
+_PLACE = "CASE page_id % 4 WHEN 0 THEN concat('page ', page_id) WHEN 1 THEN concat('line ', page_id) WHEN 2 THEN concat('section ', page_id % 9 + 1) END"
+both("t49_source_type", f"SELECT page_id, {_TYPE} AS kind, nullif(concat_ws(' — ', {_FILE}, {_PLACE}), '') AS location FROM {{pages}}")
 both("t50_source_summary", f"SELECT kind, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_TYPE} AS kind FROM {{pages}}) p GROUP BY kind")
 
 # --- arithmetic

@@ -96,8 +96,21 @@ def _ended(text):
 
 _measure("t62_clean_ending", r"CASE WHEN regexp_matches(rtrim(text), '[.!?।]\z') THEN text " + " ".join(f"WHEN instr(reverse(text), '{m[::-1]}') > 0 AND length(text) - instr(reverse(text), '{m[::-1]}') - 1 > length(text) * 0.7::DOUBLE THEN left(text, length(text) - instr(reverse(text), '{m[::-1]}'))" for m in (". ", "! ", "? ", "। ")) + " ELSE text END AS ended",
          ended=lambda: _ended(F.col("text")))
-_measure("t43_policy_counts", r"len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b'))::BIGINT AS numbers, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'))::BIGINT AS mails",
-         numbers=lambda: F.regexp_count("text", F.lit(X.REDACTIONS[5][0])).cast("long"), mails=lambda: F.regexp_count("text", F.lit(X.REDACTIONS[6][0])).cast("long"))
+
+
+def _found_by_type():
+    """How often each pattern of the policy is found, in a text that the ones before have redacted already: as SQL, and as columns."""
+    sql, columns, before = [], {}, "text"
+    for k, (pattern, name) in enumerate(X.REDACTIONS):
+        p = pattern.replace("'", "''")
+        sql.append(f"len(regexp_extract_all({before}, '{p}'))::BIGINT AS {name.lower()}")
+        before = f"regexp_replace({before}, '{p}', '[REDACTED_{name}]', 'g')"
+        columns[name.lower()] = lambda k=k: F.regexp_count(X.redacted(F.col("text"), k), F.lit(X.REDACTIONS[k][0])).cast("long")
+    return ", ".join(sql), columns
+
+
+_FOUND_SQL, _FOUND = _found_by_type()
+_measure("t43_policy_counts", _FOUND_SQL, **_FOUND)
 
 _AKSHARA_WORDS = ("नमस्ते", "प्रकाश", "विद्यार्थी", "संश्लेषण", "का", "cat")
 

@@ -24,7 +24,6 @@ def _measure(name, sql, **columns):
 
 
 _measure("t8_sentences", r"len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s, E' \t\n\r\x0B\x0C')), lambda s: s <> ''))::INT AS n", n=lambda: F.size(X.sentences(F.col("text"))))
-_measure("t10_script", "CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'Latin' ELSE 'Unknown' END AS script", script=lambda: X.script(F.col("text")))
 _measure("t12_latin_syllables", rf"""list_sum(list_transform({_W}, lambda w: CASE WHEN regexp_replace(lower(w), '[^a-z]', '', 'g') = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower(w), '[^a-z]', '', 'g'), '[aeiouy]+'))
   - (CASE WHEN regexp_matches(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'e$') AND NOT regexp_matches(regexp_replace(lower(w), '[^a-z]', '', 'g'), '(le|ee)$') AND len(regexp_extract_all(regexp_replace(lower(w), '[^a-z]', '', 'g'), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)) END))::BIGINT AS n""",
          n=lambda: X.total(F.transform(X.words(F.col("text")), lambda w: X.latin_syllables(w).cast("long"))))

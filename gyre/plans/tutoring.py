@@ -53,6 +53,19 @@ _SHORT_PHRASES = ("As Dr. Rao said, e.g. in Vol. 3, No. 4. Then", "One sentence.
 _of_phrases("t7_sentences_kept", _SHORT_PHRASES, f"array_to_string(flatten(list_transform({_KEPT}, lambda s: CASE WHEN length(s) > 500 THEN {_CLAUSES} ELSE [s] END)), '|') AS sentences",
             sentences=lambda: F.array_join(T.kept_sentences(F.col("text")), "|"))
 
+_MIXED = ("क்க", "தமிழ் हिन्दी", "12 34", "ಕನ್ನಡ and english words", "বাংলা ગુજરાતી ਪੰਜਾਬੀ", "العربية", "ଓଡ଼ିଆ", "తెలుగు മലയാളം", "अ அ", "அ अ")
+_COUNTED = ", ".join(f"{{'n': len(regexp_extract_all(text, '[{r}]')), 'p': CASE WHEN regexp_matches(text, '[{r}]') THEN -1 - length(regexp_extract(text, '^[^{r}]*')) END, 's': '{n}'}}" for n, r in X.SCRIPTS.items())
+
+
+@query("t10_script", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE {_list(_MIXED)}[(doc_id % {len(_MIXED)} + 1)::INT] END AS text FROM documents), c AS (SELECT doc_id, list_sort(list_filter([{_COUNTED}], lambda x: x.n > 0), 'DESC')[1] AS best FROM t)
+SELECT doc_id, coalesce(best.s, 'Unknown') AS script FROM c""")
+def t10(spark, sf_dir):
+    """Every third document as it is, the others as a passage in one or several of eleven scripts; of equals the first in the text."""
+    passage = F.get(F.array(*[F.lit(m) for m in _MIXED]), (F.col("doc_id") % len(_MIXED)).cast("int"))
+    d = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(passage).alias("text"))
+    return d.select("doc_id", X.script(F.col("text")).alias("script"))
+
+
 _SCRIPT_WORDS = [("नमस्ते", "Devanagari"), ("विद्यार्थी", "Devanagari"), ("प्रकाश", "Devanagari"), ("বিদ্যার্থী", "Bengali"), ("கல்வி", "Tamil"), ("విద్యార్థి", "Telugu"), ("ವಿದ್ಯಾರ್ಥಿ", "Kannada")]
 _UNITS = "CASE " + " ".join(f"WHEN script = '{n}' THEN regexp_extract_all(word, '[^\\p{{Mn}}\\p{{Mc}}\\s](?:[\\p{{Mn}}\\p{{Mc}}]*{v}[^\\p{{Mn}}\\p{{Mc}}\\s])*[\\p{{Mn}}\\p{{Mc}}]*|[\\p{{Mn}}\\p{{Mc}}]+')" for n, v in X.VIRAMAS.items()) + " ELSE [word] END"
 
