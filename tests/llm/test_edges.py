@@ -1,12 +1,13 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names, for all operators."""
 
 import os
+import random
+import struct
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
-from gyre.llm.chat import preference_pairs
+from gyre.llm.chat import other_answers, preference_pairs
 from gyre.llm.decontaminate import flag
 from gyre.llm.langid import fit, predict
 from gyre.llm.minhash import near_duplicates
@@ -155,3 +156,66 @@ def test_no_text_is_long_enough(spark, docs):
     short = docs.where("doc_id in (3, 4, 5, 7)")
     assert Counter(r.n_removed for r in remove_repeated_bytes(short).collect()) == Counter([0] * 4)
     assert Counter(r.n_removed for r in remove_earlier_passages(short).collect()) == Counter([0] * 4)
+
+
+def names(df):
+    return [c.lower() for c in df.columns]
+
+
+def test_clashing_names_are_kept_or_replaced(spark):
+    """Columns that operators use inside stay as they are; those with an output's name, in any case, are replaced."""
+    docs = spark.createDataFrame([(1, PASSAGE, "h", "x", 5, "m", True), (2, None, None, "y", 6, None, False)], "doc_id long, text string, source string, _host string, N_Words int, text_md5 string, Contaminated boolean")
+    out = judge(docs)
+    assert len(set(names(out))) == len(out.columns) and {(r.doc_id, r._host, r.text_md5) for r in out.collect()} == {(1, "x", "m"), (2, "y", None)}
+    assert {r.doc_id: r.n_words for r in out.collect()} == {1: 90, 2: 0}
+    out = flag(docs, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
+    assert names(out).count("contaminated") == 1 and {(r.doc_id, r.text_md5, r.contaminated) for r in out.collect()} == {(1, "m", True), (2, None, False)}
+    pages = spark.createDataFrame([(1, "http://a.com/x", "q", "r"), (2, None, "s", None)], "page_id long, url string, by_rule string, HOST string")
+    out = judge_urls(pages, spark.createDataFrame([("a.com", "/", "block")], "host string, path string, verdict string"))
+    assert names(out).count("host") == 1 and {(r.page_id, r.by_rule, r.host, r.verdict) for r in out.collect()} == {(1, "q", "a.com", "block"), (2, "s", "", "allow")}
+
+
+def test_equal_rules_of_different_verdicts_block(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/x", "allow"), ("A.com", "/x", "block"), ("a.com", "/x", "allow")], "host string, path string, verdict string")
+    assert [r.verdict for r in judge_urls(pages, rules).collect()] == ["block"]
+
+
+def test_archives_of_repeated_rows(spark):
+    """Rows alike in id and payload are responses all, as none of them is before the others; files hold a dictionary, however few records they have."""
+    pages = spark.createDataFrame([(1, "u", "same")] * 3 + [(2, "u", "same"), (3, "u", "")], "page_id long, url string, html string").repartition(2)
+    files = write_archives(pages)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in read_archives(spark, files).collect()) == Counter({(1, "response", None): 3, (2, "revisit", 1): 1, (3, "response", None): 1})
+    for row in files.collect():
+        with open(row.file.removeprefix("file://"), "rb") as f:
+            magic, size = struct.unpack("<II", f.read(8))
+            assert magic == 0x184D2A5D and size > 0
+
+
+def test_preferences_of_long_turns_and_no_pairs(spark):
+    long = "x" * 300_000
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", long + str(t if t < 5 else c)) for c in (0, 1) for t in range(6)], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(0, 1, "k")], "chosen_id long, rejected_id long, a string")
+    row = preference_pairs(turns, pairs).first()
+    assert row.n_shared == 5 and row.a == "k" and len(row.prompt) == 5 * (len(long) + 1) + sum(len(f"<|im_start|>{r}\n<|im_end|>\n") for r in ("user", "assistant", "user", "assistant", "user"))
+    assert row.chosen[slice(*row.chosen_spans[0])] == long + "0<|im_end|>" and row.rejected[slice(*row.rejected_spans[0])] == long + "1<|im_end|>"
+    assert preference_pairs(turns, pairs.where("false")).count() == 0
+
+
+def test_variants_share_what_goes_before_the_last_answer(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (2, 0, "user", "alone"), (5, 0, "assistant", "far"), (None, 1, "assistant", "n")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted((r.donor, r.conv_id, r.turn, r.role, r.text) for r in other_answers(df).collect())
+    assert got == [(0, -2, 0, "user", "r"), (0, -2, 1, "assistant", "a"), (1, -1, 0, "user", "q"), (1, -1, 1, "assistant", "b")]
+    assert other_answers(df.where("false")).count() == 0
+
+
+def test_decontamination_of_short_and_long_items(spark):
+    """Items of fewer words than a shingle, and of hundreds, next to texts that hold them once or nearly."""
+    r = random.Random(3)
+    long = [f"t{i}q{r.randint(0, 9)}" for i in range(400)]
+    items = [(1, "two words"), (2, "one"), (3, " ".join(long)), (4, " ".join(f"s{i}" for i in range(12)))]
+    edited = [*long[:200], "other", *long[201:]]  # five of 396 shingles are lost
+    docs = [(1, "has Two  Words in it"), (2, "has two other words"), (3, "x " + " ".join(edited) + " y"), (4, " ".join(long[:300])), (5, "one"), (6, "a " + " ".join(f"S{i}" for i in range(12)) + " b"), (7, " ".join(f"s{i}" for i in range(9)))]
+    out = flag(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.n_items for r in out.collect()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 1, 7: 0}
