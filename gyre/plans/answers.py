@@ -364,9 +364,13 @@ def s4(spark, sf_dir):
     return corpus.read_catalog(spark, path)
 
 
-@query("s11_standards_round_trip", "SELECT doc_id, lang, source FROM documents")
+@query("s11_standards_round_trip", "SELECT (item_id % 12 + 1)::INT AS grade_level, 'subject ' || item_id AS subject, text AS topic, len(string_split(text, '.'))::INT AS objectives FROM benchmark")
 def s11(spark, sf_dir):
-    return materialize(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "standards")
+    """Standards stored as a table of typed rows by grade, and read by their schema."""
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 12 + 1).cast("int").alias("grade_level"), F.concat(F.lit("subject "), F.col("item_id").cast("string")).alias("subject"), F.col("text").alias("topic"), F.split("text", r"\.").alias("learning_objectives"), F.split("text", " ").alias("keywords"))
+    path = fresh_path(spark, "standards")
+    corpus.store_standards(rows, path)
+    return corpus.stored_standards(spark, path).select("grade_level", "subject", "topic", F.size("learning_objectives").alias("objectives"))
 
 
 @query("s13_store", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gyre.functions import text as X
 from gyre.functions import vectors as V
 from gyre.functions.answers import token_windows
-from gyre.operators.graph import ego_nodes, graph_context, induced_edges, read_graph, write_graph
+from gyre.operators.graph import graph_context, induced_edges, read_graph, write_graph
 from gyre.operators.index import assign, fit_lists, search_lists
 from gyre.plans.registry import query
 from gyre.plans.relational import both

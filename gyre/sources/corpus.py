@@ -52,6 +52,16 @@ def read_standards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STANDARDS).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def store_standards(standards: DataFrame, path: str) -> None:
+    """Standards as a table by grade; grades that come again replace their own partitions."""
+    standards.select(*STANDARDS.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grade_level").parquet(path)
+
+
+def stored_standards(spark: SparkSession, path: str) -> DataFrame:
+    """What store_standards wrote; filters on the grade read its partitions alone."""
+    return spark.read.schema(STANDARDS).parquet(path)
+
+
 #: Names of the members that are chapters: a book's code and a number of two digits.
 CHAPTER = r"([a-l][ehu][a-z]{2}\d)(\d{2})\.pdf$"
 
