@@ -169,12 +169,12 @@ def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, q
                             row, q, exact = row[exact >= least], q[exact >= least], exact[exact >= least]
                         yield pa.RecordBatch.from_arrays([arrow.take(pa.array(q + lo)), pa.array(ids[row]), pa.array(exact)], names=schema.names)
                         continue
-                    # a few more than k, as the product differs from the measure in the last digits
-                    wide = min(len(ids), k + 8)
-                    top = np.argpartition(-near, wide - 1, axis=0)[:wide]
+                    # all that come near the k-th, as the product differs from the measure in the last digits, and equals come by id
+                    limit = np.partition(near, -min(len(ids), k), axis=0)[-min(len(ids), k)] if len(ids) else None
+                    close = near >= limit - 1e-9 * max(1.0, float(np.abs(near).max())) if len(ids) else near > 0
                     for q in range(len(part)):
-                        row = top[:, q]
-                        exact = _exact(metric, matrix[row], np.broadcast_to(part[q], (wide, size)))
+                        row = np.flatnonzero(close[:, q])
+                        exact = _exact(metric, matrix[row], np.broadcast_to(part[q], (len(row), size)))
                         old = best.get(lo + q)
                         found = (exact, ids[row]) if old is None else (np.r_[old[0], exact], np.r_[old[1], ids[row]])
                         order = np.lexsort((found[1], -found[0] if metric == "cosine" else found[0]))[:k]
