@@ -138,15 +138,19 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", hos
     judged by the document alone. A null text fails; equal rows have equal
     results; an empty table gives no rows; columns with the outputs' names
     (without case) are replaced. carried names the columns of docs that the
-    result keeps, all unless it is given: what is carried is written once with
-    the counts.
+    result keeps, all unless it is given. What is named is written with the
+    counts, so that texts are measured once.
     """
     left_out = [] if carried is None else [f.name for f in others(docs, carried)]
     rows, own = _with_text(docs, (*COUNTS, *VERDICTS, *left_out), text_col, host=col(host_col))
-    # written, so that texts are measured once for the rates and the verdicts
-    rows = materialize(counted(rows, text_col), "counts")
+    rows = counted(rows, text_col)
+    if carried is None:
+        # measured for the rates and again for the verdicts, as a table of all texts would cost more than that
+        of_hosts = counted(docs.select(col(host_col).alias("host"), col(text_col).alias("text")), text_col)
+    else:
+        of_hosts = rows = materialize(rows, "counts")
     base, any_rule = _rules()
-    strict = materialize(host_rates(rows, "host").select("host", F.col("rate").alias("host_rate")), "rates")
+    strict = materialize(host_rates(of_hosts, "host").select("host", F.col("rate").alias("host_rate")), "rates")
     out = rows.withColumns({"base_failed": base, "rule_failed": any_rule}).join(sized(strict), "host", "left")
     out = out.withColumn("host_strict", F.coalesce(F.col("host_rate") >= host_limit, F.lit(False)))
     kept = ~F.col("base_failed") & ~(F.col("host_strict") & F.col("rule_failed"))
