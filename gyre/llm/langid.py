@@ -23,8 +23,8 @@ from gyre.session import ship
 
 #: Labelled texts in training at most, in all and of a language: the documented bound of the sample.
 SAMPLE_ROWS, SAMPLE_ROWS_LANG = 4000, 700
-#: Bytes of a word that training learns from at most (scoring takes all), and languages of a model.
-TRAIN_WORD, MOST_LANGUAGES = 200, 500
+#: Bytes of a stretch that training takes a longer word apart into, bytes that a stretch shares with the one before (the longest piece has 33), and languages of a model.
+STRETCH, SHARED, MOST_LANGUAGES = 200, 36, 500
 #: Words in a worker's cache at most, and bytes of a word that enters it.
 MOST, CACHED_WORD = 500_000, 200
 #: The score is the probability among the languages for so many bytes of the text on average.
@@ -160,6 +160,20 @@ def words_of(text: bytes) -> list[bytes]:
     return [b" " + w for w in text.split()]
 
 
+def stretches(word: bytes) -> Iterator[bytes]:
+    """A word in overlapping stretches of at most STRETCH bytes and of whole characters; each piece of the word lies whole in one at least."""
+    start = 0
+    while len(word) - start > STRETCH:
+        end = start + STRETCH
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[start:end]
+        start = end - SHARED
+        while word[start] & 0xC0 == 0x80:
+            start -= 1
+    yield word[start:]
+
+
 def by_length(words: list[bytes], most: int = 400_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Words of one length together, of about most bytes."""
     groups: dict[int, list[int]] = {}
@@ -270,14 +284,16 @@ def fit(
     At most most_rows different texts, spread evenly over the languages, and
     most_lang of each; chosen by a hash of the text, so that tables of equal
     rows in any order give the same model, and repeated rows count once. Rows
-    without a language, a text or a letter are not used, nor are words of over
-    TRAIN_WORD bytes. Over MOST_LANGUAGES languages raise ValueError, as the
-    model has a number for each piece and language. An empty table gives a
+    without a language, a text or a letter are not used. Words are learned from
+    whole; longer ones than STRETCH bytes, as in languages written without
+    spaces, in overlapping stretches that all count. Over MOST_LANGUAGES
+    languages raise ValueError, as the model has a number for each piece and
+    language (at that bound some 200 MB on each worker). An empty table gives a
     model without languages.
     """
     counted: dict[str, Counter] = {}
     for row in sample(labelled, text_col, lang_col, most_rows, most_lang).toLocalIterator():
-        counted.setdefault(row.lang, Counter()).update(w for w in words_of(row.text.encode()) if len(w) <= TRAIN_WORD)
+        counted.setdefault(row.lang, Counter()).update(s for w in words_of(row.text.encode()) for s in stretches(w))
     # in one order, so that sums are the same each time
     counted = {lang: Counter(dict(sorted(words.items()))) for lang, words in sorted(counted.items()) if words}
     return list(counted), train(Vocabulary(read_pieces(vocabulary)), counted, rounds)

@@ -24,8 +24,8 @@ from gyre.session import materialize, ship, sized
 
 #: 40 bands of 6: two sets of similarity 0.8 share no band once in 190,000 pairs, and of 0.9 never in practice.
 BANDS, ROWS = 40, 6
-#: Members of a bucket that are compared at once.
-BLOCK = 2048
+#: Members of a bucket that are compared at once, and bytes of their elements.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 _ROUND = np.uint64(54)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -71,7 +71,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _batches(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def batches_of_text(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows of about most bytes of text."""
     texts = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
     lo, held = 0, 0
@@ -110,7 +110,7 @@ def near_duplicates(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _batches(batch, 1):
+            for lo, hi, texts in batches_of_text(batch, 1):
                 sets = [shingle_set(x, shingle) for x in texts]
                 sizes = np.array([len(x) for x in sets])
                 full = np.flatnonzero(sizes)
@@ -142,16 +142,8 @@ def near_duplicates(
     full = materialize(banded.join(buckets, "key"), "buckets")
     stars = full.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar enough, on sets made anew from the texts of those concerned."""
-        pairs = materialize(pairs, "pairs")
-        concerned = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "concerned")
-        members = docs.select(key.cast("long").alias("id"), text.alias("text")).join(sized(concerned), "id", "left_semi")
-        sets = materialize(members.mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-        return both.mapInArrow(_similar(percent), "a long, b long").distinct()
-
-    links = materialize(confirmed(stars), "links")
+    texts = docs.select(key.cast("long").alias("id"), text.alias("text"))
+    links = materialize(confirmed(texts, stars, shingle, percent), "links")
     found = materialize(components(links), "components")
     # what buckets hold beyond: members of different components, none of which the stars have shown
     label = F.coalesce("component", "node")
@@ -159,10 +151,9 @@ def near_duplicates(
     mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     left = materialize(labelled.join(mixed, "key"), "mixed")
     concerned = materialize(left.select(F.col("node").alias("id")).distinct(), "concerned")
-    members = docs.select(key.cast("long").alias("id"), text.alias("text")).join(sized(concerned), "id", "left_semi")
-    held = members.mapInArrow(_sets(shingle, short=True), "id long, elements binary").dropDuplicates(["id", "elements"])
+    held = texts.join(sized(concerned), "id", "left_semi").mapInArrow(_sets(shingle, packed=True), "id long, elements binary").dropDuplicates(["id", "elements"])
     rest = _screened(left, materialize(held, "held"), percent)
-    more = materialize(confirmed(rest), "more")
+    more = materialize(confirmed(texts, rest, shingle, percent), "more")
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
     of_class = classes.join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
@@ -171,18 +162,31 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
 
 
+def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets are similar enough, on sets made anew from the texts (id, text) of those concerned."""
+    pairs = materialize(pairs, "pairs")
+    concerned = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "concerned")
+    members = texts.join(sized(concerned), "id", "left_semi")
+    sets = materialize(members.mapInArrow(_sets(shingle), "id long, elements array<long>").dropDuplicates(["id", "elements"]), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    return both.mapInArrow(_similar(percent), "a long, b long").distinct()
+
+
 def _screened(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket (key) in different parts that pass on 32-bit elements, which can only add to an overlap.
+    """Pairs (a, b) of nodes of one bucket (key) in different parts whose sets are similar enough.
 
-    A bucket of over BLOCK members is dealt in blocks, each pair of blocks to a
-    group of its own.
+    A bucket of over BLOCK members, or of over BLOCK_BYTES of elements, is dealt
+    in blocks, each pair of blocks to a group of its own.
     """
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lengths = sets.groupBy(F.col("id").alias("node")).agg(F.sum(F.length("elements")).alias("bytes"))
+    enough = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    sizes = materialize(left.join(lengths, "node").groupBy("key").agg(enough.cast("int").alias("blocks"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum(F.col("n") * F.col("blocks")), F.sum(F.col("bytes") * F.col("blocks"))).first()
+    groups = max(1, (total[0] or 0) // 2000, (total[1] or 0) // BLOCK_BYTES)
+    rows = left.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
     rows = materialize(rows.select("key", "node", "part", "block", F.explode(others).alias("pair")).select("key", "node", "part", "block", "pair.i", "pair.j"), "blocks")
     rows = rows.join(sets.select(F.col("id").alias("node"), "elements"), "node")
-    groups = max(1, left.count() // 2000)
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
 
     def screen(table: pa.Table) -> pa.Table:
@@ -190,10 +194,10 @@ def _screened(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort(key[::-1])
         cut = np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1
         node, part, block = (table[c].to_numpy() for c in ("node", "part", "block"))
-        elements = table["elements"].to_pylist()
+        elements = table["elements"].combine_chunks()
         pairs = set()
         for rows_ in np.split(order, cut):
-            own = [np.frombuffer(elements[r], np.uint32) for r in rows_]
+            own = [np.frombuffer(elements[int(r)].as_buffer(), np.uint64) for r in rows_]
             crossed = block[rows_] if key[1, rows_[0]] != key[2, rows_[0]] else None
             for p, q in _passing(own, part[rows_], crossed, percent):
                 a, b = node[rows_[p]], node[rows_[q]]
@@ -238,12 +242,12 @@ def _passing(sets: list[np.ndarray], part: np.ndarray, crossed: np.ndarray | Non
         yield int(p), int(q)
 
 
-def _sets(shingle: int, short: bool = False):
+def _sets(shingle: int, packed: bool = False):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _batches(batch, 1, 1 << 20):
+            for lo, hi, texts in batches_of_text(batch, 1, 1 << 20):
                 sets = [shingle_set(x, shingle) for x in texts]
-                made = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets], pa.binary()) if short else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                made = pa.array([x.tobytes() for x in sets], pa.binary()) if packed else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), made], names=["id", "elements"])
         forget()
 

@@ -11,8 +11,11 @@ from gyre.llm.chat import other_answers, preference_pairs, span_text
 from gyre.llm.decontaminate import flag
 from gyre.llm.langid import fit, held_out, predict
 from gyre.llm.minhash import near_duplicates
+from gyre.llm.negatives import hard_negatives
 from gyre.llm.packing import pack
 from gyre.llm.quality import judge
+from gyre.llm.repair import damaged, joined_hash, repaired
+from gyre.llm.signatures import similar_documents
 from gyre.llm.sql import SQL
 from gyre.llm.substring import remove_earlier_passages
 from gyre.llm.suffix import remove_repeated_bytes
@@ -81,8 +84,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repaired(damaged(turns), turns.select("conv_id").distinct())
+    lines = joined_hash(found.rows.select("conv_id", "place", F.concat_ws(":", "role", "text").alias("line")))
+    out = found.conversations.join(lines.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op13_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_quality, op3_preferences, op4_url_filters, op5_warc, op6_suffix_dedup, op7_substring_dedup, op8_language_id, op9_packing, op10_near_duplicates]
+    own = [op1_decontaminate, op2_quality, op3_preferences, op4_url_filters, op5_warc, op6_suffix_dedup, op7_substring_dedup, op8_language_id, op9_packing, op10_near_duplicates, op11_conversation_repair, op12_hard_negatives, op13_signature_join]
     return {f.__name__: f for f in own}
 
 

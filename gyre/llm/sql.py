@@ -102,7 +102,64 @@ comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
 SELECT doc_id, len(e)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp ON doc_id = v
 """
 
+def _op11() -> str:
+    """The cheapest edits turn by turn: for each state of the pattern the least (cost, audit, lines) so far."""
+
+    def add(x: str, cost: str, letter: str, line: str | None) -> str:
+        lines = f"{x}.t" if line is None else f"{x}.t || chr(10) || {line}"
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {lines}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    user, assistant = "'user:'", "'assistant:'"
+    inserted = "SELECT *, " + least("s2", *[add(x, "2", "I", user) for x in ("s0", "s1", "s3")]) + " AS i2"
+    closed = f"SELECT *, {least('s3', add('i2', '2', 'I', assistant))} AS i3"
+    on = lambda ok, way: f"CASE WHEN {ok} THEN {way} END"
+    keep, whole = "NOT faulty AND initial = '{}'", "role || ':' || text"
+    gone = [add(x, "3", "D", None) for x in ("s0", "s1", "i2", "i3")]
+    n1 = least(gone[1], on(keep.format("s"), add("s0", "cut", "K", whole)))
+    n2 = least(gone[2], *[on(keep.format("u"), add(x, "cut", "K", whole)) for x in ("s0", "s1", "i3")], *[on("NOT faulty", add(x, "2 + cut", "R", "'user:' || text")) for x in ("s0", "s1", "i3")])
+    n3 = least(gone[3], on(keep.format("a"), add("i2", "cut", "K", whole)), on("NOT faulty", add("i2", "2 + cut", "R", "'assistant:' || text")))
+    byte = "list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(name, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: {byte}), 4294967295::UBIGINT)"
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+r AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*\z') AS open FROM d),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS duplicate, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM r),
+t AS (SELECT *, blank OR duplicate AS faulty, CASE WHEN open AND NOT blank AND NOT duplicate THEN 1 ELSE 0 END AS cut FROM f),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, sum(cut)::BIGINT AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM t GROUP BY conv_id),
+w AS (SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3 FROM stat
+  UNION ALL SELECT conv_id, k, {gone[0]}, {n1}, {n2}, {n3} FROM ({closed} FROM ({inserted} FROM (SELECT t.*, s0, s1, s2, s3 FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1)))),
+last AS (SELECT conv_id, {least('s0', 'i3')} AS e FROM ({closed} FROM ({inserted} FROM w SEMI JOIN stat ON stat.conv_id IS NOT DISTINCT FROM w.conv_id AND w.k = stat.n)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stat ON stat.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score FROM e a, e WHERE a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS e FROM d),
+x AS (SELECT doc_id, len(e) AS n, unnest(e) AS e FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.e = b.e AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * common >= 90 * (na + nb - common)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS u FROM s UNION SELECT reach.v, edge.b FROM reach JOIN edge ON reach.u = edge.a),
+comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, len(e)::BIGINT AS n_shingles, component_id FROM s JOIN comp ON doc_id = v
+"""
+
 SQL = {
     "op1_decontaminate": OP1, "op2_quality": OP2, "op3_preferences": OP3, "op4_url_filters": OP4, "op5_warc": OP5,
-    "op7_substring_dedup": OP7, "op10_near_duplicates": OP10,
+    "op7_substring_dedup": OP7, "op10_near_duplicates": OP10, "op11_conversation_repair": _op11(), "op12_hard_negatives": OP12, "op13_signature_join": OP13,
 }

@@ -97,3 +97,18 @@ def test_components(spark):
             p, q = sorted((find(a), find(b)))
             parent[q] = p
     assert got == {x: find(x) for x in parent}
+
+
+def test_screening_keeps_elements_that_agree_in_half_their_bits():
+    """80 common elements of 100, two of them equal in their low 32 bits, are a link; so are they in either half."""
+    from gyre.llm.minhash import _passing
+
+    for shift in (32, 0):
+        common = np.arange(80, dtype=np.uint64) << np.uint64(33)
+        common[1] = common[0] + (np.uint64(1) << np.uint64(shift))
+        a = np.sort(np.r_[common, np.arange(10, dtype=np.uint64) + np.uint64(1 << 60)])
+        b = np.sort(np.r_[common, np.arange(10, dtype=np.uint64) + np.uint64(1 << 61)])
+        part = np.arange(2)
+        assert list(_passing([a, b], part, None, 80)) == [(0, 1)]
+        many = [a, b, *(np.arange(100, dtype=np.uint64) + np.uint64(k << 50) for k in range(1, 30))]
+        assert list(_passing(many, np.arange(len(many)), None, 80)) == [(0, 1)]
