@@ -117,3 +117,50 @@ def test_query_on_held_out_documents(spark):
             total[r.lang] += 1
             right[r.lang] += r.lang == r.lang_pred
     assert all(right[k] >= 0.9 * n for k, n in total.items()), (right, total)
+
+
+def test_languages_without_spaces_are_learned(spark):
+    """Words of hundreds of bytes count in overlapping stretches of whole characters; every labelled language with a letter is in the model."""
+    r = random.Random(6)
+    alphabets = {"zh": "的一是不了人我在有他这中大来上国", "th": "กขคงจชซญดตถทนบปผพมยรลวสห", "en": None}
+    english = "the of and to in is was for that with river garden morning".split()
+    text = lambda lang, n=200: " ".join(r.choices(english, k=n // 5)) if lang == "en" else "".join(r.choices(alphabets[lang], k=n))
+    rows = [(lang, text(lang)) for lang in alphabets for _ in range(40)]
+    pieces = vocabulary("byte_bpe_multi_50k.tiktoken")
+    model = L.fit(spark.createDataFrame(rows, "lang string, text string"), pieces, rounds=1)
+    assert model[0] == ["en", "th", "zh"]
+    asked = spark.createDataFrame([(lang, text(lang, 90)) for lang in alphabets for _ in range(10)], "want string, text string")
+    assert all(x.want == x.lang_pred for x in L.predict(asked, model, pieces).collect())
+    for word in (("é" * 300).encode(), b"x" * 200, b"x" * 201, "ก".encode() * 500):
+        parts = list(L.stretches(word))
+        assert all(len(p) <= L.STRETCH and p.decode() for p in parts) and parts[0] == word[: len(parts[0])] and word.endswith(parts[-1])
+        at = [word.find(p, max(0, k)) for k, p in enumerate(parts)]
+        assert at[0] == 0 and b"".join([parts[0]]) and sum(map(len, parts)) >= len(word) + (len(parts) - 1) * L.SHARED
+
+
+def test_predictions_against_a_plain_version(spark):
+    """A small table: sums over all segmentations by recursion on each word, for each language, against lang_pred and score."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    pieces = L.read_pieces(path)
+    rows = [("aa", "the cat and the dog went home"), ("aa", "a dog was there"), ("bb", "le chat et le chien"), ("bb", "un chien était là"), ("cc", "der Hund und die Katze")]
+    model = L.fit(spark.createDataFrame(rows, "lang string, text string"), path)
+    v = L.Vocabulary(pieces)
+    probability = {p: model[1][place(v, p)].astype(np.float32).astype(float) for p in pieces if all(b in b" abcdefghiklmnorstuwzHKDTLU\xc3\xa9\xa0" for b in p)}
+
+    def total(word):
+        sums = [np.ones(3)] + [np.zeros(3) for _ in word]
+        for i in range(len(word)):
+            for n in range(1, min(v.longest, len(word) - i) + 1):
+                if word[i : i + n] in probability:
+                    sums[i + n] = sums[i + n] + sums[i] * probability[word[i : i + n]]
+        return np.log(sums[-1])
+
+    asked = ["the dog", "chien et chat", "die Katze und der Hund", "Le là", "", "12", None, "était " * 30]
+    got = L.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, path).orderBy("doc_id").collect()
+    for x, t in zip(got, asked, strict=True):
+        if not t or not L.has_letter(t):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        logs = sum(total(b" " + w) for w in t.encode().split())
+        scaled = (logs - logs.max()) * L.SCORED / max(L.SCORED, len(t.encode()))
+        assert x.lang_pred == model[0][int(logs.argmax())] and abs(x.score - 1 / np.exp(scaled).sum()) < 1e-6
