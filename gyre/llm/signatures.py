@@ -11,9 +11,11 @@ have ranges of sizes and the largest excess. What two documents under two nodes
 can share is at most the bits both nodes have and the smaller excess; two trees
 are traversed together, and pairs of nodes go that can't share enough.
 
-Nothing here is a guess: no pair of sets that is similar enough is lost, but
-for two different parts whose 64-bit hashes are equal, which adds a candidate,
-and two lists of members that agree in size, ends and 96 bits of hashes.
+No pair of sets that is similar enough is lost but by chances like that of
+equal 64-bit hashes: of two lists of members that agree in size, ends and 96
+bits of hashes one is searched, and of over NAMED parts the first NAMED are
+named, all of which differ in a similar pair less than once in 2^63. Equal
+hashes of different parts only add candidates.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from gyre.llm.names import mix
 from gyre.llm.words import forget
 from gyre.session import materialize, ship, sized
 
+#: Parts of a scheme that are named at most. A pair that may differ in k elements has each of k + 1 parts equal with a chance of over 1/e:
+#: that all of so many differ has a chance below 2^-63, that of two equal hashes. Sets with no more parts name all.
+NAMED = 96
 #: Independent ways to throw elements into parts; a document goes on to the next only while one of its parts is empty.
 VARIANTS = 8
 #: Members of a part that one tree holds, bytes of their bitmaps, children of a node, pairs of nodes that are looked at together.
@@ -71,7 +76,8 @@ def _of_size(n: int, percent: int) -> tuple[int, ...]:
 
 @cache
 def _edges(parts: int) -> np.ndarray:
-    return np.array([-(-(j << 64) // parts) for j in range(1, parts)], dtype=np.uint64)
+    """The ends of the parts that are named, as hashes; of the last part, if it is among them, that is the end of all."""
+    return np.array([-(-(j << 64) // parts) for j in range(1, min(NAMED + 1, parts))], dtype=np.uint64)
 
 
 def part_keys(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -88,10 +94,10 @@ def part_keys(elements: np.ndarray, percent: int) -> np.ndarray:
             continue  # only equal sets are similar enough
         for variant in range(VARIANTS):
             x = np.sort(mix(elements + np.uint64((variant + 1) * int(_K) & 0xFFFFFFFFFFFFFFFF)))
-            ends = np.r_[0, np.searchsorted(x, _edges(parts)), len(x)]
+            ends = np.r_[0, np.searchsorted(x, _edges(parts)), len(x)][: NAMED + 1]
             total = np.r_[np.uint64(0), np.cumsum(mix(x + _K))]
             own = total[ends[1:]] - total[ends[:-1]]
-            place = np.arange(parts, dtype=np.uint64) * np.uint64(VARIANTS) + np.uint64(variant)
+            place = np.arange(len(own), dtype=np.uint64) * np.uint64(VARIANTS) + np.uint64(variant)
             name = mix(own ^ mix(place * _K + np.uint64(i))) & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(i)
             filled = np.diff(ends) > 0
             out.append(name if variant == VARIANTS - 1 else name[filled])
@@ -322,7 +328,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), *digest).where("first < last")
     scheme = F.col("key").bitwiseAND(F.lit(255))
     keys = materialize(found.groupBy("n", "first", "last", "h0", "h1", "h2", scheme.alias("scheme")).agg(F.min("key").alias("key")).select("key"), "parts")
-    members = materialize(entries.join(sized(keys), "key").distinct(), "members")
+    members = materialize(entries.join(keys, "key").distinct(), "members")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
