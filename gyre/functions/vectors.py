@@ -132,8 +132,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.empty((0, 0))
 
 
-def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, query_vec: str, id_col: str, vec_col: str, most_queries: int, *, k: int | None = None, least: float | None = None) -> DataFrame:
-    """(query_id, id_col, score): of each task the k best rows of a query, or all (of least at least).
+def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, as rows."""
+    return _matrix(column.combine_chunks())
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
+    """The ids and vectors of a batch for each value of its third column."""
+    ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
+    coded = batch.column(2).dictionary_encode()
+    values = [*coded.dictionary.to_pylist(), *([None] if coded.null_count else [])]
+    if len(values) == 1:
+        yield ids, matrix, values[0]
+        return
+    code = coded.indices.fill_null(len(values) - 1).to_numpy()
+    for k, value in enumerate(values):
+        at = np.flatnonzero(code == k)
+        yield ids[at], matrix[at], value
+
+
+def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, query_vec: str, id_col: str, vec_col: str, most_queries: int, *, k: int | None = None, least: float | None = None, group: str | None = None, own: bool = False) -> DataFrame:
+    """(query_id, id_col, score[, group]): of each task the k best rows of a query, or all (of least at least).
+
+    group: a column of the corpus; the k best are those of each of its values.
+    own: a column of the queries as well; only rows of a query's own value count.
 
     Queries are a stated set, asked in blocks of most_queries; the corpus is
     read once a block, in Arrow batches, and each batch meets a part of the
@@ -144,22 +166,24 @@ def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, q
     spark = corpus.sparkSession
     first = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).first()
     size = first[0] if first else 0
-    asked = queries.where(F.size(query_vec) == size).select(query_id, F.transform(query_vec, lambda x: x.cast("double")).alias(query_vec))
-    rows = corpus.where(F.size(vec_col) == size).select(F.col(id_col).cast("long").alias(id_col), vec_col)
+    scope = F.col(group) if group else F.lit(0).alias("_group")
+    asked = queries.where(F.size(query_vec) == size).select(query_id, F.transform(query_vec, lambda x: x.cast("double")).alias(query_vec), scope if own else F.lit(None).alias("_any"))
+    rows = corpus.where(F.size(vec_col) == size).select(F.col(id_col).cast("long").alias(id_col), vec_col, scope)
     kind = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField(query_id, kind), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(query_id, kind), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType()), T.StructField(group or "_group", rows.schema[2].dataType)])
 
     def ask(block: DataFrame) -> DataFrame:
         held = block.collect()  # most_queries rows at most, about
-        sent = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float).reshape(len(held), size)))
+        sent = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], float).reshape(len(held), size), [r[2] for r in held]))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vectors = sent.value
-            arrow = pa.array(names, from_spark(kind))
-            best: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                for lo in range(0, len(names), PART):
+            names, every, scopes = sent.value
+            arrow, scope_kind = pa.array(names, from_spark(kind)), from_spark(schema[3].dataType)
+            best: dict[tuple[int, object], list[np.ndarray]] = {}
+            for ids, matrix, value in (x for batch in batches for x in _by_group(batch)):
+                mine = np.array([i for i, s in enumerate(scopes) if s == value], np.int64) if own else np.arange(len(names))
+                vectors = every[mine]
+                for lo in range(0, len(mine), PART):
                     part = vectors[lo : lo + PART]
                     near = _near(metric, matrix, part)
                     if k is None:
@@ -167,7 +191,7 @@ def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, q
                         exact = _exact(metric, matrix[row], part[q])
                         if least is not None:
                             row, q, exact = row[exact >= least], q[exact >= least], exact[exact >= least]
-                        yield pa.RecordBatch.from_arrays([arrow.take(pa.array(q + lo)), pa.array(ids[row]), pa.array(exact)], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([arrow.take(pa.array(mine[q + lo])), pa.array(ids[row]), pa.array(exact), pa.array([value] * len(row), scope_kind)], names=schema.names)
                         continue
                     # all that come near the k-th, as the product differs from the measure in the last digits, and equals come by id
                     limit = np.partition(near, -min(len(ids), k), axis=0)[-min(len(ids), k)] if len(ids) else None
@@ -175,34 +199,39 @@ def _scored(queries: DataFrame, corpus: DataFrame, metric: str, query_id: str, q
                     for q in range(len(part)):
                         row = np.flatnonzero(close[:, q])
                         exact = _exact(metric, matrix[row], np.broadcast_to(part[q], (len(row), size)))
-                        old = best.get(lo + q)
+                        old = best.get((int(mine[lo + q]), value))
                         found = (exact, ids[row]) if old is None else (np.r_[old[0], exact], np.r_[old[1], ids[row]])
                         order = np.lexsort((found[1], -found[0] if metric == "cosine" else found[0]))[:k]
-                        best[lo + q] = [found[0][order], found[1][order]]
+                        best[int(mine[lo + q]), value] = [found[0][order], found[1][order]]
             if best:
                 n = [len(v[0]) for v in best.values()]
+                groups = [value for (_, value), m in zip(best, n, strict=True) for _ in range(m)]
                 yield pa.RecordBatch.from_arrays(
-                    [arrow.take(pa.array(np.repeat(list(best), n))), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))],
+                    [arrow.take(pa.array(np.repeat([q for q, _ in best], n))), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()])), pa.array(groups, scope_kind)],
                     names=schema.names,
                 )
 
-        return rows.mapInArrow(score, schema)
+        found = rows.mapInArrow(score, schema)
+        return found if group and not own else found.drop(schema.names[3])
 
     blocks = max(1, -(-asked.count() // most_queries))
     place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     return reduce(DataFrame.unionByName, (ask(asked.where(place == i) if blocks > 1 else asked) for i in range(blocks)))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
-    """The exact k nearest rows of corpus for each query, ties by id: (query_id, id_col, score, rank).
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK, group: str | None = None, own: bool = False) -> DataFrame:
+    """The exact k nearest rows of corpus for each query, ties by id: (query_id, id_col, score[, group], rank).
 
+    group: a column of the corpus; the k nearest of each of its values. own: the
+    queries have it too, and only rows of a query's own value count.
     metric: cosine, l2 or ip (negated inner product). Ids of the corpus are
     integers. Each task keeps k rows a query, so that what is shuffled and
     ranked doesn't grow with the rows.
     """
-    found = _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries, k=k)
+    found = _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries, k=k, group=group, own=own)
     order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, F.col(id_col)))).where(F.col("rank") <= k)
+    keys = [query_id, group] if group and not own else [query_id]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col(id_col)))).where(F.col("rank") <= k)
 
 
 def similar(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
@@ -210,6 +239,6 @@ def similar(queries: DataFrame, corpus: DataFrame, least: float, query_id: str =
     return _scored(queries, corpus, "cosine", query_id, query_vec, id_col, vec_col, most_queries, least=least)
 
 
-def scores(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK) -> DataFrame:
-    """The measure of every row of corpus with each of a stated set of queries, (query_id, id_col, score)."""
-    return _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries)
+def scores(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding", most_queries: int = BLOCK, group: str | None = None) -> DataFrame:
+    """The measure of every row of corpus with each of a stated set of queries, (query_id, id_col, score[, group])."""
+    return _scored(queries, corpus, metric, query_id, query_vec, id_col, vec_col, most_queries, group=group)

@@ -17,6 +17,7 @@ from gyre.plans.text import _W, _docs, _measure
 from gyre.plans.vectors import _COS, _COS_Q, _VEC, _asked, _embeddings, _topk_sql
 from gyre.session import fresh_path, materialize, ship, sized, spread, table
 from gyre.sources import corpus
+from gyre.sources.store import Store
 
 _PAIR = "pair AS (SELECT a.doc_id, a.text, b.text AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 
@@ -275,8 +276,8 @@ def j11(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centroids = means.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    scored = e.crossJoin(sized(materialize(centroids, "centroids"), 1000)).select((F.col("label") == F.col("other")).alias("matched"), V.cosine(F.col("embedding"), F.col("c")).alias("s"))
-    return scored.groupBy("matched").agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("mean"))
+    scored = V.scores(materialize(centroids, "centroids"), e, query_id="other", query_vec="c", group="label")
+    return scored.groupBy((F.col("label") == F.col("other")).alias("matched")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean"))
 
 
 @query("j12_precision", f"SELECT vec_id, round({_COS.format(a='v', b='r')}, 5) AS fidelity FROM (SELECT vec_id, {_VEC} AS v, list_transform(embedding, lambda x: round(x::DOUBLE, 3)) AS r FROM embeddings)")
@@ -314,10 +315,8 @@ SELECT qid, round(avg(s), 6) AS mean FROM s WHERE k <= 3 GROUP BY qid""")
 def k16(spark, sf_dir):
     """The three nearest rows of a query's own label, and their mean score."""
     e = _embeddings(spark, sf_dir)
-    scoped = e.join(_asked(e.select("vec_id", "embedding")).join(e.select(F.col("vec_id").alias("qid"), "label"), "qid"), "label")
-    scored = scoped.select("qid", "vec_id", V.cosine(F.col("embedding"), F.col("qvec")).alias("s"))
-    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "vec_id")))
-    return ranked.where("k <= 3").groupBy("qid").agg(F.round(F.avg("s"), 6).alias("mean"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
+    return V.nearest(asked, e, 3, group="label", own=True).groupBy("qid").agg(F.round(F.avg("score"), 6).alias("mean"))
 
 
 # --- hashed vectors of texts
@@ -380,4 +379,21 @@ def s13(spark, sf_dir):
     return spark.read.parquet(content).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("s13_committed_store", r"""WITH c AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS chunk FROM documents), k AS (SELECT doc_id, source, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM c WHERE length(trim(chunk)) >= 120 GROUP BY ALL)
+SELECT source, count(*) AS documents, sum(chunks)::BIGINT AS chunks, sum(chunks)::BIGINT AS vectors, sum(chars)::BIGINT AS chars FROM k GROUP BY source""")
+def s13_committed(spark, sf_dir):
+    """Content, chunks of at least 120 characters and their vectors in a store of three tables, committed in two parts; documents without a chunk aren't stored. What a failed third part wrote isn't seen."""
+    store = Store(spark, fresh_path(spark, "committed"))
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "source", "text"))
+    chunks = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("place", "chunk")).where(F.length(F.trim("chunk")) >= 120)
+    vectors = chunks.select("doc_id", "place", F.array(F.length("chunk").cast("double"), F.size(X.words(F.col("chunk"))).cast("double")).alias("vector"))
+    for half in (0, 1):
+        part = F.col("doc_id") % 2 == half
+        store.commit(content=chunks.where(part).select("doc_id", "source").distinct(), chunks=chunks.where(part), vectors=vectors.where(part))
+    # a part that breaks off: its content is written, its manifest is not
+    docs.select("doc_id", "source").write.parquet(f"{store.path}/content/broken")
+    counted = store.read("chunks").join(store.read("vectors"), ["doc_id", "place"]).groupBy("source").agg(F.count("*").alias("chunks"), F.count("vector").alias("vectors"), F.sum(F.length("chunk")).alias("chars"))
+    return store.read("content").groupBy("source").agg(F.count("*").alias("documents")).join(counted, "source").select("source", "documents", "chunks", "vectors", "chars")
+
+
 _measure("s18_markdown", "'# ' || source || chr(10) || chr(10) || text || chr(10) AS value", value=lambda: F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n")))

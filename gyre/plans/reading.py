@@ -169,6 +169,10 @@ def m10(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object(found, "$.k").cast("int").alias("k"))
 
 
-@query("st8_micro_batches", _folded("event_type", "1 AS held, s AS since, true AS ok", "CASE WHEN r.held = 32 OR e.s - r.since >= 21600 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held = 32 OR e.s - r.since >= 21600 THEN e.s ELSE r.since END, r.held = 32 OR e.s - r.since >= 21600", "ok"))
+#: An event and whether it opens a batch.
+ST8 = _folded("user_id", "1 AS held, s AS since, true AS ok", "CASE WHEN r.held = 4 OR e.s - r.since >= 86400 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held = 4 OR e.s - r.since >= 86400 THEN e.s ELSE r.since END, r.held = 4 OR e.s - r.since >= 86400", "ok")
+
+
+@query("st8_micro_batches", ST8)
 def st8(spark, sf_dir):
-    return fold(_events(spark, sf_dir), lambda: MicroBatch(32, 21600.0), "event_type", "s", "event_id", "failed")
+    return fold(_events(spark, sf_dir), lambda: MicroBatch(4, 86400.0), "user_id", "s", "event_id", "failed")

@@ -119,8 +119,8 @@ SELECT step, round(score, 6) AS score FROM s""",
 SELECT step::INT AS step, round(score, 6) AS score FROM s""")
 both("a33_age_buckets", """SELECT CASE WHEN d < 1 THEN 'today' WHEN d < 2 THEN 'yesterday' WHEN d < 7 THEN '7 days' WHEN d < 30 THEN '30 days' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT floor((1706572800 - unix_timestamp(CAST(ts AS timestamp))) / 86400) AS d FROM {events}) x GROUP BY 1""",
      """SELECT CASE WHEN d < 1 THEN 'today' WHEN d < 2 THEN 'yesterday' WHEN d < 7 THEN '7 days' WHEN d < 30 THEN '30 days' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT floor((1706572800 - floor(epoch(ts))) / 86400) AS d FROM {events}) x GROUP BY 1""")
-both("a34_books_by_grade", "SELECT grade, array_join(transform(array_sort(collect_list(doc_id)), x -> CAST(x AS STRING)), ',') AS ids FROM {content} c WHERE subject = 'src1' GROUP BY grade",
-     "SELECT grade, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM {content} c WHERE subject = 'src1' GROUP BY grade")
+both("a34_books_by_grade", "SELECT grade, subject, CAST(floor(doc_id / 1000) AS BIGINT) AS run, array_join(transform(array_sort(collect_list(doc_id)), x -> CAST(x AS STRING)), ',') AS ids FROM {content} c GROUP BY grade, subject, floor(doc_id / 1000)",
+     "SELECT grade, subject, (doc_id // 1000)::BIGINT AS run, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM {content} c GROUP BY grade, subject, doc_id // 1000")
 both("a35_run_statistics", "SELECT count(*) AS chapters, count_if(n_chars >= 120) AS done, count_if(n_chars < 120) AS skipped, CAST(sum(ceil(n_chars / 1000.0)) AS BIGINT) AS chunks FROM {documents}")
 both("a38_token_totals", "SELECT conv_id, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS prompt, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS completion FROM {conversations} GROUP BY conv_id")
 both("a39_distinct_by_json", "SELECT count(DISTINCT get_json_object(props, '$.k')) AS n FROM {events}", "SELECT count(DISTINCT props ->> '$.k') AS n FROM {events}")

@@ -14,6 +14,7 @@ from gyre.functions import vectors as V
 from gyre.functions.answers import token_windows
 from gyre.operators.graph import graph_context, induced_edges, read_graph, write_graph
 from gyre.operators.index import assign, fit_lists, search_lists
+from gyre.operators.graph_index import graph_index, search_graph
 from gyre.plans.registry import query
 from gyre.plans.relational import both
 from gyre.plans.telemetry import _EDGES, _edges
@@ -21,6 +22,7 @@ from gyre.plans.text import _W, _docs
 from gyre.plans.vectors import _ASKED, _COS, _COS_Q, _VEC, _asked, _embeddings
 from gyre.session import fresh_path, materialize, ship, sized, table
 from gyre.sources import corpus
+from gyre.sources.vector_files import get_vectors, read_vectors, write_vectors
 
 _BOOK = "chr((97 + p_partkey % 12)::INT) || 'ehu'[(p_partkey % 3 + 1)::INT] || 'sc' || (p_partkey % 9 + 1)"
 _MEDIUM = "['English', 'Hindi', 'Urdu'][(p_partkey % 3 + 1)::INT]"
@@ -54,13 +56,14 @@ def s3(spark, sf_dir):
     return corpus.read_books(spark, path)
 
 
-@query("s6_archive_members", f"""WITH c AS (SELECT p_brand AS archive, {_BOOK} AS code, (p_partkey % 90 + 10)::INT AS chapter, p_name AS text FROM part)
+@query("s6_archive_members", f"""WITH c AS (SELECT p_brand || '-' || p_partkey // 1000 AS archive, {_BOOK} AS code, (p_partkey % 90 + 10)::INT AS chapter, p_name AS text FROM part)
 SELECT archive, code, chapter, md5(string_agg(text, '' ORDER BY text)) AS digest, count(*) AS n FROM c GROUP BY ALL""")
 def s6(spark, sf_dir):
-    """A ZIP archive for each brand with a file a chapter and front matter, which is left out on reading."""
-    chapters = table(spark, sf_dir, "part").select("p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit("/"), _book("p_partkey"), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(".pdf")).alias("name"), F.col("p_name").cast("binary").alias("content"))
-    front = chapters.select("p_brand", F.lit("aesc1ps.pdf").alias("name"), F.lit(b"front").alias("content")).distinct()
-    found = corpus.members(materialize(corpus.zipped(chapters.unionByName(front), "p_brand", "name", "content"), "archives"))
+    """A ZIP archive for each brand and run of a thousand ids with a file a chapter and front matter, which is left out on reading."""
+    archive = F.concat("p_brand", F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string")).alias("archive")
+    chapters = table(spark, sf_dir, "part").select(archive, F.concat(F.col("p_partkey").cast("string"), F.lit("/"), _book("p_partkey"), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(".pdf")).alias("name"), F.col("p_name").cast("binary").alias("content"))
+    front = chapters.select("archive", F.lit("aesc1ps.pdf").alias("name"), F.lit(b"front").alias("content")).distinct()
+    found = corpus.members(materialize(corpus.zipped(chapters.unionByName(front), "archive", "name", "content"), "archives"))
     text = F.array_join(F.sort_array(F.collect_list(F.col("content").cast("string"))), "")
     return found.groupBy("archive", "code", "chapter").agg(F.md5(text).alias("digest"), F.count("*").alias("n"))
 
@@ -149,10 +152,26 @@ SELECT qid, vec_id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTI
 def v12(spark, sf_dir):
     """The five most similar entries of a query's own model, for which the label stands; a full scan of that model's entries."""
     e = _embeddings(spark, sf_dir)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("qvec"), V.norm(F.col("embedding")).alias("qnorm"))
-    scored = e.withColumn("norm", V.norm(F.col("embedding"))).join(sized(q), "label").select("qid", "vec_id", V.cosine_of(F.col("embedding"), F.col("qvec"), F.col("norm"), F.col("qnorm")).alias("s"))
-    k = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "vec_id"))
-    return scored.withColumn("k", k).where("k <= 5").select("qid", "vec_id", F.round("s", 6).alias("score"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
+    return V.nearest(asked, e, 5, group="label", own=True).select("qid", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("s23_vector_files", f"SELECT doc_id AS vec_id, round(list_sum({_VEC}), 5) + 0.0 AS total FROM embeddings JOIN (SELECT DISTINCT doc_id FROM labels) ON vec_id = doc_id")
+def s23_files(spark, sf_dir):
+    """Vectors in npy files by blocks of 256 rows; those of the labelled documents are read by key, at their offsets."""
+    path = fresh_path(spark, "vectors")
+    index = write_vectors(_embeddings(spark, sf_dir), "vec_id", "embedding", path, block=256)
+    found = get_vectors(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), index, path, gap=0)
+    return found.select(F.col("key").alias("vec_id"), (F.round(V.total(F.col("vector")), 5) + 0.0).alias("total"))
+
+
+@query("s24_npy_blocks", f"SELECT vec_id, round(list_sum({_HALF}), 5) + 0.0 AS total FROM embeddings")
+def s24(spark, sf_dir):
+    """The same files in half precision, read whole in ranges of 100 rows."""
+    path = fresh_path(spark, "vectors")
+    index = write_vectors(_embeddings(spark, sf_dir), "vec_id", "embedding", path, half=True, block=256)
+    rows = read_vectors(spark, path, 100)
+    return rows.join(index, ["file", "row"]).select(F.col("key").alias("vec_id"), (F.round(V.total(F.col("vector")), 5) + 0.0).alias("total"))
 
 
 def _next_vector(name, sql, column):
@@ -187,6 +206,16 @@ def v10(spark, sf_dir):
     return hits.agg(F.countDistinct("qid").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
+@query("v10_neighbour_graph")
+def v10_graph(spark, sf_dir):
+    """Graphs of sixteen links in shards that hold every row: for each query the share of its ten nearest rows that its walk finds."""
+    e = _embeddings(spark, sf_dir).select("vec_id", "embedding")
+    index = materialize(graph_index(e, "vec_id", "embedding"), "graph")
+    found = search_graph(_asked(e), index, 10, "vec_id", "embedding").select("qid", "vec_id", F.lit(1).alias("hit"))
+    exact = V.nearest(_asked(e), e, 10).select("qid", "vec_id")
+    return exact.join(found, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
 # --- graphs
 _EGO = f"""{_EDGES}, r AS (SELECT lower(s_name) AS key, 0 AS distance FROM supplier WHERE s_suppkey < 10 UNION SELECT e.target, r.distance + 1 FROM r JOIN e ON e.source = r.key WHERE r.distance < 2), n AS (SELECT DISTINCT key FROM r)"""
 _TITLE = "array_to_string(list_transform(regexp_extract_all({}, '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '')"
@@ -231,13 +260,14 @@ def _gram_sql(name, source):
 @query("t69_gram_cosine", f"""WITH {_PAIRS}, {_gram_sql("x", "a")}, {_gram_sql("y", "c")}, every AS (SELECT 1 AS s, * FROM x UNION ALL SELECT 2, * FROM y),
 n AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM c) AS n), idf AS (SELECT g, ln((1 + any_value(n.n)) / (1 + count(*))::DOUBLE) + 1 AS w FROM every, n GROUP BY g),
 v AS (SELECT s, conv_id, turn, every.g, tf * w AS w FROM every JOIN idf ON idf.g = every.g), norm AS (SELECT s, conv_id, turn, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
-d AS (SELECT p.conv_id AS a_conv, p.turn AS a_turn, q.conv_id AS c_conv, q.turn AS c_turn, sum(p.w * q.w) AS dot FROM v p JOIN v q ON p.s = 1 AND q.s = 2 AND p.g = q.g AND p.conv_id % 10 = 0 GROUP BY ALL)
+d AS (SELECT p.conv_id AS a_conv, p.turn AS a_turn, q.conv_id AS c_conv, q.turn AS c_turn, sum(p.w * q.w) AS dot FROM v p JOIN v q ON p.s = 1 AND q.s = 2 AND p.g = q.g AND p.conv_id % 100 = 0 GROUP BY ALL)
 SELECT a_conv, a_turn, c_conv, c_turn, a_conv = c_conv AND a_turn = c_turn AS matched, round(dot / (m.norm * k.norm), 6) AS cosine FROM d JOIN norm m ON m.s = 1 AND m.conv_id = a_conv AND m.turn = a_turn JOIN norm k ON k.s = 2 AND k.conv_id = c_conv AND k.turn = c_turn""")
 def t69(spark, sf_dir):
-    """Answers against contexts (the turn before) by tf-idf of character n-grams; those of every tenth conversation ask all contexts.
+    """Answers against contexts (the turn before) by tf-idf of character n-grams; those of conversations whose id is divisible by 100 ask all contexts.
 
     Only 4000 characters of a text count, as the measure is defined. Equal
-    pairs meet by an equi-join on the n-gram.
+    pairs meet by an equi-join on the n-gram; the questions are sent to all
+    tasks if they are few, else the adaptive join splits a frequent n-gram.
     """
     turns = table(spark, sf_dir, "conversations")
     a = turns.where("role = 'assistant'").select("conv_id", "turn", F.left("text", F.lit(4000)).alias("text"))
@@ -249,7 +279,7 @@ def t69(spark, sf_dir):
     v = materialize(tf.join(idf, "g").select("s", "conv_id", "turn", "g", (F.col("tf") * F.col("idf")).alias("w")), "weights")
     norm = v.groupBy("s", "conv_id", "turn").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = v.join(norm, ["s", "conv_id", "turn"]).select("s", "conv_id", "turn", "g", (F.col("w") / F.col("norm")).alias("w"))
-    asked = unit.where("s = 1 AND conv_id % 10 = 0").select("g", F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("w").alias("x"))
+    asked = unit.where("s = 1 AND conv_id % 100 = 0").select("g", F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("w").alias("x"))
     held = unit.where("s = 2").select("g", F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("w").alias("y"))
-    d = asked.join(held, "g").groupBy("a_conv", "a_turn", "c_conv", "c_turn").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
+    d = held.join(sized(materialize(asked, "asked")), "g").groupBy("a_conv", "a_turn", "c_conv", "c_turn").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
     return d.withColumn("matched", (F.col("a_conv") == F.col("c_conv")) & (F.col("a_turn") == F.col("c_turn")))

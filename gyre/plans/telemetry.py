@@ -80,9 +80,9 @@ def st7(spark, sf_dir):
     return fold(_events(spark, sf_dir), lambda: CircuitBreaker(timeout=86400.0), "user_id", "s", "event_id", "failed")
 
 
-@query("st21_alert_cooldown", _folded("event_type", "s AS last, true AS ok", "CASE WHEN e.s - r.last < 86400 THEN r.last ELSE e.s END, e.s - r.last >= 86400", "ok", "value > 40"))
+@query("st21_alert_cooldown", _folded("user_id", "s AS last, true AS ok", "CASE WHEN e.s - r.last < 86400 THEN r.last ELSE e.s END, e.s - r.last >= 86400", "ok", "value > 40"))
 def st21(spark, sf_dir):
-    return fold(_events(spark, sf_dir).where("value > 40"), lambda: Cooldown(86400.0), "event_type", "s", "event_id", "failed")
+    return fold(_events(spark, sf_dir).where("value > 40"), lambda: Cooldown(86400.0), "user_id", "s", "event_id", "failed")
 
 
 both("m1_age_days", "SELECT event_id, floor((1706572800 - unix_timestamp(CAST(ts AS timestamp))) / 86400) AS days FROM {events}", "SELECT event_id, floor((1706572800 - floor(epoch(ts))) / 86400)::BIGINT AS days FROM {events}")

@@ -11,7 +11,7 @@ from gyre.plans.registry import query
 from gyre.session import table
 
 _VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
-_ONE = f"(SELECT {_VEC} AS q FROM embeddings WHERE vec_id = 0)"
+_ASKED = f"(SELECT vec_id AS qid, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0)"
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 _COS_Q = _COS.format(a="v", b="q")
 
@@ -25,23 +25,21 @@ def _asked(e):
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def _with_first(spark, sf_dir):
-    e = _embeddings(spark, sf_dir)
-    return e.crossJoin(F.broadcast(e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))))
-
+def _pairwise(name, metric, sql, of=lambda score: score):
+    """A measure of each query with all rows."""
 
-def _pairwise(name, column, sql):
-    @query(name, f"SELECT vec_id, round({sql}, 6) + 0.0 AS x FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ONE}")
+    @query(name, f"SELECT qid, vec_id, round({sql}, 6) + 0.0 AS x FROM (SELECT vec_id, {_VEC} AS v FROM embeddings), {_ASKED}")
     def run(spark, sf_dir):
-        return _with_first(spark, sf_dir).select("vec_id", (F.round(column(F.col("embedding"), F.col("q")), 6) + 0.0).alias("x"))
+        e = _embeddings(spark, sf_dir)
+        return V.scores(_asked(e), e, metric).select("qid", "vec_id", (F.round(of(F.col("score")), 6) + 0.0).alias("x"))
 
 
-_pairwise("v1_cosine", V.cosine, _COS_Q)
-_pairwise("v3_dot", V.dot, "list_dot_product(v, q)")
-_pairwise("v5_l2", V.l2, "list_distance(v, q)")
-_pairwise("v6_inner_product", V.inner_product_distance, "-list_dot_product(v, q)")
-_pairwise("v9_cosine_distance", lambda a, b: 1 - V.cosine(a, b), f"1 - {_COS_Q}")
-_pairwise("v16_preservation", lambda a, b: F.least(F.lit(10.0), F.greatest(F.lit(0.0), (V.cosine(a, b) - 0.5) * 10)), f"least(10.0, greatest(0.0, ({_COS_Q} - 0.5) * 10))")
+_pairwise("v1_cosine", "cosine", _COS_Q)
+_pairwise("v3_dot", "ip", "list_dot_product(v, q)", lambda x: -x)
+_pairwise("v5_l2", "l2", "list_distance(v, q)")
+_pairwise("v6_inner_product", "ip", "-list_dot_product(v, q)")
+_pairwise("v9_cosine_distance", "cosine", f"1 - {_COS_Q}", lambda x: 1 - x)
+_pairwise("v16_preservation", "cosine", f"least(10.0, greatest(0.0, ({_COS_Q} - 0.5) * 10))", lambda x: F.least(F.lit(10.0), F.greatest(F.lit(0.0), (x - 0.5) * 10)))
 
 
 @query("v4_normalized", f"SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x))) / sqrt(list_dot_product(v, v)), 5) AS l1 FROM (SELECT vec_id, {_VEC} AS v FROM embeddings)")
@@ -67,9 +65,6 @@ query("k4_topk_l2", _topk_sql("ASC", "list_distance(v, q)"))(_search("l2"))
 query("v8_topk_ip", _topk_sql("ASC", "-list_dot_product(v, q)"))(_search("ip"))
 
 
-_ASKED = f"(SELECT vec_id AS qid, {_VEC} AS q FROM embeddings WHERE vec_id % 100 = 0)"
-
-
 @query("k2_filtered_topk", f"""SELECT qid, vec_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT qid, vec_id, {_COS_Q} AS s, row_number() OVER (PARTITION BY qid ORDER BY {_COS_Q} DESC, vec_id) AS rank FROM (SELECT vec_id, {_VEC} AS v FROM embeddings WHERE label IN (1, 2)), {_ASKED}) WHERE rank <= 12""")
 def k2(spark, sf_dir):
     """The twelve nearest of two labels for each query."""
@@ -106,18 +101,19 @@ def v14(spark, sf_dir):
     return _embeddings(spark, sf_dir).select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("v17_estimators", f"""WITH s AS (SELECT label, {_COS_Q} AS s, row_number() OVER (PARTITION BY label ORDER BY {_COS_Q} DESC, vec_id) AS k FROM (SELECT vec_id, label, {_VEC} AS v FROM embeddings), {_ONE})
-SELECT label, round(max(s), 6) AS best, round(sum(s) FILTER (k <= 3) / least(3, count(*)), 6) AS top3 FROM s GROUP BY label""")
+@query("v17_estimators", f"""WITH s AS (SELECT qid, label, {_COS_Q} AS s, row_number() OVER (PARTITION BY qid, label ORDER BY {_COS_Q} DESC, vec_id) AS k FROM (SELECT vec_id, label, {_VEC} AS v FROM embeddings), {_ASKED})
+SELECT qid, label, round(max(s), 6) AS best, round(avg(s), 6) AS top3 FROM s WHERE k <= 3 GROUP BY qid, label""")
 def v17(spark, sf_dir):
-    s = F.sort_array(F.collect_list(V.cosine(F.col("embedding"), F.col("q"))), asc=False)
-    g = _with_first(spark, sf_dir).groupBy("label").agg(s.alias("s"))
-    top3 = F.aggregate(F.slice("s", 1, 3), F.lit(0.0), lambda a, x: a + x) / F.least(F.lit(3), F.size("s"))
-    return g.select("label", F.round(F.col("s")[0], 6).alias("best"), F.round(top3, 6).alias("top3"))
+    """The best of each label for each query, and the mean of its three best; a task keeps three rows for each."""
+    e = _embeddings(spark, sf_dir)
+    return V.nearest(_asked(e), e, 3, group="label").groupBy("qid", "label").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("top3"))
 
 
-@query("v20_objective_match", f"SELECT label, round(avg({_COS_Q}), 6) AS match FROM (SELECT label, {_VEC} AS v FROM embeddings), {_ONE} GROUP BY label")
+@query("v20_objective_match", f"SELECT qid, label, round(avg({_COS_Q}), 6) AS match FROM (SELECT vec_id, label, {_VEC} AS v FROM embeddings), {_ASKED} GROUP BY qid, label")
 def v20(spark, sf_dir):
-    return _with_first(spark, sf_dir).groupBy("label").agg(F.round(F.avg(V.cosine(F.col("embedding"), F.col("q"))), 6).alias("match"))
+    """The mean of each label's rows for each query, summed in each task first."""
+    e = _embeddings(spark, sf_dir)
+    return V.scores(_asked(e), e, group="label").groupBy("qid", "label").agg(F.round(F.avg("score"), 6).alias("match"))
 
 
 @query("v22_batches", "SELECT vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS batch FROM embeddings")
