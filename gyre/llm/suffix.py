@@ -1,12 +1,11 @@
-"""Removal of long byte strings that occur more than once, by a sampled suffix sort.
-
-The distributed difference-cover scheme: suffixes at cover positions are
-sampled, named by recursion on triples (see names), sorted in ranges of names
-and compared with their neighbours; the remaining suffixes near those that
-repeat are merged in the same way, and adjacent prefixes of the full length
-decide. Two departures from the textbook form are stated in the README: triples
-are named by hashes instead of by ranks, and suffixes without a repeated sample
-near them, which can't reach the length, are left out of the merge.
+"""Removal of long byte strings, or runs of words, that occur more than once.
+
+Windows of the full length are found by difference-cover anchors: stretches at
+cover positions are named by hashes (see names and repeats), those that repeat
+select the windows around them, and windows with equal names are removed. No
+order of suffixes is built here: the named method, with ranks, merge and
+adjacent prefixes, is in suffix_order and gives the same result; README says
+with figures why the query doesn't take it. Equality is that of 64-bit hashes.
 """
 
 from __future__ import annotations
