@@ -1,7 +1,8 @@
 """A cleaning pipeline over documents: quality rules, near-duplicates, repeated passages, benchmark items, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept. The stages read sizes and write scratch tables while they plan.
+kept, and returns the columns of documents: others that docs has are dropped.
+The stages read sizes and write scratch tables while they plan.
 """
 
 from __future__ import annotations
