@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Similarity that a hit needs to count as evidence.
@@ -43,3 +43,16 @@ def merge_hits(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
     own = [k for k in keys if k not in ("similarity", "pos")]
     out = hits.groupBy(*keys).agg(best.alias("b")).select(*own, "b.*")
     return out.orderBy(F.desc("similarity"), "pos").limit(limit)
+
+
+def reranked(hits: DataFrame, query_col: str, rank_col: str, score: Column, k: int) -> DataFrame:
+    """hits with a score and a place, the k best of each query by score, ties by the rank they had.
+
+    Where the score of any of a query's hits is null, as scoring has failed, all
+    of them have 0.5 and stay in their order.
+    """
+    scored = hits.withColumn("score", score)
+    failed = F.max(F.col("score").isNull()).over(Window.partitionBy(query_col))
+    scored = scored.withColumn("_failed", failed).withColumn("score", F.when(F.col("_failed"), F.lit(0.5)).otherwise(F.col("score"))).drop("_failed")
+    place = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), rank_col))
+    return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -112,15 +112,19 @@ def _found_by_type():
 _FOUND_SQL, _FOUND = _found_by_type()
 _measure("t43_policy_counts", _FOUND_SQL, **_FOUND)
 
-_AKSHARA_WORDS = ("नमस्ते", "प्रकाश", "विद्यार्थी", "संश्लेषण", "का", "cat")
+# A Devanagari sign for each Latin letter: letters, vowel signs, a virama (h) and an anusvara (n).
+_SIGNS = "ाबचदेफग्िजकलमंोपखरसतुवथषयझ"
+_LETTERS_AZ = "abcdefghijklmnopqrstuvwxyz"
 
 
-@query("t11_aksharas", "SELECT word, array_to_string(CASE WHEN regexp_matches(word, '[ऀ-ॿ]') THEN regexp_extract_all(word, '[^\\p{M}\\s](?:\\p{M}*्[^\\p{M}\\s])*\\p{M}*') ELSE [word] END, '|') AS units FROM (VALUES " + ", ".join(f"('{w}')" for w in _AKSHARA_WORDS) + ") AS v(word)")
+@query("t11_aksharas", rf"""SELECT word, array_to_string(CASE WHEN regexp_matches(word, '[ऀ-ॿ]') THEN regexp_extract_all(word, '[^\p{{M}}\s](?:\p{{M}}*्[^\p{{M}}\s])*\p{{M}}*|\p{{M}}+') ELSE [word] END, '|') AS units
+FROM (SELECT DISTINCT translate(lower(word), '{_LETTERS_AZ}', '{_SIGNS}') AS word FROM (SELECT unnest({_W}) AS word FROM documents) WHERE regexp_full_match(lower(word), '[a-z]+'))""")
 def t11(spark, sf_dir):
-    """Fixed words, as the tables hold no Brahmic script; others stay whole."""
+    """The words of all documents that are of Latin letters alone, spelled letter by letter in Devanagari, as the tables hold no Brahmic script; then taken apart into aksharas."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array_distinct(X.words(F.lower("text")))).alias("word")).where(F.col("word").rlike("^[a-z]+$"))
     w = F.col("word")
     units = F.when(w.rlike("[ऀ-ॿ]"), X.aksharas(w, X.VIRAMAS["Devanagari"])).otherwise(F.array(w))
-    return spark.createDataFrame([(x,) for x in _AKSHARA_WORDS], "word string").select("word", F.array_join(units, "|").alias("units"))
+    return words.select(F.translate("word", _LETTERS_AZ, _SIGNS).alias("word")).distinct().select("word", F.array_join(units, "|").alias("units"))
 
 
 @query("k11_hardest_words", rf"""WITH w AS (SELECT DISTINCT doc_id, unnest({_W}) AS word FROM documents), u AS (SELECT doc_id, word, len(regexp_extract_all(lower(word), '[aeiouy]+')) AS units FROM w)

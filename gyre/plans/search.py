@@ -8,6 +8,7 @@ from gyre.functions import answers as A
 from gyre.functions import text as X
 from gyre.functions.english import BEFORE, LONG_STARTS, STEP_2, STEP_3, STEP_4, STOP_WORDS, UNTOUCHED, WHOLE
 from gyre.functions.responses import first_object
+from gyre.operators.dialogue import FULL, RECENT, context_sizes
 from gyre.operators.fulltext import full_text_search, inverted_index
 from gyre.operators.loops import iterative_retrieval, word_retriever
 from gyre.operators.prefixes import longest_prefixes
@@ -100,6 +101,31 @@ def m10_balanced(spark, sf_dir):
     return found.select("conv_id", "turn", F.md5("o").alias("digest"), F.get_json_object("o", "$.meta.n").cast("long").alias("n"))
 
 
+# --- contexts
+_MOST = 400
+_POINT = """CASE role WHEN 'user' THEN 'User asked: ' || CASE WHEN length(t) > 100 THEN left(t, 100) || '...' ELSE t END WHEN 'assistant' THEN 'Assistant: ' || CASE WHEN contains(t, '.') THEN split_part(t, '.', 1) ELSE left(t, 100) END END"""
+
+
+def _context_sql() -> str:
+    target, full = int(_MOST * RECENT), _MOST * FULL
+    recent = f"len(list_filter(range(1, len(h) + 1), lambda i: list_sum(list_transform(list_slice(h, len(h) - i + 1, len(h)), lambda x: x.n)) <= {target}))"
+    points = f"list_filter(list_transform(list_slice(h, 1, len(h) - recent), lambda x: x.p), lambda p: p IS NOT NULL)"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, role, length(text) // 4 AS n, trim(text, E' \t\n\r\x0B\x0C') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+e AS (SELECT conv_id, turn, k, {{'n': n, 'p': {_POINT}}} AS x FROM c),
+r AS (SELECT conv_id, turn, k, [x] AS h, x.n AS tokens, 0 AS compressed, '' AS summary FROM e WHERE k = 1
+UNION ALL SELECT conv_id, turn, k, CASE WHEN due THEN list_slice(h, len(h) - recent + 1, len(h)) ELSE h END, CASE WHEN due THEN coalesce(list_sum(list_transform(list_slice(h, len(h) - recent + 1, len(h)), lambda x: x.n)), 0)::BIGINT + length(said) // 4 ELSE tokens END, compressed + due::INT, CASE WHEN due THEN said ELSE summary END
+  FROM (SELECT *, tokens > {full} AND len(h) >= 4 AND len(h) - recent >= 2 AS due, array_to_string(list_slice(points, greatest(1, len(points) - 4), len(points)), ' | ') AS said
+    FROM (SELECT *, {points} AS points FROM (SELECT *, {recent} AS recent FROM (SELECT e.conv_id, e.turn, e.k, list_append(r.h, e.x) AS h, r.tokens + e.x.n AS tokens, r.compressed, r.summary FROM r JOIN e ON e.conv_id = r.conv_id AND e.k = r.k + 1)))))
+SELECT conv_id, turn, len(h)::INT AS held, tokens::BIGINT AS tokens, compressed::INT AS compressed, md5(summary) AS summary FROM r"""
+
+
+@query("st23_context_fold", _context_sql())
+def st23_fold(spark, sf_dir):
+    """What a context of 400 tokens holds after each turn of each conversation, and the summary of what it gave up."""
+    found = context_sizes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), _MOST)
+    return found.withColumn("summary", F.md5("summary"))
+
+
 # --- iterative retrieval
 def _round_sql(k: int, template: str) -> str:
     """One round: the best documents by the question's words, their relevance, and which questions are still open."""

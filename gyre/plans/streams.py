@@ -9,7 +9,7 @@ from gyre.plans.reading import ST8
 from gyre.plans.registry import oracle_sql, query
 from gyre.session import fresh_path, table
 from gyre.streaming.event_time import joined_within, sessions, windowed
-from gyre.streaming.keyed import CircuitBreaker, Cooldown
+from gyre.streaming.keyed import CircuitBreaker, Cooldown, TwoLimits, fold
 from gyre.streaming.progress import PROGRESS, current, event_text, progress_of, upsert
 from gyre.streaming.replay import replayed, replayed_into
 from gyre.streaming.stateful import MachineProcessor, MicroBatchProcessor, SlidingLogProcessor, allowed_stream, batch_stream
@@ -94,6 +94,42 @@ def _st8_rows() -> str:
     return f"{parts}, x AS (SELECT {last})"
 
 
+# Requests a minute and an hour by role and by endpoint.
+ROLE_LIMITS = {"admin": (1000, 10000), "teacher": (200, 2000), "student": (60, 600), "guest": (20, 100), "api": (500, 5000)}
+ENDPOINT_LIMITS = {"/api/v2/auth/login": (10, 100), "/api/v2/auth/register": (5, 50), "/api/v2/content/upload": (5, 50), "/api/v2/content/process": (10, 100), "/api/v2/process": (30, 500), "/api/v2/embed": (100, 2000)}
+#: The endpoint that a type of event stands for; others go by their user's role.
+_ENDPOINTS = {"signup": "/api/v2/auth/register", "purchase": "/api/v2/content/process/run"}
+_ROLES = list(ROLE_LIMITS)
+_LIMITS = {i: x for i, x in enumerate([*ROLE_LIMITS.values(), *ENDPOINT_LIMITS.values()])}
+
+
+def _kind(path: str) -> int:
+    """The number of the first endpoint that begins a path."""
+    return len(ROLE_LIMITS) + next(i for i, e in enumerate(ENDPOINT_LIMITS) if path.startswith(e))
+
+
+def _limits_sql() -> str:
+    """The two buckets from event to event; a day of events is taken as a second, so that limits are met."""
+    case = lambda k: "CASE " + " ".join(f"WHEN event_type = '{t}' THEN {_LIMITS[_kind(p)][k]}" for t, p in _ENDPOINTS.items()) + " ELSE [" + ", ".join(str(x[k]) for x in ROLE_LIMITS.values()) + "][(user_id % 5 + 1)::INT] END"
+
+    def before(at, tokens, last, limit, window):
+        return f"CASE WHEN floor(e.s / {window}) <> {at} THEN floor({limit} * 1.5::DOUBLE) ELSE least(floor({limit} * 1.5::DOUBLE), {tokens} + (e.s - {last}) * {limit} / {window}.0::DOUBLE) END"
+
+    m, h = before("r.m_at", "r.m_left", "r.m_last", "e.a_minute", 60), before("r.h_at", "r.h_left", "r.h_last", "e.an_hour", 3600)
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 8.64e10::DOUBLE AS s, {case(0)} AS a_minute, {case(1)} AS an_hour, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, floor(s / 60) AS m_at, floor(a_minute * 1.5::DOUBLE) - 1 AS m_left, s AS m_last, floor(s / 3600) AS h_at, floor(an_hour * 1.5::DOUBLE) - 1 AS h_left, s AS h_last, true AS allowed FROM e WHERE k = 1
+UNION ALL SELECT user_id, event_id, k, floor(s / 60), m - (m >= 1)::INT, s, CASE WHEN m >= 1 THEN floor(s / 3600) ELSE h_at END, CASE WHEN m >= 1 THEN h - (h >= 1)::INT ELSE h_left END, CASE WHEN m >= 1 THEN s ELSE h_last END, m >= 1 AND h >= 1 FROM (SELECT e.user_id, e.event_id, e.k, e.s, r.h_at, r.h_left, r.h_last, {m} AS m, {h} AS h FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, event_id, allowed FROM r"""
+
+
+@query("st5_role_and_endpoint", _limits_sql())
+def st5_limits(spark, sf_dir):
+    """The limits of a minute and of an hour by endpoint, or else by role, on a clock on which a day of events is a second."""
+    e = _arriving(spark, sf_dir)
+    kind = F.coalesce(*[F.when(F.col("event_type") == t, _kind(p)) for t, p in _ENDPOINTS.items()], F.pmod(F.col("user_id"), F.lit(5)))
+    return fold(e.select("user_id", "event_id", (F.col("s") / DAY).alias("s"), kind.cast("double").alias("kind")), lambda: TwoLimits(_LIMITS), "user_id", "s", "event_id", "kind")
+
+
 @query("st8_micro_batch_stream", f"""WITH RECURSIVE {_st8_rows()}, b AS (SELECT x.user_id, x.event_id, sum(x.allowed::INT) OVER o AS k, row_number() OVER o AS place FROM x JOIN events e USING (event_id) WINDOW o AS (PARTITION BY x.user_id ORDER BY e.ts, e.event_id))
 SELECT user_id, arg_min(event_id, place) AS first, arg_max(event_id, place) AS last, count(*) AS n FROM b GROUP BY user_id, k""")
 def st8_stream(spark, sf_dir):

@@ -167,10 +167,10 @@ for _t, _f, _m in _steps:
     _MASKED = rf"regexp_replace({_MASKED}, '\b{_t}\b', {_m}, 'gi')"
 _SHOWN = "masked"
 for _t, _f, _m in _steps:
-    _SHOWN = f"replace({_SHOWN}, CASE WHEN {_f} THEN {_m} ELSE chr(1) END, '{T.TERMS[_t][0]}')"
+    _SHOWN = f"replace({_SHOWN}, CASE WHEN {_f} THEN {_m} ELSE chr(1) END, {_list(T.TERMS[_t])}[(doc_id % 10 + 1)::INT])"
 _of_phrases("t30_masked_terms", ("An equation in a variable, a Function and its graph:", "Photosynthesis gives the cell energy; the CELL", "Atoms and an atom; one molecule", "no such words"),
             f"masked, {_SHOWN} AS translated FROM (SELECT doc_id, text, {_MASKED} AS masked FROM documents) --",
-            masked=lambda: T.masked_terms(F.col("text")), translated=lambda: T.translated_terms(T.masked_terms(F.col("text")), F.col("text"), 0))
+            masked=lambda: T.masked_terms(F.col("text")), translated=lambda: T.translated_terms(T.masked_terms(F.col("text")), F.col("text"), (F.col("doc_id") % 10).cast("int")))
 
 # --- requests
 _ASKS = (

@@ -118,6 +118,32 @@ class Cooldown:
         return True
 
 
+@dataclass
+class TwoLimits:
+    """Buckets of a key for the current minute and for the current hour, each full at its start; limits has (a minute, an hour) for each kind of request.
+
+    A request that the minute denies takes nothing from the hour. value is the
+    kind.
+    """
+
+    limits: dict[int, tuple[int, int]]
+    burst: float = 1.5
+    minute: list[float] | None = None
+    hour: list[float] | None = None
+
+    def _take(self, bucket: list[float] | None, now: float, limit: int, window: int) -> tuple[list[float], bool]:
+        most, start = int(limit * self.burst), now // window
+        tokens = most if bucket is None or bucket[0] != start else min(most, bucket[1] + (now - bucket[2]) * limit / window)
+        return [start, tokens - (tokens >= 1), now], tokens >= 1
+
+    def step(self, now: float, kind: float) -> bool:
+        a_minute, an_hour = self.limits[int(kind)]
+        self.minute, allowed = self._take(self.minute, now, a_minute, 60)
+        if allowed:
+            self.hour, allowed = self._take(self.hour, now, an_hour, 3600)
+        return allowed
+
+
 @dataclass
 class FifoCache:
     """A bounded cache: what was put in first goes first, and nothing lives longer than seconds. A step says whether its key was a hit; a miss is put in."""

@@ -155,3 +155,13 @@ def test_vector_files(spark, tmp_path, half):
     assert {x.key for x in got} == {0, 3, 600, 2997} and all(np.array_equal(np.array(x.vector, v.dtype), v[x.key // 3]) for x in got)
     assert sum(x.read for x in got) == 4 * 16 * v.itemsize
     assert merged([0, 10, 30], [10, 10, 5], 0) == [(0, 20), (30, 35)] and merged([0, 30], [10, 5], 20) == [(0, 35)]
+
+
+def test_reranking_falls_back(spark):
+    """By score, ties by the old rank; a query with a pair that has no score keeps its order."""
+    from gyre.operators.retrieval import reranked
+
+    rows = [(1, 10, 1, 0.2), (1, 11, 2, 0.9), (1, 12, 3, 0.2), (2, 20, 1, 0.1), (2, 21, 2, None), (2, 22, 3, 0.8)]
+    hits = spark.createDataFrame(rows, "qid int, id int, rank int, s double")
+    got = [(x.qid, x.id, x.score, x.place) for x in reranked(hits, "qid", "rank", F.col("s"), 2).orderBy("qid", "place").collect()]
+    assert got == [(1, 11, 0.9, 1), (1, 10, 0.2, 2), (2, 20, 0.5, 1), (2, 21, 0.5, 2)]

@@ -127,3 +127,38 @@ def test_progress_counts_once_when_a_batch_runs_again(spark, tmp_path):
     want = {task: max((at, i, stage) for i, t, at, stage, _, _ in rows if t == task) for task in range(3)}
     assert {x.task: (x.at, x.id, x.stage) for x in current(spark, path, PROGRESS).collect()} == want
     assert seen == [0, 1, 2] and compacted(spark, path, str(tmp_path / "c"), PROGRESS).count() == 3
+
+
+def test_two_limits():
+    """A minute's bucket is full at its start and refills within it; what it denies takes nothing from the hour."""
+    from gyre.streaming.keyed import TwoLimits
+
+    machine = TwoLimits({0: (2, 4), 1: (1000, 4)})
+    assert [machine.step(t, 0) for t in (0.0, 0.0, 0.0, 0.0)] == [True, True, True, False]
+    assert [machine.step(30.0, 0), machine.step(30.0, 0)] == [True, False]
+    # the hour had six, and has two left
+    assert [machine.step(60.0, 1) for _ in range(4)] == [True, True, False, False]
+    assert machine.step(3600.0, 1)
+
+
+def test_contexts_are_compressed(spark):
+    """Old turns give way to a summary of the last five points; few long turns stay; folds go on over batches."""
+    from gyre.operators.dialogue import Context, context_sizes
+
+    context = Context(100)
+    for k in range(4):
+        context.add(["user", "assistant"][k % 2], f"turn {k}. " + "x" * 90)
+    assert (len(context.held), context.times) == (0, 1)
+    assert context.summary == "User asked: turn 0. " + "x" * 90 + " | Assistant: turn 1 | User asked: turn 2. " + "x" * 90 + " | Assistant: turn 3"
+    few = Context(100)
+    for _ in range(3):
+        few.add("user", "y" * 400)
+    assert (len(few.held), few.times, few.tokens) == (3, 0, 300)
+    rows = [(c, t, ["user", "assistant", "system", None][t % 4], None if t == 5 else "word. " * (t + 1)) for c in range(3) for t in range(12)] + [(None, 1, "user", "x"), (1, None, "user", "x")]
+    got = {(x.conv_id, x.turn): tuple(x)[2:] for x in context_sizes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 40).collect()}
+    assert len(got) == 36
+    for c in range(3):
+        context = Context(40)
+        for _, t, role, text in (r for r in rows if r[0] == c and r[1] is not None):
+            context.add(role or "", text or "")
+            assert got[c, t] == (len(context.held), context.tokens, context.times, context.summary)
