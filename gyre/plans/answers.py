@@ -411,4 +411,17 @@ def s13_committed(spark, sf_dir):
     return store.read("content").groupBy("source").agg(F.count("*").alias("documents")).join(counted, "source").select("source", "documents", "chunks", "vectors", "chars")
 
 
+@query("s28_delete_everywhere", r"""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk FROM documents), gone AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT d.doc_id, count(c.doc_id) AS chunks FROM documents d LEFT JOIN (SELECT doc_id FROM c WHERE length(trim(chunk)) >= 120) c USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL) GROUP BY d.doc_id""")
+def s28_everywhere(spark, sf_dir):
+    """Toxic documents go from a store's content and chunks in one commit."""
+    store = Store(spark, fresh_path(spark, "committed"))
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "source", "text"))
+    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "chunk")).where(F.length(F.trim("chunk")) >= 120)
+    store.commit(content=docs.select("doc_id", "source"), chunks=chunks)
+    store.delete(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "content", "chunks")
+    left = store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return store.read("content").join(left, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
+
 _measure("s18_markdown", "'# ' || source || chr(10) || chr(10) || text || chr(10) AS value", value=lambda: F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n")))

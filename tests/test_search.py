@@ -133,6 +133,10 @@ def test_store_shows_whole_commits_only(spark, tmp_path):
         store._write(2, {"a": []})
     assert seen("a") == [1, 2, 4]
     assert store.vacuum() >= 1 and seen("a") == [1, 2, 4] and store.vacuum() == 0
+    store.delete(rows(1, 10, 10), "a", "b")
+    assert (seen("a"), seen("b")) == ([2, 4], [])
+    store.replace(a=rows(7))
+    assert (seen("a"), seen("b")) == ([7], []) and store.vacuum() == 4
 
 
 @pytest.mark.parametrize("half", [False, True])
