@@ -126,6 +126,8 @@ class Best:
 
     def add(self, window: int, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.r_[self.score[window], score], np.r_[self.id[window], ids]
+        if not len(score):
+            return
         order = np.lexsort((ids, -score))
         score, ids = score[order], ids[order]
         order = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])])[: self.k]
@@ -138,6 +140,11 @@ class Best:
         return np.repeat(np.arange(len(n)), n), np.concatenate(self.id), np.concatenate(self.score)
 
 
+def _kth(least: np.ndarray, k: int) -> int:
+    """The k-th largest of the least scores of rows that surely count: what can't reach it has k rows before it."""
+    return int(np.partition(least, -k)[-k]) if len(least) >= k else np.iinfo(np.int64).min
+
+
 def search(batch: pa.RecordBatch, best: Best, anchors: np.ndarray, anchor_label: list, anchor_id: np.ndarray, ends: tuple[np.ndarray, np.ndarray], of_anchor: list[np.ndarray], low: np.ndarray | None, high: np.ndarray | None) -> int:
     """Let the rows of a batch into the windows of the anchors; returns how many pairs were scored exactly.
 
@@ -161,9 +168,13 @@ def search(batch: pa.RecordBatch, best: Best, anchors: np.ndarray, anchor_label:
                 continue
             down, up = least[:, a - lo], most[:, a - lo]
             if low is None:
-                at = np.flatnonzero(alike[:, a - lo] & (up >= best.floor[windows[0]]))
+                mine = alike[:, a - lo]
+                # one of the rows may be the anchor itself
+                floor = max(best.floor[windows[0]], _kth(down[mine], best.k + 1))
+                at = np.flatnonzero(mine & (up >= floor))
             else:
-                enter = np.maximum(low[windows], best.floor[windows])
+                sure = [_kth(down[~alike[:, a - lo] & (down >= low[w]) & (up <= high[w])], best.k) for w in windows]
+                enter = np.maximum(np.maximum(low[windows], best.floor[windows]), sure)
                 # of all windows of an anchor at once, then of each
                 at = np.flatnonzero(~alike[:, a - lo] & (up >= enter.min()) & (down <= high[windows].max()))
                 if len(at):
