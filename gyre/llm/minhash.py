@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from gyre.llm.components import components
 from gyre.llm.names import mix
 from gyre.llm.words import forget, word_hashes
-from gyre.session import materialize, ship, sized
+from gyre.session import materialize, ship, sized, trim
 
 #: 40 bands of 6: two sets of similarity 0.8 share no band once in 190,000 pairs, and of 0.9 never in practice.
 BANDS, ROWS = 40, 6
 #: Members of a bucket that are compared at once, and bytes of their elements.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 _ROUND = np.uint64(54)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -204,6 +204,8 @@ def _screened(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if a != b:
                     pairs.add((min(a, b), max(a, b)))
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        del elements, table
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("group").applyInArrow(screen, "a long, b long").distinct()
@@ -265,6 +267,7 @@ def _similar(percent: int):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep[i] = both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+        trim()
 
     return check
 

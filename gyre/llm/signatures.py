@@ -33,7 +33,7 @@ from gyre.llm.components import components
 from gyre.llm.minhash import batches_of_text, confirmed, shingle_set
 from gyre.llm.names import mix
 from gyre.llm.words import forget
-from gyre.session import materialize, ship, sized
+from gyre.session import materialize, ship, sized, trim
 
 #: Parts of a scheme that are named at most. A pair that may differ in k elements has each of k + 1 parts equal with a chance of over 1/e:
 #: that all of so many differ has a chance below 2^-63, that of two equal hashes. Sets with no more parts name all.
@@ -249,6 +249,7 @@ def _searched(percent: int, spanning: bool):
         a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
         b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
         both = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)][a != b], axis=0)
+        trim()
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return search
