@@ -99,7 +99,6 @@ ROLE_LIMITS = {"admin": (1000, 10000), "teacher": (200, 2000), "student": (60, 6
 ENDPOINT_LIMITS = {"/api/v2/auth/login": (10, 100), "/api/v2/auth/register": (5, 50), "/api/v2/content/upload": (5, 50), "/api/v2/content/process": (10, 100), "/api/v2/process": (30, 500), "/api/v2/embed": (100, 2000)}
 #: The endpoint that a type of event stands for; others go by their user's role.
 _ENDPOINTS = {"signup": "/api/v2/auth/register", "purchase": "/api/v2/content/process/run"}
-_ROLES = list(ROLE_LIMITS)
 _LIMITS = {i: x for i, x in enumerate([*ROLE_LIMITS.values(), *ENDPOINT_LIMITS.values()])}
 
 
