@@ -21,15 +21,16 @@ STANDARDS = T.StructType([
 ])
 
 
-def parse_catalog(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(code, title, grade, medium) of catalog pages: the first title of each code in a page, ordered by grade, medium, code."""
+def parse_catalog(pages: DataFrame, html_col: str = "html", place_col: str | None = None) -> DataFrame:
+    """(code, title, grade, medium) of catalog pages: the first title of each code, of the page with the least place_col, ordered by grade, medium, code."""
     ship(pages.sparkSession)
 
     @F.pandas_udf("array<struct<code:string,title:string>>")
     def titles(html: pd.Series) -> pd.Series:
         return html.map(lambda h: [{"code": c, "title": t} for c, t in catalog_titles(h or "")])
 
-    rows = pages.select(F.inline(titles(F.col(html_col)))).dropDuplicates(["code"])
+    found = pages.select((F.col(place_col) if place_col else F.lit(0)).alias("page"), F.posexplode(titles(F.col(html_col))).alias("n", "book"))
+    rows = found.groupBy("book.code").agg(F.min(F.struct("page", "n", "book.title"))["title"].alias("title"))
     return rows.select("code", "title", book_grade(F.col("code")).alias("grade"), book_medium(F.col("code")).alias("medium")).orderBy("grade", "medium", "code")
 
 

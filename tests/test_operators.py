@@ -84,6 +84,13 @@ def test_books(spark):
     assert [(x.code, x.title, x.grade) for x in rows] == [("jesc1", "Science", 10), ("khch1", "Chemistry Part-I", 11)]
 
 
+def test_first_title_over_pages(spark):
+    pages = [(k, f'if(pm=="jesc1"){{<strong>Title {k}</strong>}}') for k in (3, 1, 2)]
+    for order in (pages, pages[::-1]):
+        rows = corpus.parse_catalog(spark.createDataFrame(order, "run int, html string").repartition(3), place_col="run").collect()
+        assert [(x.code, x.title) for x in rows] == [("jesc1", "Title 1")]
+
+
 def test_vectors(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [float("inf"), 0.0]), (4, [0.0, 0.0])], "i int, v array<float>")
