@@ -71,8 +71,8 @@ _measure("t18_syllables_final_e", f"coalesce(list_sum(list_transform(list_transf
 
 def _broken(text):
     """Sentences of over 25 words broken at conjunctions."""
-    at = rf"(?i)\b({'|'.join(CONJUNCTIONS)})\b"
-    capital = lambda p: F.when(p.rlike(r"^\p{Lu}"), p).otherwise(F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2)))))
+    at = X.re2(rf"(?i)\b({'|'.join(CONJUNCTIONS)})\b")
+    capital = lambda p: F.when(p.rlike(r"^\p{Lu}"), p).otherwise(F.concat(X.upper_letter(F.left(p, F.lit(1))), X.lower_of(F.substr(p, F.lit(2)))))
     parts = lambda s: F.transform(F.filter(F.transform(F.split(s, at), _trim), lambda p: p != ""), capital)
     return F.concat(F.array_join(F.flatten(F.transform(X.sentences(text), lambda s: F.when(F.size(X.words(s)) <= 25, F.array(s)).otherwise(parts(s)))), ". "), F.lit("."))
 
@@ -105,7 +105,7 @@ def _found_by_type():
         p = pattern.replace("'", "''")
         sql.append(f"len(regexp_extract_all({before}, '{p}'))::BIGINT AS {name.lower()}")
         before = f"regexp_replace({before}, '{p}', '[REDACTED_{name}]', 'g')"
-        columns[name.lower()] = lambda k=k: F.regexp_count(X.redacted(F.col("text"), k), F.lit(X.REDACTIONS[k][0])).cast("long")
+        columns[name.lower()] = lambda k=k: F.regexp_count(X.redacted(F.col("text"), k), F.lit(X.re2(X.REDACTIONS[k][0]))).cast("long")
     return ", ".join(sql), columns
 
 

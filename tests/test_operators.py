@@ -175,6 +175,13 @@ def test_long_sentences_break_at_conjunctions(spark):
     assert value(spark, P._broken(F.lit("one and two."))) == "one and two."
 
 
+def test_clauses_start_as_the_sql_has_them(spark):
+    words = " ".join(["word"] * 26)
+    assert value(spark, P._broken(F.lit(f"{words} and ßab ΑΣ."))) == f"{words.capitalize()}. ẞab ασ."
+    assert value(spark, P._broken(F.lit(f"{words} soß."))) == f"{words.capitalize()}. ẞ."
+    assert value(spark, P._broken(F.lit(f"{words} ŉa."))) == f"{words.capitalize()} ŉa."
+
+
 @pytest.mark.parametrize("word, n", [("make", 1), ("the", 1), ("water", 2), ("yes!", 1), ("...", 0), ("apple", 1)])
 def test_syllables_with_final_e(spark, word, n):
     assert value(spark, P._syllables_e(F.lit(word))) == n
