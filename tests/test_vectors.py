@@ -1,6 +1,7 @@
 """Searches by blocks of queries, vectors as bytes, inverted lists."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,33 @@ def test_lists_hold_every_row_and_find_most(spark):
     exact = {(x.qid, x.vec_id) for x in V.nearest(q, df, 10).collect()}
     found = {(x.qid, x.vec_id) for x in search_lists(q, lists, index, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_two_measures_in_one_pass(spark, rows):
+    both = {(x.qid, x.vec_id): (x.score, x.cosine) for x in V.scores(asked(rows), rows, "ip", also="cosine").collect()}
+    for at, metric in enumerate(("ip", "cosine")):
+        assert {k: v[at] for k, v in both.items()} == pytest.approx({(x.qid, x.vec_id): x.score for x in V.scores(asked(rows), rows, metric).collect()}, abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_pairs_are_measured_in_bounded_steps(spark, rows, metric, monkeypatch):
+    """However many queries meet a batch of rows, PAIRS are measured at once at most."""
+    import tracemalloc
+
+    ids = np.arange(1000)
+    data = R.normal(size=(1000, 64))
+    seen = {}
+
+    def run(f, schema):
+        seen["f"] = f
+        return rows.limit(0).select(F.lit(0).alias("qid"), F.lit(0).alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("_group"))
+
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: run(f, schema))
+    q = spark.createDataFrame([(i, data[i].tolist()) for i in range(500)], "qid long, qvec array<double>")
+    V.scores(q, q.select(F.col("qid").alias("vec_id"), F.col("qvec").alias("embedding")), metric)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data.tolist()), pa.array([0] * 1000)], ["vec_id", "embedding", "_group"])
+    tracemalloc.start()
+    n = [b.num_rows for b in seen["f"](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n) == 500_000 and max(n) <= V.PAIRS and peak < 100e6
