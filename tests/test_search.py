@@ -169,3 +169,23 @@ def test_reranking_falls_back(spark):
     hits = spark.createDataFrame(rows, "qid int, id int, rank int, s double")
     got = [(x.qid, x.id, x.score, x.place) for x in reranked(hits, "qid", "rank", F.col("s"), 2).orderBy("qid", "place").collect()]
     assert got == [(1, 11, 0.9, 1), (1, 10, 0.2, 2), (2, 20, 0.5, 1), (2, 21, 0.5, 2)]
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    """Each task sends on the k best rows of a question, however many share its words; ties by id, blocks of questions and rows without words."""
+    from gyre.operators import loops
+
+    docs = [(i, sorted({"all", f"w{i % 7}", f"v{i % 3}"})) for i in range(400)] + [(900, []), (901, None)]
+    index = spark.createDataFrame(docs, "doc_id int, w array<string>").repartition(3)
+    asked = spark.createDataFrame([(q, q % 2, f"All w{q % 7} V{q % 3} v{q % 3} none") for q in range(30)] + [(99, 0, ""), (98, 0, None)], "q long, t int, text string")
+    score = lambda q, ws: len({"all", f"w{q % 7}", f"v{q % 3}"} & set(ws or []))
+    want = {(q, q % 2, i, r) for q in range(30) for r, (_, i) in enumerate(sorted((-score(q, ws), i) for i, ws in docs if score(q, ws))[:4], 1)}
+    for block, counts in ((4000, 1 << 20), (7, 10)):
+        before, (loops.BLOCK, loops.COUNTS) = (loops.BLOCK, loops.COUNTS), (block, counts)
+        try:
+            found = loops.word_retriever(index, "doc_id", 4)(asked, ["q", "t"], "text")
+            assert {(x.q, x.t, x.doc_id, x.rank) for x in found.collect()} == want
+        finally:
+            loops.BLOCK, loops.COUNTS = before
+    hits = loops._best(asked.where("q < 30").select("q", "t", F.split(F.lower("text"), " ").alias("ws")), index.select(F.col("doc_id").cast("long").alias("doc_id"), "w"), ["q", "t"], "doc_id", 4)
+    assert hits.count() <= 3 * 4 * 30
