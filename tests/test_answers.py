@@ -119,3 +119,28 @@ def test_nearest_in_blocks(spark):
     q = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     assert sorted(V.nearest(q, e, 3, most_queries=3).collect()) == sorted(V.nearest(q, e, 3).collect())
     assert V.nearest(q.where("false"), e, 3).count() == 0
+
+
+def test_next_documents_by_runs(spark, tmp_path):
+    """Each document with the next five ids, across ends of runs and gaps, with empty and null texts and ids below 0; no join."""
+    from gyre.plans.catalog import queries
+
+    docs = [(i, f"Common w{i % 5} v{i % 3} v{i % 3}") for i in [*range(-70, -60), *range(55, 70), 72, 90, 125, 128, 133, 134]] + [(71, ""), (73, None), (None, "common")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {i: None if t is None else set(t.lower().split()) for i, t in docs if i is not None}
+    share = lambda a, b: 1.0 if a is None or b is None else min(1.0, 2 * len(a & b) / max(1, len(a)))
+    want = {i: [share(s, sets[j]) for j in range(i + 1, i + 6) if j in sets] for i, s in sets.items()}
+    found = queries()["t55_relevance"](spark, str(tmp_path))
+    got = {x.doc_id: x.relevance for x in found.collect()}
+    assert got.keys() == {i for i, x in want.items() if x} and all(abs(got[i] - sum(want[i]) / len(want[i])) < 1e-6 for i in got)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_taken_once(spark, tmp_path):
+    """A plan takes a text's words, and its neutral wording, once, however often what follows names them."""
+    from gyre.plans.catalog import queries
+
+    spark.createDataFrame([(i, "Red apples are red", "en") for i in range(3)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda name: queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("t39_three_passes").count("split(") == 2 and plan("t36_question_match").count("split(") == 2
+    assert plan("t59_regional_wording").count("backward class,") == 1
