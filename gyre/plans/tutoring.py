@@ -271,10 +271,13 @@ SELECT doc_id, mode, semantic, logical, shield, CASE WHEN shield IN ('blocked',
 def t39_passes(spark, sf_dir):
     """Whether an answer fits its question, is consistent and harmless, and what follows in each mode."""
     answer, question = F.col("other"), F.col("text")
-    own, given = A.word_set(answer), A.word_set(question)
+    # both texts are taken apart once; what is read from their words names columns
+    own, given = F.col("own"), F.col("given")
     share = F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.array_intersect(own, given)) / F.size(own))
-    m = spread(_pairs(spark, sf_dir)).select(
-        "doc_id", A.question_match(question, answer).alias("match"), F.size(X.words(question)).alias("asked"), F.size(X.words(answer)).alias("said"),
+    w = _pairs(spark, sf_dir).select("doc_id", "other", X.words(F.lower(question)).alias("asked"), X.words(F.lower(answer)).alias("said"))
+    w = w.select("doc_id", "other", F.array_distinct("asked").alias("given"), F.array_distinct("said").alias("own"), F.size("asked").alias("asked"), F.size("said").alias("said"))
+    m = w.select(
+        "doc_id", A.words_match(given, own).alias("match"), "asked", "said",
         A.contradictions(answer).alias("contradictions"), A.unsupported(answer).alias("claims"), share.alias("share"), T.toxicity(answer).alias("toxicity"), T.personal(answer).alias("pii"),
     )
     claimed = (F.col("claims") > 0) & (F.col("share") < 0.3)
