@@ -12,3 +12,17 @@ def test_sparse_dots(spark, most):
     found = sparse_dots(asked, rows, ["q"], ["r"], most)
     assert sorted((x.q, x.r, x.dot) for x in found.collect()) == [(1, 7, 10.0), (1, 8, 3.0), (2, 7, 15.0), (2, 8, 3.0)]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_counts_where_rows_lie(spark):
+    """Counts by hash as of plain Python, of rows without tokens as well, and no shuffle."""
+    import hashlib
+    from collections import Counter
+
+    from gyre.operators.grams import hashed_counts
+
+    rows = [("x", ["a", "b", "a", "é"]), ("y", []), ("z", None), ("u", [f"w{i}" for i in range(300)])]
+    found = hashed_counts(spark.createDataFrame(rows, "id string, ts array<string>"), "id", "ts")
+    want = {i: dict(Counter(hashlib.md5(t.encode()).digest()[0] % 64 for t in ts or [])) for i, ts in rows}
+    assert {x.id: x.vector for x in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
