@@ -54,11 +54,13 @@ def longest_prefixes(asked: DataFrame, stored: DataFrame, name: str, tokens: str
     """
     ship(asked.sparkSession)
     entries = materialize(_marked(stored, name, tokens, set(), True).groupBy("size", "digest").agg(F.min(name).alias("entry")), "entries")
-    marks = materialize(_marked(stored, name, tokens, None, False).select("size", "digest").distinct(), "marks")
-    met = _marked(asked, name, tokens, None, False).join(sized(marks), ["size", "digest"], "left_semi").groupBy(name).agg((2 * F.max("size")).alias("below"))
-    left = materialize(asked.select(name, tokens).join(met, name), "left")
     lengths = [r[0] for r in entries.select("size").distinct().limit(100_000).collect()]  # numbers of tokens
     if len(lengths) == 100_000:
         raise ValueError("entries of over 100,000 different sizes")
+    # no entry is longer: what follows in a row of asked decides nothing
+    asked = asked.select(name, F.slice(tokens, 1, max(lengths, default=0)).alias(tokens))
+    marks = materialize(_marked(stored, name, tokens, None, False).select("size", "digest").distinct(), "marks")
+    met = _marked(asked, name, tokens, None, False).join(sized(marks), ["size", "digest"], "left_semi").groupBy(name).agg((2 * F.max("size")).alias("below"))
+    left = materialize(asked.select(name, tokens).join(met, name), "left")
     found = _marked(left, name, tokens, set(lengths), False).join(entries, ["size", "digest"])
     return found.groupBy(name).agg(F.max(F.struct("size", "entry")).alias("x")).select(name, "x.size", "x.entry")

@@ -189,3 +189,10 @@ def test_retrieval_shuffles_no_pairs(spark):
             loops.BLOCK, loops.COUNTS = before
     hits = loops._best(asked.where("q < 30").select("q", "t", F.split(F.lower("text"), " ").alias("ws")), index.select(F.col("doc_id").cast("long").alias("doc_id"), "w"), ["q", "t"], "doc_id", 4)
     assert hits.count() <= 3 * 4 * 30
+
+
+def test_prefixes_end_with_the_longest_entry(spark):
+    """What stands behind the longest stored sequence is neither sent to Python nor read."""
+    asked = spark.createDataFrame([(1, ["a", "b", "c", None]), (2, ["a", "x", None]), (3, [])], "id long, w array<string>")
+    stored = spark.createDataFrame([(7, ["a"]), (8, ["a", "b"])], "id long, w array<string>")
+    assert {x.id: (x.size, x.entry) for x in longest_prefixes(asked, stored, "id", "w").collect()} == {1: (2, 8), 2: (1, 7)}
