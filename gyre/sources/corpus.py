@@ -63,6 +63,8 @@ def stored_standards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STANDARDS).parquet(path)
 
 
+#: Members, and bytes of them, that leave a task at once.
+MOST_MEMBERS, MOST_HELD = 1000, 8 << 20
 #: Names of the members that are chapters: a book's code and a number of two digits.
 CHAPTER = r"([a-l][ehu][a-z]{2}\d)(\d{2})\.pdf$"
 
@@ -81,16 +83,25 @@ def archive_members(spark: SparkSession, path: str, pattern: str = CHAPTER, most
 def members(archives: DataFrame, pattern: str = CHAPTER) -> DataFrame:
     """(archive, code, chapter, content) of the members of ZIP archives (path, content) whose names match; others, such as front matter, are left out."""
     ship(archives.sparkSession)
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if m := re.search(pattern, member):
-                            yield pd.DataFrame({"archive": [name], "code": [m[1]], "chapter": [int(m[2])], "content": [z.read(member)]})
-
-    return archives.select("path", "content").mapInPandas(unpack, "archive string, code string, chapter int, content binary")
+    return archives.select("path", "content").mapInPandas(lambda frames: _unpacked(frames, pattern), "archive string, code string, chapter int, content binary")
+
+
+def _unpacked(frames: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
+    """The members of archives, many in a frame."""
+    names = ["archive", "code", "chapter", "content"]
+    found, held = [], 0
+    for frame in frames:
+        for name, content in zip(frame["path"], frame["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for member in z.namelist():
+                    if m := re.search(pattern, member):
+                        found.append((name, m[1], int(m[2]), z.read(member)))
+                        held += len(found[-1][3])
+                        if len(found) == MOST_MEMBERS or held >= MOST_HELD:
+                            yield pd.DataFrame(found, columns=names)
+                            found, held = [], 0
+    if found:
+        yield pd.DataFrame(found, columns=names)
 
 
 def zipped(rows: DataFrame, group: str, name: str, content: str) -> DataFrame:

@@ -70,3 +70,23 @@ def test_answers(question, answer):
 def test_two_numbers(spark):
     df = spark.createDataFrame([("What is 2 plus 3?",), ("4+5",), ("why",)], "q string").where(F.col("q").rlike(A.TWO_NUMBERS))
     assert [x.a for x in df.select(A.two_number_answer(F.col("q")).alias("a")).collect()] == ["**What is 2 plus 3?** = **5**", "**4+5** = **9**"]
+
+
+def test_members_leave_in_large_frames():
+    """A frame holds the members of many archives, up to a number and to bytes."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def archive(k):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in range(40):
+                z.writestr(f"{k}/aesc1{n + 10}.pdf", b"x")
+            z.writestr("aesc1ps.pdf", b"front")
+        return out.getvalue()
+
+    frames = [pd.DataFrame({"path": [str(k), str(k + 1)], "content": [archive(k), archive(k + 1)]}) for k in range(0, 60, 2)]
+    got = list(corpus._unpacked(iter(frames), corpus.CHAPTER))
+    assert [len(x) for x in got] == [1000, 1000, 400] and set(pd.concat(got).value_counts(["archive", "code"]).tolist()) == {40}
