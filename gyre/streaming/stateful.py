@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -15,9 +16,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gyre.streaming.keyed import MicroBatch, SlidingLog
 
 
-def _in_order(frames: Iterator[pd.DataFrame], seconds: str, order: str) -> pd.DataFrame:
-    """The rows of a key in one micro-batch by time and id: what a batch brings of a key is held, its bound is that of the batch."""
-    return pd.concat(list(frames), ignore_index=True).sort_values([seconds, order], kind="stable")
+def _in_order(frames: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """The columns of a key's rows in one micro-batch by the first two, time and id: what a batch brings of a key is held, its bound is that of the batch.
+
+    A stream has many keys with few rows, so that arrays are sorted, not frames.
+    """
+    held = list(frames)
+    arrays = [held[0][c].to_numpy() if len(held) == 1 else np.concatenate([f[c].to_numpy() for f in held]) for c in columns]
+    place = np.lexsort((arrays[1], arrays[0]))
+    return [a[place] for a in arrays]
 
 
 class _Keyed(StatefulProcessor):
@@ -26,11 +33,14 @@ class _Keyed(StatefulProcessor):
     def __init__(self, key: str, order: str, seconds: str, value: str):
         self.key, self.order, self.seconds, self.value = key, order, seconds, value
 
-    def _end_at(self, seconds: float) -> None:
-        """One timer for the key, at that time."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(seconds * 1000) + 1)
+    def _end_at(self, seconds: float, before: float | None) -> None:
+        """One timer for the key, at that time; before is the time of the one that the key's state had set, None without state. Each call goes to the store and back."""
+        new, old = (None if x is None else int(x * 1000) + 1 for x in (seconds, before))
+        if new == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(new)
 
     def close(self) -> None:
         pass
@@ -48,16 +58,18 @@ class MachineProcessor(_Keyed):
         self.state = handle.getValueState("machine", T.StructType([T.StructField("fields", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        machine = self.machine()
-        if self.state.exists():
-            for name, value in json.loads(self.state.get()[0]).items():
+        machine, before, held = self.machine(), None, self.state.get()
+        if held is not None:
+            fields, before = json.loads(held[0])
+            for name, value in fields.items():
                 setattr(machine, name, value)
-        events = _in_order(rows, self.seconds, self.order)
-        allowed = [machine.step(t, v) for t, v in zip(events[self.seconds], events[self.value], strict=True)]
-        self.state.update((json.dumps(asdict(machine)),))
-        if self.idle is not None:
-            self._end_at(float(events[self.seconds].iloc[-1]) + self.idle)
-        yield pd.DataFrame({self.key: events[self.key], self.order: events[self.order], "allowed": allowed})
+        at, ids, values = _in_order(rows, self.seconds, self.order, self.value)
+        allowed = [machine.step(t, v) for t, v in zip(at.tolist(), values.tolist(), strict=True)]
+        end = None if self.idle is None else float(at[-1]) + self.idle
+        self.state.update((json.dumps([asdict(machine), end]),))
+        if end is not None:
+            self._end_at(end, before)
+        yield pd.DataFrame({self.key: key[0], self.order: ids, "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.state.clear()
@@ -77,11 +89,12 @@ class SlidingLogProcessor(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         log = SlidingLog(self.limit, self.window, deque(x[0] for x in self.granted.get()))
-        events = _in_order(rows, self.seconds, self.order)
-        allowed = [log.step(t) for t in events[self.seconds]]
-        self.granted.put([(float(t),) for t in log.granted])
-        self._end_at(log.granted[-1] + self.window)
-        yield pd.DataFrame({self.key: events[self.key], self.order: events[self.order], "allowed": allowed})
+        before = log.granted[-1] + self.window if log.granted else None
+        at, ids = _in_order(rows, self.seconds, self.order)
+        allowed = [log.step(t) for t in at.tolist()]
+        self.granted.put([(t,) for t in log.granted])
+        self._end_at(log.granted[-1] + self.window, before)
+        yield pd.DataFrame({self.key: key[0], self.order: ids, "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.granted.clear()
@@ -105,15 +118,16 @@ class MicroBatchProcessor(_Keyed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         items = [(int(x[0]), float(x[1])) for x in self.held.get()]
         machine = MicroBatch(self.size, self.wait, len(items), items[0][1] if items else 0.0)
+        before = items[0][1] + self.wait if items else None
         out = []
-        events = _in_order(rows, self.seconds, self.order)
-        for item in zip(events[self.order].astype("int64").tolist(), events[self.seconds].tolist(), strict=True):
+        at, ids = _in_order(rows, self.seconds, self.order)
+        for item in zip(ids.astype("int64").tolist(), at.tolist(), strict=True):
             if machine.step(item[1]) and items:
                 out.append(self._released(key, items))
                 items = []
             items.append(item)
         self.held.put(items)
-        self._end_at(items[0][1] + self.wait)
+        self._end_at(items[0][1] + self.wait, before)
         yield pd.DataFrame(out, columns=[self.key, "first", "last", "n"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802

@@ -162,3 +162,19 @@ def test_contexts_are_compressed(spark):
         for _, t, role, text in (r for r in rows if r[0] == c and r[1] is not None):
             context.add(role or "", text or "")
             assert got[c, t] == (len(context.held), context.tokens, context.times, context.summary)
+
+
+def test_timers_are_not_listed():
+    """A key without state sets its timer and asks for none; a key with state deletes the one it knows of; the same time stays."""
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *x: calls.append((name, *x))
+
+    processor = SlidingLogProcessor(3, 10.0, **COLUMNS)
+    processor.handle = Handle()
+    processor._end_at(5.0, None)
+    processor._end_at(7.0, 5.0)
+    processor._end_at(7.0, 7.0)
+    assert calls == [("registerTimer", 5001), ("deleteTimer", 5001), ("registerTimer", 7001)]
