@@ -8,12 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyre.functions import vectors as V
-from gyre.session import ship, sized
+from gyre.session import ship
 
 #: Rows that centres are fitted on at most, centres at most, rounds of fitting, and rows that the number of probes is found with.
 SAMPLE, MOST_CENTRES, ROUNDS, ASKED = 20_000, 1024, 8, 200
@@ -56,7 +56,7 @@ def fit_lists(rows: DataFrame, vec_col: str, k: int = 10, recall: float = 0.97,
 
 
 def assign(rows: DataFrame, index: Lists, vec_col: str) -> DataFrame:
-    """Every row with its list (-1 for a row without a vector): the index, to be written by list."""
+    """Every row with its list (-1 for a row without a vector), each task's in the order of lists: the index, to be written so, as a search takes the rows of a list at once."""
     ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(index.centres)  # MOST_CENTRES vectors at most
     names = rows.columns
@@ -71,23 +71,23 @@ def assign(rows: DataFrame, index: Lists, vec_col: str) -> DataFrame:
                 own[whole] = (np.array([vectors[i] for i in whole], float) @ sent.value.T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*names, "list"])
 
-    return rows.mapInArrow(place, schema)
+    return rows.mapInArrow(place, schema).sortWithinPartitions("list")
 
 
 def search_lists(queries: DataFrame, lists: DataFrame, index: Lists, k: int, query_id: str = "qid", query_vec: str = "qvec", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id_col, score): the k nearest by cosine among the rows in the lists that are nearest to a query.
 
-    Rows and queries meet by an equi-join on the list.
+    Rows meet the queries that look into their list where they lie: a task keeps
+    k rows a query, so that pairs are neither joined nor shuffled. Queries are
+    asked in blocks, as in nearest().
     """
     centres, many = index.centres, index.probes
 
     @F.pandas_udf("array<int>")
     def nearest_lists(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(np.array(v, float) @ centres.T), kind="stable")[:many].tolist() if v is not None else [] for v in vectors])
+        return pd.Series([np.argsort(-(np.array(v, float) @ centres.T), kind="stable")[:many].tolist() for v in vectors])
 
     ship(queries.sparkSession)
-    asked = queries.select(query_id, query_vec, V.norm(F.col(query_vec)).alias("qnorm"), F.explode(nearest_lists(query_vec)).alias("list"))
-    rows = lists.withColumn("norm", V.norm(F.col(vec_col)))
-    scored = rows.join(sized(asked, 20_000), "list").select(query_id, id_col, V.cosine_of(F.col(vec_col), F.col(query_vec), F.col("norm"), F.col("qnorm")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    # a query of another length than the centres has no lists
+    asked = queries.where(F.size(query_vec) == centres.shape[1]).select(query_id, query_vec, nearest_lists(query_vec).alias("list"))
+    return V.nearest(asked, lists, k, "cosine", query_id, query_vec, id_col, vec_col, group="list", own=True).drop("rank")

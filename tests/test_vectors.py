@@ -1,12 +1,14 @@
 """Searches by blocks of queries, vectors as bytes, inverted lists."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gyre.functions import vectors as V
-from gyre.operators.index import assign, fit_lists, search_lists
+from gyre.operators.index import Lists, assign, fit_lists, search_lists
 
 R = np.random.default_rng(3)
 ROWS = [(i, R.normal(size=8).round(3).tolist()) for i in range(300)] + [(300, [0.0] * 8), (301, None), (302, [1.0, 2.0])]
@@ -86,6 +88,40 @@ def test_lists_hold_every_row_and_find_most(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_lists_are_searched_where_they_lie(spark):
+    """The k nearest of a query's lists, equals by id, as a plain search has them; pairs aren't joined, and a query of another length has no lists."""
+    r = np.random.default_rng(5)
+    data = r.normal(size=(600, 8))
+    data[300:330] = data[300]  # copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + [(700, None), (800, [1.0, 2.0])], "vec_id long, embedding array<double>").repartition(3)
+    index = Lists(data[:40:2] / np.linalg.norm(data[:40:2], axis=1, keepdims=True), 3)
+    lists = assign(df, index, "embedding").persist()
+    q = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = search_lists(q, lists, index, 10)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    units = data / np.linalg.norm(data, axis=1, keepdims=True)
+    own = (data @ index.centres.T).argmax(axis=1)
+    wanted = {}
+    for i in range(0, 600, 100):
+        mine = np.flatnonzero(np.isin(own, np.argsort(-(data[i] @ index.centres.T))[:3]))
+        wanted |= {(i, int(j)): float(units[i] @ units[j]) for j in sorted(mine, key=lambda j: (-round(float(units[i] @ units[j]), 9), j))[:10]}
+    assert {(x.qid, x.vec_id): x.score for x in found.collect()} == pytest.approx(wanted)
+
+
+def test_rows_of_several_groups_share_a_querys_best(spark):
+    """Queries with an array of groups: the k nearest of all of these together, of the null group too if it is named, and of no other."""
+    data = [(i, [float(i % 7 + 1), float(i % 11)], None if i % 4 == 3 else i % 4) for i in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 2.0], [0, 2]), (2, [3.0, 1.0], [None]), (3, [1.0, 1.0], []), (4, [1.0, 1.0], None)], "qid long, qvec array<double>, label array<int>")
+    found = {}
+    for x in V.nearest(q, df, 5, "l2", group="label", own=True).collect():
+        found.setdefault(x.qid, []).append((x["rank"], x.vec_id))
+    for qid, vec, groups in ((1, (1, 2), (0, 2)), (2, (3, 1), (None,))):
+        near = sorted((math.dist(vec, v), i) for i, v, label in data if label in groups)[:5]
+        assert sorted(found[qid]) == [(k + 1, i) for k, (_, i) in enumerate(near)]
+    assert found.keys() == {1, 2}
+
+
 def test_two_measures_in_one_pass(spark, rows):
     both = {(x.qid, x.vec_id): (x.score, x.cosine) for x in V.scores(asked(rows), rows, "ip", also="cosine").collect()}
     for at, metric in enumerate(("ip", "cosine")):
