@@ -88,6 +88,20 @@ def test_lists_hold_every_row_and_find_most(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_lists_are_fitted_on_the_smallest_hashes(spark):
+    """The sample is the rows with the smallest hashes however they are dealt; those of another length than most, or without a vector, take no part."""
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(3000, 4)))], "vec_id long, embedding array<double>")
+    wanted = [x.embedding for x in df.orderBy(F.xxhash64("embedding")).limit(150).collect()]
+    index = fit_lists(df.repartition(5), "embedding", sample=150, centres=150)
+    units = np.array(wanted) / np.linalg.norm(wanted, axis=1, keepdims=True)
+    # as many centres as rows of the sample: each is its own centre
+    assert sorted(map(tuple, index.centres.round(9))) == sorted(map(tuple, units.round(9)))
+    odd = spark.createDataFrame([(5000, None), (5001, [1.0, 2.0]), (5002, [])], df.schema)
+    assert fit_lists(df.union(odd), "embedding", centres=10).centres.shape == (10, 4)
+    assert fit_lists(odd.where("embedding IS NULL"), "embedding").probes == 0
+
+
 def test_lists_are_searched_where_they_lie(spark):
     """The k nearest of a query's lists, equals by id, as a plain search has them; pairs aren't joined, and a query of another length has no lists."""
     r = np.random.default_rng(5)
